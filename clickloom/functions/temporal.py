@@ -8,7 +8,9 @@ from clickloom.functions.text import strip
 from clickloom.schema import UNKNOWN
 
 # Two-digit years from here on belong to the 1900s.
-CENTURY_PIVOT = "69"
+CENTURY_PIVOT = 69
+_PACKED = "^[0-9]{8}$"
+_ISO = "^[0-9]{4}(-|$)"
 _ZONE = r"[0-9:.](\s*(Z|UTC|GMT)|[+-][0-9]{1,2}(:?[0-9]{2})?)$"
 
 
@@ -16,22 +18,31 @@ def _ntz(text: Column) -> Column:
     return text.try_cast("timestamp_ntz")
 
 
+def _packed_hour(text: Column) -> Column:
+    number = text.try_cast("int")
+
+    def digits(place: int) -> Column:
+        return (F.floor(number / place) % 100).cast("int")
+
+    year = digits(1000000)
+    century = F.when(year >= CENTURY_PIVOT, 1900).otherwise(2000)
+    zero = F.lit(0)
+    return F.try_make_timestamp_ntz(century + year, digits(10000), digits(100), digits(1), zero, zero)
+
+
 def parse_hour(value: Column) -> Column:
     """``yyMMddHH`` text, else an ISO-like timestamp; anything else is null.
 
-    Each row is parsed by itself, so the result does not depend on other rows.
+    Each row is parsed by itself, so the result does not depend on other rows. Text other than plain
+    digits goes through a one-element array, which keeps the usual path small and fast.
     """
-    text = F.regexp_replace(strip(value.cast("string")), r"\.0$", "")
-    year = F.substring(text, 1, 2)
-    packed = F.concat(
-        F.when(year >= CENTURY_PIVOT, "19").otherwise("20"), year, F.lit("-"),
-        F.substring(text, 3, 2), F.lit("-"), F.substring(text, 5, 2), F.lit(" "),
-        F.substring(text, 7, 2), F.lit(":00:00"),
-    )
-    return (
-        F.when(text.rlike("^[0-9]{8}$"), _ntz(packed))
-        .when(text.rlike("^[0-9]{4}(-|$)"), _ntz(text))
-    )
+    raw = value.cast("string")
+
+    def other(item: Column) -> Column:
+        text = F.regexp_replace(strip(item), r"\.0$", "")
+        return F.when(text.rlike(_PACKED), _packed_hour(text)).when(text.rlike(_ISO), _ntz(text))
+
+    return F.when(raw.rlike(_PACKED), _packed_hour(raw)).otherwise(F.element_at(F.transform(F.array(raw), other), 1))
 
 
 def instant_to_utc(instant: Column) -> Column:
@@ -50,7 +61,7 @@ def to_utc_naive(value: Column, data_type: T.DataType) -> Column:
         return value.cast("timestamp_ntz")
     if isinstance(data_type, T.StringType):
         text = strip(value)
-        iso = text.rlike("^[0-9]{4}(-|$)")
+        iso = text.rlike(_ISO)
         zoned = text.rlike("^[0-9-]{10}[ T]") & text.rlike(_ZONE)
         return (
             F.when(iso & zoned, instant_to_utc(text.try_cast("timestamp")))

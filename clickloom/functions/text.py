@@ -14,8 +14,14 @@ WHITESPACE = (
 )
 
 
+def is_plain(text: Column) -> Column:
+    """True for text whose first and last characters are printable ASCII, so it needs no trimming."""
+    return (text > " ") & (text < "\x7f") & F.substring(text, -1, 1).between("!", "~")
+
+
 def strip(text: Column) -> Column:
-    return F.trim(text, F.lit(WHITESPACE))
+    """Unicode-aware trim; plain text, the usual case, skips the slower character search."""
+    return F.when(is_plain(text), text).otherwise(F.trim(text, F.lit(WHITESPACE)))
 
 
 def column_or_default(df: DataFrame, name: str, default=None) -> Column:
@@ -40,8 +46,17 @@ def canonical_text(value: Column, data_type: T.DataType) -> Column:
 
 
 def normalize_category(text: Column) -> Column:
-    trimmed = strip(text)
-    return F.coalesce(F.when(~trimmed.isin(MISSING_CATEGORY_TEXTS), trimmed), F.lit(UNKNOWN))
+    """Trimmed category, or "unknown" for a missing one.
+
+    The rare text that needs work goes through a one-element array: with two dozen categories, the
+    inlined code would otherwise grow past the size the JVM compiles.
+    """
+    def cleaned(item: Column) -> Column:
+        trimmed = F.trim(item, F.lit(WHITESPACE))
+        return F.coalesce(F.when(~trimmed.isin(MISSING_CATEGORY_TEXTS), trimmed), F.lit(UNKNOWN))
+
+    usual = is_plain(text) & ~text.isin(MISSING_CATEGORY_TEXTS)
+    return F.when(usual, text).otherwise(F.element_at(F.transform(F.array(text), cleaned), 1))
 
 
 def normalize_tier(text: Column) -> Column:

@@ -86,33 +86,41 @@ def join_character_features(
         "character_id", text.known_id(text.column_or_default(impressions, "character_id"))
     )
     attributes = [name for name in CHARACTER_COLUMNS if name != "character_id"]
-    side = deduplicate_characters(characters, order_col)
-    side = side.select(
-        "character_id",
-        *[text.column_or_default(side, name).alias(name + _SIDE) for name in attributes],
-    )
-    created_type = text.type_of(characters, "created_at")
+    side = _dimension_values(deduplicate_characters(characters, order_col), attributes)
     joined = join_dimension(facts, side, "character_id")
     values = {}
     for name in attributes:
-        own = F.col(name) if name in facts.columns else F.lit(None)
-        values[name] = _first_known(F.col(name + _SIDE), own, joined, facts, name)
-    created = temporal.to_utc_naive(F.col("created_at" + _SIDE), created_type)
-    if "created_at" in facts.columns:
-        own_created = temporal.to_utc_naive(F.col("created_at"), text.type_of(facts, "created_at"))
-        created = F.coalesce(created, own_created)
-    values["created_at"] = created.cast("timestamp_ntz")
-    out = joined.withColumns(values).drop(*[name + _SIDE for name in attributes])
+        kind = text.type_of(facts, name)
+        own = F.col(name) if name in facts.columns else None
+        value = F.col(name + _SIDE)
+        if name == "created_at":
+            value = value if own is None else (
+                F.when(F.col("_created"), value).otherwise(temporal.to_utc_naive(own, kind))
+            )
+        elif name == "num_interactions":
+            value = value if own is None else F.coalesce(value, numeric.to_number(own, kind))
+        elif own is not None:
+            value = F.coalesce(value, own.cast("string"))
+        values[name] = value
+    out = joined.withColumns(values).drop("_created", *[name + _SIDE for name in attributes])
     age = temporal.whole_days(F.col("created_at"), _age_reference(out, as_of)).cast("double")
     return out.withColumn("character_age_days", numeric.at_least(F.coalesce(age, F.lit(0.0)), 0.0))
 
 
-def _first_known(side: Column, own: Column, joined: DataFrame, facts: DataFrame, name: str) -> Column:
-    if name == "num_interactions":
-        side = numeric.to_number(side, text.type_of(joined, name + _SIDE))
-        own = numeric.to_number(own, text.type_of(facts, name))
-        return F.coalesce(side, own)
-    return F.coalesce(side.cast("string"), own.cast("string"))
+def _dimension_values(side: DataFrame, attributes: list[str]) -> DataFrame:
+    """Dimension columns parsed once per character, before they meet the impressions."""
+    parsed = []
+    for name in attributes:
+        value, kind = text.column_or_default(side, name), text.type_of(side, name)
+        if name == "created_at":
+            value = temporal.to_utc_naive(value, kind)
+        elif name == "num_interactions":
+            value = numeric.to_number(value, kind)
+        else:
+            value = value.cast("string")
+        parsed.append(value.alias(name + _SIDE))
+    created = text.column_or_default(side, "created_at").isNotNull().alias("_created")
+    return side.select("character_id", *parsed, created)
 
 
 def fill_missing_values(df: DataFrame, categorical_columns: Iterable[str] = CATEGORICAL_FEATURES) -> DataFrame:

@@ -1,8 +1,9 @@
 """Exact global order without sending all rows through one task.
 
 ``keys_at`` finds the rows at given positions of a global order. It counts rows per coarse time cell
-(a small aggregate), keeps the cells that hold a wanted position, and range-sorts only the keys of
-those cells. Callers then compare every row with the found keys, which needs no shuffle.
+(a small aggregate), keeps the cells that hold a wanted position, and sorts only the keys of those
+cells: a cell of proven small size in one task, a larger one by range. Callers then compare every row
+with the found keys, which needs no shuffle.
 
 ``running_totals`` adds prefix sums over a sorted numeric key. Bucket limits come from quantiles of
 the data, so a crowded value range gets more buckets; rows of equal key are combined beforehand.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
@@ -20,6 +22,7 @@ from clickloom.session import materialize
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
 MAX_BUCKETS = 1000
+SMALL_CELL = 200_000  # rows one task may sort
 
 
 @dataclass(frozen=True)
@@ -61,6 +64,7 @@ def keys_at(
     df: DataFrame,
     order: TimeOrder,
     positions: Callable[[Column], dict[str, Column]],
+    small_cell: int = SMALL_CELL,
 ) -> Positions:
     """Key columns of the rows at named 0-based positions; positions are computed from the row count."""
     names = [order.time, *order.others]
@@ -78,13 +82,24 @@ def keys_at(
         .select("*", F.explode(wanted).alias("name", "place"))
         .where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n")))
     )
-    found = cells.select("cell", "before", "total", "name", "place").collect()  # one row per position
+    found = cells.select("cell", "n", "before", "total", "name", "place").collect()  # one row per position
     if not found:
         return Positions(keys.count(), {})
+
+    def rows_of(value) -> DataFrame:
+        return keys.where(cell.eqNullSafe(F.lit(value).cast("timestamp_ntz")))
+
     rows = {}
-    for cell_value in {row["cell"] for row in found}:
-        in_cell = [row for row in found if row["cell"] == cell_value]
-        rows.update(_keys_in_cell(keys.where(cell.eqNullSafe(F.lit(cell_value).cast("timestamp_ntz"))), order, in_cell))
+    small = [row for row in found if row["n"] <= small_cell]
+    if small:
+        picks = [
+            rows_of(row["cell"]).orderBy(*order.sort_columns()).offset(row["place"] - row["before"]).limit(1)
+            .withColumn("_name", F.lit(row["name"]))
+            for row in small
+        ]
+        rows.update({row["_name"]: row for row in reduce(DataFrame.union, picks).collect()})
+    for value in {row["cell"] for row in found if row["n"] > small_cell}:
+        rows.update(_keys_in_cell(rows_of(value), order, [row for row in found if row["cell"] == value]))
     return Positions(found[0]["total"], rows)
 
 

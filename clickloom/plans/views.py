@@ -26,9 +26,8 @@ def _text(value: Column) -> Column:
 
 def impression_columns(events: DataFrame, *extra: str) -> DataFrame:
     """Impressions from events, batch or stream. No feature is derived from the label."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    event, user = F.col("event_id"), F.col("user_id")
-    return events.select(
+    k, event, user = F.col("k"), F.col("event_id"), F.col("user_id")
+    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int")).select(
         _text(event).alias("id"),
         F.date_format("ts", "yyMMddHH").alias("hour"),
         (F.col("event_type") == "click").cast("double").alias("click"),
