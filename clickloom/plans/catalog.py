@@ -8,10 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clickloom.functions import numeric, rules, temporal, text
-from clickloom.operators import drift, features, metrics, ordering, prediction, quality, ranking, requestlog, split
-from clickloom.plans import views
+from clickloom.operators import (
+    drift, features, metrics, model, ordering, prediction, quality, ranking, requestlog, split,
+)
+from clickloom.plans import training, views
 from clickloom.plans.view_sql import PARSED_HOUR, with_views
-from clickloom.schema import CATEGORICAL_FEATURES, FEATURE_COLUMNS, NUMERIC_FEATURES
+from clickloom.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from clickloom.session import work_path
+from clickloom.sources import sinks, tables
+from clickloom.streaming import live
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -648,3 +653,175 @@ FROM (SELECT '/' || event_type AS path, value AS v, row_number() OVER (PARTITION
   count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY path""")
 def latency_summary(spark, sf_dir):
     return requestlog.latency_summary(views.request_log(spark, sf_dir)).withColumn("mean_ms", r6("mean_ms"))
+
+
+# Sources and sinks
+
+
+def _written_csv(spark, sf_dir):
+    folder = work_path(spark, "csv")
+    for name, df in (("impressions", views.dirty_impressions(spark, sf_dir)), ("characters", views.characters(spark, sf_dir))):
+        df.write.option("header", True).option("nullValue", "N/A").option("escape", '"').csv(f"{folder}/{name}")
+    return folder
+
+
+@register("csv_impressions", with_views(["dirty"], """
+SELECT id, hour, click, character_id, site_category, C14, conversation_turn, session_msg_count
+FROM (SELECT * REPLACE (CASE WHEN site_category <> 'None' THEN site_category END AS site_category) FROM dirty)"""))
+def csv_impressions(spark, sf_dir):
+    loaded = tables.load_impressions(spark, f"{_written_csv(spark, sf_dir)}/impressions")
+    return loaded.select(
+        "id", "hour", "click", "character_id", "site_category", "C14", "conversation_turn", "session_msg_count"
+    )
+
+
+@register("csv_feature_frame", with_views(["featured"], """
+SELECT tier AS safety_tier, creator AS creator_type, count(*) AS impressions, round(avg(turn_ratio), 6) AS turn_ratio,
+  round(avg(interactions), 6) AS num_interactions FROM featured GROUP BY ALL""", dirty=True))
+def csv_feature_frame(spark, sf_dir):
+    folder = _written_csv(spark, sf_dir)
+    impressions = tables.load_impressions(spark, f"{folder}/impressions")
+    characters = tables.load_characters(spark, f"{folder}/characters")
+    frame = features.build_features(impressions, characters, "version", as_of="2024-02-01")
+    return frame.groupBy("safety_tier", "creator_type").agg(
+        F.count("*").alias("impressions"), F.round(F.avg("turn_ratio"), 6).alias("turn_ratio"),
+        F.round(F.avg("num_interactions"), 6).alias("num_interactions"),
+    )
+
+
+@register("metric_json", with_views(["featured"], """
+SELECT strftime(event_timestamp, '%Y-%m-%d') AS event_day, count(*) AS impressions,
+  CASE WHEN sum(click) > 0 THEN round(count(*) / sum(click), 6) END AS per_click
+FROM featured GROUP BY 1"""))
+def metric_json(spark, sf_dir):
+    folder = work_path(spark, "metrics")
+    day = temporal.day_label(F.col("event_timestamp")).alias("event_day")
+    table = features.add_time_features(views.impressions(spark, sf_dir)).groupBy(day).agg(
+        F.count("*").alias("impressions"),
+        F.when(F.sum("click") > 0, F.round(F.count("*") / F.sum("click"), 6)).otherwise(F.lit(float("inf"))).alias("per_click"),
+    )
+    sinks.write_metric_tables({"days": table}, folder)
+    return spark.read.schema("event_day string, impressions bigint, per_click double").json(f"{folder}/days")
+
+
+@register("features_by_day", with_views(["featured"], """
+SELECT strftime(event_timestamp, '%Y-%m-%d') AS event_day, count(*) AS impressions FROM featured
+WHERE event_timestamp >= TIMESTAMP '2024-01-15' GROUP BY 1"""))
+def features_by_day(spark, sf_dir):
+    folder = work_path(spark, "features")
+    frame = features.build_features(*clean(spark, sf_dir), "version")
+    sinks.write_by_day(frame.withColumn("event_day", temporal.day_label(F.col("event_timestamp"))), folder)
+    stored = spark.read.schema("id string, event_day string").parquet(folder)
+    return stored.where(F.col("event_day") >= "2024-01-15").groupBy("event_day").agg(F.count("*").alias("impressions"))
+
+
+# Model; the numbers depend on the learner, so these have no SQL
+
+SMALL_TRAINING = model.TrainingConfig(iterations=5, depth=3, hash_buckets=256)
+
+
+def _trained(spark, sf_dir):
+    """A model fitted on the train split, and the labelled frame it came from."""
+    folder = work_path(spark, "frame")
+    sinks.write_by_day(
+        _frame(spark, sf_dir).withColumn("event_day", temporal.day_label(F.col("event_timestamp"))), folder
+    )
+    frame = quality.check_target(spark.read.parquet(folder))
+    frame = split.time_based_split(frame).assign(frame)
+    train, validation = (frame.where(F.col("split") == name) for name in ("train", "validation"))
+    return model.train_model(train, validation, SMALL_TRAINING), frame, train
+
+
+@register("model_scores")
+def model_scores(spark, sf_dir):
+    fitted, frame, _ = _trained(spark, sf_dir)
+    return fitted.transform(frame).select("id", "split", "probability")
+
+
+@register("model_evaluation")
+def model_evaluation(spark, sf_dir):
+    fitted, frame, train = _trained(spark, sf_dir)
+    folder = work_path(spark, "scored")
+    training.scored_table(fitted, frame, train).write.parquet(folder)
+    evaluated = metrics.evaluate(spark.read.parquet(folder), metrics.character_counts(train))
+    return evaluated["metrics"].join(evaluated["calibration_error"], ["model", "split"])
+
+
+@register("feature_importance")
+def feature_importance(spark, sf_dir):
+    fitted, _, _ = _trained(spark, sf_dir)
+    return fitted.feature_importance(spark)
+
+
+@register("saved_model_scores")
+def saved_model_scores(spark, sf_dir):
+    fitted, _, _ = _trained(spark, sf_dir)
+    folder = work_path(spark, "model")
+    fitted.save(spark, folder)
+    predictor = model.load_predictor(spark, folder)
+    scored = predictor.score(views.impressions(spark, sf_dir), views.characters(spark, sf_dir), "version")
+    return scored.select("id", "predicted_ctr", joined_reasons())
+
+
+@register("model_ranking")
+def model_ranking(spark, sf_dir):
+    fitted, _, _ = _trained(spark, sf_dir)
+    return ranking.rank_candidates(requests(spark, sf_dir), model.Predictor(fitted)).select(
+        "request_id", "candidate_id", "rank", "predicted_ctr", "final_score"
+    )
+
+
+@register("missing_model_scores", with_views(["fallback"], """
+SELECT request_id, predicted_ctr, replace(reasons, 'fallback global CTR prior', 'fallback global CTR prior|model artifact not found') AS reasons
+FROM fallback"""))
+def missing_model_scores(spark, sf_dir):
+    predictor = model.load_predictor(spark, work_path(spark, "absent"))
+    return predictor.score(views.rank_contexts(spark, sf_dir)).select("request_id", "predicted_ctr", joined_reasons())
+
+
+# Streams
+
+
+def _event_stream(spark, sf_dir):
+    schema = views.table(spark, sf_dir, "events").schema
+    return live.read_stream(spark, sf_dir, schema, pathGlobFilter="events.parquet")
+
+
+def _stored_request_stream(spark, sf_dir):
+    folder = work_path(spark, "requests")
+    stored = requests(spark, sf_dir)
+    stored.write.parquet(folder)
+    return live.read_stream(spark, folder, stored.schema)
+
+
+@register("stream_scores", with_views(["impressions"], """
+SELECT id, round(0.05::DOUBLE * 1.05::DOUBLE * 1.03::DOUBLE * CASE WHEN session_msg_count > 0 AND conversation_turn / session_msg_count <= 0.25
+    THEN 1.02::DOUBLE WHEN session_msg_count > 0 THEN 0.98::DOUBLE ELSE 1 END, 6) AS predicted_ctr FROM impressions"""))
+def stream_scores(spark, sf_dir):
+    folder = work_path(spark, "stream")
+    scored = live.score_stream(views.impression_columns(_event_stream(spark, sf_dir)), model.Predictor())
+    live.run_once(scored.select("id", "predicted_ctr"), f"{folder}/out", f"{folder}/state")
+    return spark.read.schema("id string, predicted_ctr double").parquet(f"{folder}/out")
+
+
+@register("stream_ranking", with_views(["ranked"], """
+SELECT request_id, candidate_id, rank, final_score FROM ranked"""))
+def stream_ranking(spark, sf_dir):
+    folder = work_path(spark, "stream")
+    ranked = live.rank_stream(_stored_request_stream(spark, sf_dir))
+    live.run_once(ranked, f"{folder}/out", f"{folder}/state")
+    stored = spark.read.schema(ranked.schema).parquet(f"{folder}/out")
+    return stored.select("request_id", F.inline("ranked_candidates")).select(
+        "request_id", "candidate_id", F.col("rank").cast("bigint").alias("rank"), "final_score"
+    )
+
+
+@register("stream_windowed_ctr", """
+SELECT date_trunc('hour', ts) AS window_start, count(*) AS impressions, round(avg((event_type = 'click')::INTEGER), 6) AS ctr
+FROM events GROUP BY 1""")
+def stream_windowed_ctr(spark, sf_dir):
+    folder = work_path(spark, "stream")
+    events = _event_stream(spark, sf_dir).withColumn("click", (F.col("event_type") == "click").cast("double"))
+    series = live.windowed_ctr(events)
+    live.run_once_complete(series, f"{folder}/out", f"{folder}/state")
+    return spark.read.schema(series.schema).parquet(f"{folder}/out").select("window_start", "impressions", r6("ctr"))

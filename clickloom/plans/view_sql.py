@@ -1,4 +1,7 @@
-"""The logical views of ``views`` as DuckDB SQL, for checking results."""
+"""The logical views of ``views`` as DuckDB SQL, for checking results.
+
+Scores are rounded as decimals: like Spark, halves of the written number go up.
+"""
 
 from __future__ import annotations
 
@@ -89,7 +92,7 @@ VIEWS = {
     SELECT *, round(least(greatest(0.05::DOUBLE * CASE WHEN app_category IS NOT NULL THEN 1.05::DOUBLE ELSE 1 END
         * CASE WHEN site_category IS NOT NULL THEN 1.03::DOUBLE ELSE 1 END
         * CASE WHEN session_msg_count > 0 AND conversation_turn / session_msg_count <= 0.25 THEN 1.02::DOUBLE
-               WHEN session_msg_count > 0 THEN 0.98::DOUBLE ELSE 1 END, 0.0001), 0.9999), 6) AS predicted_ctr,
+               WHEN session_msg_count > 0 THEN 0.98::DOUBLE ELSE 1 END, 0.0001), 0.9999)::VARCHAR::DECIMAL(38, 20), 6)::DOUBLE AS predicted_ctr,
       array_to_string(list_filter(['fallback global CTR prior',
         CASE WHEN app_category IS NOT NULL THEN 'app category available' END,
         CASE WHEN site_category IS NOT NULL THEN 'site category available' END,
@@ -100,10 +103,10 @@ VIEWS = {
     SELECT request_id, pos AS "position", candidate_id, predicted_ctr, final_score, reasons,
       row_number() OVER (PARTITION BY request_id ORDER BY final_score DESC, pos) AS rank
     FROM (SELECT request_id, pos, candidate_id, predicted_ctr,
-      round(predicted_ctr * CASE WHEN tier = safety_tier AND tier <> 'unknown' THEN 1.05::DOUBLE ELSE 1 END
+      round((predicted_ctr * CASE WHEN tier = safety_tier AND tier <> 'unknown' THEN 1.05::DOUBLE ELSE 1 END
         * CASE WHEN pacing > 1 THEN greatest(0.5, 1.0 / pacing) WHEN pacing >= 0 AND pacing < 0.8 THEN 1.05::DOUBLE ELSE 1 END
         * CASE WHEN fatigue <= 3 THEN 1 ELSE greatest(0.3::DOUBLE, 1.0::DOUBLE - (fatigue - 3) * 0.12::DOUBLE) END
-        * CASE WHEN fatigue = 0 AND predicted_ctr < 0.08 THEN 1.03::DOUBLE ELSE 1 END, 8) AS final_score,
+        * CASE WHEN fatigue = 0 AND predicted_ctr < 0.08 THEN 1.03::DOUBLE ELSE 1 END)::VARCHAR::DECIMAL(38, 20), 8)::DOUBLE AS final_score,
       f.reasons || '|' || CASE WHEN pacing > 1 THEN 'pacing reduced overspending campaign'
           WHEN pacing >= 0 AND pacing < 0.8 THEN 'pacing boosted underspending campaign' ELSE 'pacing on target' END
         || '|' || CASE WHEN fatigue <= 3 THEN 'fatigue within cap' ELSE 'fatigue penalty applied' END
