@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, functions as F, types as T
 
 from clickloom.functions.text import strip
@@ -88,13 +90,31 @@ def is_weekend(time: Column) -> Column:
 
 
 def day_label(time: Column) -> Column:
-    return F.coalesce(F.date_format(time, "yyyy-MM-dd"), F.lit(UNKNOWN))
+    return F.coalesce(F.substring(time.cast("string"), 1, 10), F.lit(UNKNOWN))
 
 
 def hour_label(time: Column) -> Column:
-    return F.coalesce(F.date_format(time, "yyyy-MM-dd HH:00"), F.lit(UNKNOWN))
+    return F.coalesce(F.concat(F.substring(time.cast("string"), 1, 13), F.lit(":00")), F.lit(UNKNOWN))
+
+
+def hour_number(time: Column) -> Column:
+    """Hours since 1970, a coarse key in time order."""
+    return F.unix_date(time.cast("date")).cast("bigint") * 24 + F.hour(time)
 
 
 def whole_days(start: Column, end: Column) -> Column:
-    """Full 24-hour periods between two times (not calendar days)."""
-    return F.timestamp_diff("DAY", start, end)
+    """Full 24-hour periods between two naive times (not calendar days)."""
+    return F.extract(F.lit("DAY"), end - start)
+
+
+def utc_micros(time: Column) -> Column:
+    """Microseconds since 1970 of a naive UTC time."""
+    since = time - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    part = lambda unit: F.extract(F.lit(unit), since)
+    minutes = (part("DAY").cast("bigint") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return minutes * 60000000 + (part("SECOND") * 1000000).cast("bigint")
+
+
+def literal(time: datetime | None) -> Column:
+    """A naive time as a constant; passing a datetime itself would go through the session time zone."""
+    return F.lit(None if time is None else time.isoformat(sep=" ")).cast("timestamp_ntz")

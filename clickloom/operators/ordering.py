@@ -13,11 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from datetime import datetime
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
+from clickloom.functions import temporal
 from clickloom.session import materialize
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
@@ -45,7 +47,9 @@ class TimeOrder:
     def literal(self, df: DataFrame, row: Row) -> Column:
         values = []
         for name in (self.time, *self.others):
-            value = F.lit(row[name]).cast(df.schema[name].dataType)
+            value = row[name]
+            value = temporal.literal(value) if isinstance(value, datetime) else F.lit(value)
+            value = value.cast(df.schema[name].dataType)
             values += [F.lit(row[name] is None), value]
         return F.struct(*[value.alias(f"k{i}") for i, value in enumerate(values)])
 
@@ -69,7 +73,7 @@ def keys_at(
     """Key columns of the rows at named 0-based positions; positions are computed from the row count."""
     names = [order.time, *order.others]
     keys = df.select(*names)
-    cell = F.date_trunc("hour", F.col(order.time)).cast("timestamp_ntz")
+    cell = temporal.hour_number(F.col(order.time))
     counted = keys.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
     by_cell = Window.orderBy(F.col("cell").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
@@ -87,7 +91,7 @@ def keys_at(
         return Positions(keys.count(), {})
 
     def rows_of(value) -> DataFrame:
-        return keys.where(cell.eqNullSafe(F.lit(value).cast("timestamp_ntz")))
+        return keys.where(cell.eqNullSafe(F.lit(value).cast("bigint")))
 
     rows = {}
     small = [row for row in found if row["n"] <= small_cell]

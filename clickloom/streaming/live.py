@@ -59,8 +59,7 @@ def event_time(column: str, kind: T.DataType) -> Column:
     """The zoned timestamp watermarks need; a naive time is taken as UTC."""
     if isinstance(kind, T.TimestampType):
         return F.col(column)
-    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(column))
-    return F.timestamp_micros(micros)
+    return F.timestamp_micros(temporal.utc_micros(F.col(column)))
 
 
 def windowed_ctr(
