@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, functions as F, types as T
 
-from clickloom.functions.text import strip
+from clickloom.functions.text import WHITESPACE, trimmed
 from clickloom.schema import UNKNOWN
 
 # Two-digit years from here on belong to the 1900s.
@@ -16,35 +16,27 @@ _ISO = "^[0-9]{4}(-|$)"
 _ZONE = r"[0-9:.](\s*(Z|UTC|GMT)|[+-][0-9]{1,2}(:?[0-9]{2})?)$"
 
 
-def _ntz(text: Column) -> Column:
-    return text.try_cast("timestamp_ntz")
+def _packed_hour(sql: str) -> str:
+    year, month, day, hour = (f"try_cast(substr({sql}, {start}, 2) AS INT)" for start in (1, 3, 5, 7))
+    century = f"CASE WHEN {year} >= {CENTURY_PIVOT} THEN 1900 ELSE 2000 END"
+    return f"try_make_timestamp_ntz({century} + {year}, {month}, {day}, {hour}, 0, 0)"
 
 
-def _packed_hour(text: Column) -> Column:
-    number = text.try_cast("int")
-
-    def digits(place: int) -> Column:
-        return (F.floor(number / place) % 100).cast("int")
-
-    year = digits(1000000)
-    century = F.when(year >= CENTURY_PIVOT, 1900).otherwise(2000)
-    zero = F.lit(0)
-    return F.try_make_timestamp_ntz(century + year, digits(10000), digits(100), digits(1), zero, zero)
-
-
-def parse_hour(value: Column) -> Column:
-    """``yyMMddHH`` text, else an ISO-like timestamp; anything else is null.
+def parse_hour(sql: str) -> Column:
+    """``yyMMddHH`` text, else an ISO-like timestamp; anything else is null. Takes SQL text.
 
     Each row is parsed by itself, so the result does not depend on other rows. Text other than plain
     digits goes through a one-element array, which keeps the usual path small and fast.
     """
-    raw = value.cast("string")
-
-    def other(item: Column) -> Column:
-        text = F.regexp_replace(strip(item), r"\.0$", "")
-        return F.when(text.rlike(_PACKED), _packed_hour(text)).when(text.rlike(_ISO), _ntz(text))
-
-    return F.when(raw.rlike(_PACKED), _packed_hour(raw)).otherwise(F.element_at(F.transform(F.array(raw), other), 1))
+    text = f"regexp_replace({trimmed('x')}, '[.]0$', '')"
+    other = (
+        f"CASE WHEN {text} RLIKE '{_PACKED}' THEN {_packed_hour(text)}"
+        f" WHEN {text} RLIKE '{_ISO}' THEN try_cast({text} AS TIMESTAMP_NTZ) END"
+    )
+    return F.expr(
+        f"CASE WHEN {sql} RLIKE '{_PACKED}' THEN {_packed_hour(sql)}"
+        f" ELSE element_at(transform(array({sql}), x -> {other}), 1) END"
+    )
 
 
 def instant_to_utc(instant: Column) -> Column:
@@ -62,12 +54,12 @@ def to_utc_naive(value: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, T.DateType):
         return value.cast("timestamp_ntz")
     if isinstance(data_type, T.StringType):
-        text = strip(value)
+        text = F.trim(value, F.lit(WHITESPACE))
         iso = text.rlike(_ISO)
         zoned = text.rlike("^[0-9-]{10}[ T]") & text.rlike(_ZONE)
         return (
             F.when(iso & zoned, instant_to_utc(text.try_cast("timestamp")))
-            .when(iso, _ntz(text))
+            .when(iso, text.try_cast("timestamp_ntz"))
         )
     return F.lit(None).cast("timestamp_ntz")
 

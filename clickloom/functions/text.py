@@ -1,4 +1,8 @@
-"""Text expressions: trimming, category and tier normalisation, canonical number text."""
+"""Text expressions: trimming, category and tier normalisation, canonical number text.
+
+Functions that serve many columns at once take and return SQL text, so that a frame of dozens of
+columns is a few calls to the JVM and not thousands.
+"""
 
 from __future__ import annotations
 
@@ -14,59 +18,71 @@ WHITESPACE = (
 )
 
 
-def is_plain(text: Column) -> Column:
-    """True for text whose first and last characters are printable ASCII, so it needs no trimming."""
-    return (text > " ") & (text < "\x7f") & F.substring(text, -1, 1).between("!", "~")
+def quoted(name: str) -> str:
+    return f"`{name}`"
+
+
+def text_list(texts: list[str]) -> str:
+    return ", ".join(f"'{text}'" for text in texts)
+
 
+def trimmed(sql: str) -> str:
+    return f"trim(BOTH '{WHITESPACE}' FROM {sql})"
 
-def strip(text: Column) -> Column:
-    """Unicode-aware trim; plain text, the usual case, skips the slower character search."""
-    return F.when(is_plain(text), text).otherwise(F.trim(text, F.lit(WHITESPACE)))
+
+def is_plain(sql: str) -> str:
+    """True for text whose first and last characters are printable ASCII, so it needs no trimming."""
+    return f"({sql} > ' ' AND {sql} < '\x7f' AND substr({sql}, -1, 1) BETWEEN '!' AND '~')"
 
 
 def column_or_default(df: DataFrame, name: str, default=None) -> Column:
     return F.col(name) if name in df.columns else F.lit(default)
 
 
+def column_sql(df: DataFrame, name: str) -> str:
+    return quoted(name) if name in df.columns else "NULL"
+
+
 def type_of(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType if name in df.columns else T.NullType()
 
 
-def canonical_text(value: Column, data_type: T.DataType) -> Column:
+def canonical_text(sql: str, data_type: T.DataType) -> str:
     """Text of a value; whole floating numbers lose their ".0" so they match integer text."""
+    if isinstance(data_type, T.StringType):
+        return sql
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        number = value.cast("double")
-        whole = (number == F.floor(number)) & (F.abs(number) < F.lit(1e15))
+        number = f"CAST({sql} AS DOUBLE)"
         return (
-            F.when(F.isnan(number), F.lit(None).cast("string"))
-            .when(whole, number.cast("bigint").cast("string"))
-            .otherwise(number.cast("string"))
+            f"CASE WHEN isnan({number}) THEN NULL"
+            f" WHEN {number} = floor({number}) AND abs({number}) < 1e15D THEN CAST(CAST({number} AS BIGINT) AS STRING)"
+            f" ELSE CAST({number} AS STRING) END"
         )
-    return value.cast("string")
+    return f"CAST({sql} AS STRING)"
 
 
-def normalize_category(text: Column) -> Column:
+def normalize_category(sql: str) -> str:
     """Trimmed category, or "unknown" for a missing one.
 
     The rare text that needs work goes through a one-element array: with two dozen categories, the
     inlined code would otherwise grow past the size the JVM compiles.
     """
-    def cleaned(item: Column) -> Column:
-        trimmed = F.trim(item, F.lit(WHITESPACE))
-        return F.coalesce(F.when(~trimmed.isin(MISSING_CATEGORY_TEXTS), trimmed), F.lit(UNKNOWN))
-
-    usual = is_plain(text) & ~text.isin(MISSING_CATEGORY_TEXTS)
-    return F.when(usual, text).otherwise(F.element_at(F.transform(F.array(text), cleaned), 1))
+    missing = text_list(MISSING_CATEGORY_TEXTS)
+    cleaned = f"coalesce(CASE WHEN {trimmed('x')} NOT IN ({missing}) THEN {trimmed('x')} END, '{UNKNOWN}')"
+    return (
+        f"CASE WHEN {is_plain(sql)} AND {sql} NOT IN ({missing}) THEN {sql}"
+        f" ELSE element_at(transform(array({sql}), x -> {cleaned}), 1) END"
+    )
 
 
 def normalize_tier(text: Column) -> Column:
     filled = F.coalesce(F.nullif(text.cast("string"), F.lit("")), F.lit(UNKNOWN))
-    return F.lower(strip(filled))
+    return F.lower(F.trim(filled, F.lit(WHITESPACE)))
 
 
-def null_text(text: Column) -> Column:
+def null_text(sql: str) -> str:
     """Null for the cell texts a CSV uses for missing values."""
-    return F.when(~text.isin(CSV_NULL_TEXTS), text)
+    return f"CASE WHEN {sql} NOT IN ({text_list(CSV_NULL_TEXTS)}) THEN {sql} END"
 
 
 def known_id(value: Column) -> Column:

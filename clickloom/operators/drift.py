@@ -43,10 +43,10 @@ def prepare_drift_frame(
 ) -> DataFrame:
     """Feature frame with a click in [0, 1], the period and the day and hour labels."""
     frame = build_features(impressions, characters, order_col, as_of)
-    click = numeric.to_number(text.column_or_default(frame, "click", 0.0), text.type_of(frame, "click"))
+    click = F.expr(numeric.number_or_zero(text.column_sql(frame, "click"), text.type_of(frame, "click")))
     time = F.col("event_timestamp")
     frame = frame.withColumns({
-        "click": numeric.clip(F.coalesce(click, F.lit(0.0)), 0.0, 1.0),
+        "click": numeric.clip(click, 0.0, 1.0),
         "event_day": temporal.day_label(time),
         "event_hour_bucket": temporal.hour_label(time),
     })

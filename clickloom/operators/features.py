@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom.functions import numeric, temporal, text
 from clickloom.operators.joins import join_dimension
@@ -18,7 +18,7 @@ _SIDE = "_character"
 def add_time_features(df: DataFrame, hour_col: str = "hour") -> DataFrame:
     if hour_col not in df.columns:
         df = df.withColumn(hour_col, F.lit(None).cast("string"))
-    hour = text.canonical_text(F.col(hour_col), text.type_of(df, hour_col))
+    hour = text.canonical_text(text.quoted(hour_col), text.type_of(df, hour_col))
     time = F.col("event_timestamp")
     return df.withColumn("event_timestamp", temporal.parse_hour(hour)).withColumns({
         "hour_of_day": temporal.hour_of_day(time),
@@ -27,21 +27,17 @@ def add_time_features(df: DataFrame, hour_col: str = "hour") -> DataFrame:
     })
 
 
-def _count_or_zero(df: DataFrame, name: str) -> Column:
-    number = numeric.to_number(text.column_or_default(df, name, 0.0), _number_type(df, name))
-    return numeric.at_least(F.coalesce(number, F.lit(0.0)), 0.0)
-
-
-def _number_type(df: DataFrame, name: str) -> T.DataType:
-    return text.type_of(df, name) if name in df.columns else T.DoubleType()
+def _number_or_zero(df: DataFrame, name: str) -> str:
+    return numeric.number_or_zero(text.column_sql(df, name), text.type_of(df, name))
 
 
 def add_turn_features(df: DataFrame) -> DataFrame:
-    turn, messages = F.col("conversation_turn"), F.col("session_msg_count")
-    return df.withColumns({
-        "conversation_turn": _count_or_zero(df, "conversation_turn"),
-        "session_msg_count": _count_or_zero(df, "session_msg_count"),
-    }).withColumn("turn_ratio", F.when(messages > 0, turn / messages).otherwise(0.0))
+    counts = {
+        name: F.expr(numeric.at_least_zero(_number_or_zero(df, name)))
+        for name in ("conversation_turn", "session_msg_count")
+    }
+    ratio = "CASE WHEN session_msg_count > 0 THEN conversation_turn / session_msg_count ELSE 0.0D END"
+    return df.withColumns(counts).withColumn("turn_ratio", F.expr(ratio))
 
 
 def deduplicate_characters(characters: DataFrame, order_col: str | None = None) -> DataFrame:
@@ -68,7 +64,7 @@ def _age_reference(df: DataFrame, as_of: str | None) -> Column:
         event = temporal.to_utc_naive(F.col("event_timestamp"), text.type_of(df, "event_timestamp"))
         return F.coalesce(event, now)
     if "hour" in df.columns:
-        return F.coalesce(temporal.parse_hour(F.col("hour").cast("string")), now)
+        return F.coalesce(temporal.parse_hour("CAST(hour AS STRING)"), now)
     return now
 
 
@@ -90,36 +86,34 @@ def join_character_features(
     joined = join_dimension(facts, side, "character_id")
     values = {}
     for name in attributes:
-        kind = text.type_of(facts, name)
-        own = F.col(name) if name in facts.columns else None
-        value = F.col(name + _SIDE)
-        if name == "created_at":
-            value = value if own is None else (
-                F.when(F.col("_created"), value).otherwise(temporal.to_utc_naive(own, kind))
-            )
+        own, kind = text.quoted(name), text.type_of(facts, name)
+        value = text.quoted(name + _SIDE)
+        if name not in facts.columns:
+            values[name] = F.col(value)
+        elif name == "created_at":
+            values[name] = F.when(F.col("_created"), F.col(value)).otherwise(temporal.to_utc_naive(F.col(own), kind))
         elif name == "num_interactions":
-            value = value if own is None else F.coalesce(value, numeric.to_number(own, kind))
-        elif own is not None:
-            value = F.coalesce(value, own.cast("string"))
-        values[name] = value
+            values[name] = F.expr(f"coalesce({value}, {numeric.to_number(own, kind)})")
+        else:
+            values[name] = F.expr(f"coalesce({value}, CAST({own} AS STRING))")
     out = joined.withColumns(values).drop("_created", *[name + _SIDE for name in attributes])
     age = temporal.whole_days(F.col("created_at"), _age_reference(out, as_of)).cast("double")
-    return out.withColumn("character_age_days", numeric.at_least(F.coalesce(age, F.lit(0.0)), 0.0))
+    return out.withColumn("character_age_days", F.greatest(age, F.lit(0.0)))  # greatest skips null
 
 
 def _dimension_values(side: DataFrame, attributes: list[str]) -> DataFrame:
     """Dimension columns parsed once per character, before they meet the impressions."""
     parsed = []
     for name in attributes:
-        value, kind = text.column_or_default(side, name), text.type_of(side, name)
+        value, kind = text.column_sql(side, name), text.type_of(side, name)
         if name == "created_at":
-            value = temporal.to_utc_naive(value, kind)
+            column = temporal.to_utc_naive(F.expr(value), kind)
         elif name == "num_interactions":
-            value = numeric.to_number(value, kind)
+            column = F.expr(numeric.to_number(value, kind))
         else:
-            value = value.cast("string")
-        parsed.append(value.alias(name + _SIDE))
-    created = text.column_or_default(side, "created_at").isNotNull().alias("_created")
+            column = F.expr(f"CAST({value} AS STRING)")
+        parsed.append(column.alias(name + _SIDE))
+    created = F.expr(f"{text.column_sql(side, 'created_at')} IS NOT NULL").alias("_created")
     return side.select("character_id", *parsed, created)
 
 
@@ -127,15 +121,15 @@ def fill_missing_values(df: DataFrame, categorical_columns: Iterable[str] = CATE
     """Trimmed category text with "unknown" for missing, numbers with 0 for missing."""
     values = {}
     for name in categorical_columns:
-        raw = text.canonical_text(text.column_or_default(df, name), text.type_of(df, name))
+        raw = text.canonical_text(text.column_sql(df, name), text.type_of(df, name))
         values[name] = text.normalize_category(raw)
     for name in NUMERIC_FEATURES:
-        number = numeric.to_number(text.column_or_default(df, name, 0.0), _number_type(df, name))
-        values[name] = F.coalesce(number, F.lit(0.0))
+        values[name] = _number_or_zero(df, name)
     for name in ("num_interactions", "character_age_days"):
-        values[name] = numeric.at_least(values[name], 0.0)
-    values["num_interactions_log1p"] = numeric.log1p_positive(values["num_interactions"])
-    return df.withColumns(values)
+        values[name] = numeric.at_least_zero(values[name])
+    values["num_interactions_log1p"] = f"log1p({values['num_interactions']})"
+    kept = [text.quoted(name) for name in df.columns if name not in values]
+    return df.selectExpr(*kept, *[f"{sql} AS {text.quoted(name)}" for name, sql in values.items()])
 
 
 def add_dimension_defaults(df: DataFrame) -> DataFrame:

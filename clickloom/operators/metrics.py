@@ -176,15 +176,14 @@ def add_slice_columns(
     frame: DataFrame, train_counts: DataFrame, min_impressions: int = COLD_START_MIN_IMPRESSIONS
 ) -> DataFrame:
     """Adds ``turn_stage`` and ``cold_start_character``."""
-    turn = numeric.to_number(
-        text.column_or_default(frame, "conversation_turn", 0.0),
-        text.type_of(frame, "conversation_turn"),
+    turn = numeric.number_or_zero(
+        text.column_sql(frame, "conversation_turn"), text.type_of(frame, "conversation_turn")
     )
     keyed = frame.withColumn("character_id", text.known_id(text.column_or_default(frame, "character_id", UNKNOWN)))
     return (
         join_dimension(keyed, train_counts, "character_id")
         .withColumns({
-            "turn_stage": rules.turn_stage(F.coalesce(turn, F.lit(0.0))),
+            "turn_stage": rules.turn_stage(F.expr(turn)),
             "cold_start_character": rules.cold_start(F.col("train_impressions"), min_impressions),
         })
         .drop("train_impressions")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom.functions import numeric, rules, text
 from clickloom.schema import FALLBACK_CTR, UNKNOWN, UNTRAINED_VERSION
@@ -19,13 +19,12 @@ def baseline_score(df: DataFrame, train: DataFrame, target: str = "click") -> Da
 
 
 def _known(df: DataFrame, name: str) -> Column:
-    value = text.canonical_text(text.column_or_default(df, name), text.type_of(df, name))
-    return F.coalesce(F.nullif(value, F.lit("")), F.lit(UNKNOWN)) != UNKNOWN
+    value = text.canonical_text(text.column_sql(df, name), text.type_of(df, name))
+    return F.expr(f"coalesce({value}, '') NOT IN ('', '{UNKNOWN}')")
 
 
 def _count(df: DataFrame, name: str) -> Column:
-    kind = text.type_of(df, name) if name in df.columns else T.DoubleType()
-    return F.coalesce(numeric.to_number(text.column_or_default(df, name, 0.0), kind), F.lit(0.0))
+    return F.expr(numeric.number_or_zero(text.column_sql(df, name), text.type_of(df, name)))
 
 
 def fallback_columns(df: DataFrame, prior: float = FALLBACK_CTR, reason: str | None = None) -> tuple[Column, Column]:

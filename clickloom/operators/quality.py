@@ -18,11 +18,11 @@ NEGATIVE_CHECKS = {"impressions": ["conversation_turn", "session_msg_count"], "c
 
 
 def _hour(df: DataFrame) -> Column:
-    return temporal.parse_hour(text.canonical_text(F.col("hour"), text.type_of(df, "hour")))
+    return temporal.parse_hour(text.canonical_text("hour", text.type_of(df, "hour")))
 
 
 def _number(df: DataFrame, name: str) -> Column:
-    return numeric.to_number(F.col(name), text.type_of(df, name))
+    return F.expr(numeric.to_number(text.quoted(name), text.type_of(df, name)))
 
 
 def _check(table: str, code: str, column: str | None, severity: str, count: Column) -> Column:
@@ -153,7 +153,7 @@ def check_target(df: DataFrame, target: str = "click") -> DataFrame:
     """The frame with an integer target; raises if a value is missing or not a number."""
     if target not in df.columns:
         raise ValueError(f"Training frame must contain {target} target")
-    number = numeric.to_number(F.col(target), text.type_of(df, target))
+    number = _number(df, target)
     if df.where(number.isNull()).limit(1).count():
         raise ValueError(f"Training target contains missing or non-numeric {target} values")
     return df.withColumn(target, number.cast("int"))

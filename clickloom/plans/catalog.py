@@ -91,7 +91,7 @@ def parse_hour(spark, sf_dir):
     )
     events = views.table(spark, sf_dir, "events")
     return events.select(F.col("event_id").cast("string").alias("id"), hour.alias("hour")).withColumn(
-        "event_timestamp", temporal.parse_hour(F.col("hour"))
+        "event_timestamp", temporal.parse_hour("hour")
     )
 
 
@@ -118,7 +118,7 @@ def numeric_coerce(spark, sf_dir):
         .when(form == 2, F.concat(F.lit("-"), value)).when(form == 3, F.concat(value, F.lit("d"))).otherwise("NaN")
     )
     df = views.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), written.alias("t"))
-    return df.select("id", F.round(numeric.to_number(F.col("t"), df.schema["t"].dataType), 6).alias("number"))
+    return df.select("id", F.round(F.expr(numeric.to_number("t", df.schema["t"].dataType)), 6).alias("number"))
 
 
 @register("time_features", with_views(["featured"], """
@@ -720,8 +720,18 @@ def features_by_day(spark, sf_dir):
 SMALL_TRAINING = model.TrainingConfig(iterations=5, depth=3, hash_buckets=256)
 
 
+_FITTED: dict[tuple[str, str], tuple] = {}
+
+
 def _trained(spark, sf_dir):
-    """A model fitted on the train split, and the labelled frame it came from."""
+    """A model fitted on the train split, and the labelled frame it came from; fitted once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        _FITTED[key] = _fit(spark, sf_dir)
+    return _FITTED[key]
+
+
+def _fit(spark, sf_dir):
     folder = work_path(spark, "frame")
     sinks.write_by_day(
         _frame(spark, sf_dir).withColumn("event_day", temporal.day_label(F.col("event_timestamp"))), folder

@@ -5,14 +5,11 @@ The views only rename and compute columns and keep every row. ``SQL`` holds the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clickloom.operators.features import build_features
 from clickloom.operators.joins import join_dimension
 
-CANDIDATE_FIELDS = [
-    "candidate_id", "campaign_id", "banner_pos", "C14", "bid", "safety_tier", "fatigue_count", "pacing_ratio",
-]
 CANDIDATE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
 
 
@@ -20,41 +17,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _text(value: Column) -> Column:
-    return value.cast("string")
-
-
 def impression_columns(events: DataFrame, *extra: str) -> DataFrame:
     """Impressions from events, batch or stream. No feature is derived from the label."""
-    k, event, user = F.col("k"), F.col("event_id"), F.col("user_id")
-    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int")).select(
-        _text(event).alias("id"),
-        F.date_format("ts", "yyMMddHH").alias("hour"),
-        (F.col("event_type") == "click").cast("double").alias("click"),
-        _text(k % 4).alias("banner_pos"),
-        F.concat(F.lit("site"), k).alias("site_id"),
-        F.concat(F.lit("sd"), k % 10).alias("site_domain"),
-        F.concat(F.lit("s"), k % 5).alias("site_category"),
-        F.concat(F.lit("app"), event % 50).alias("app_id"),
-        F.concat(F.lit("ad"), event % 10).alias("app_domain"),
-        F.concat(F.lit("a"), k % 7).alias("app_category"),
-        F.concat(F.lit("dev"), user).alias("device_id"),
-        F.concat(F.lit("ip"), event % 1000).alias("device_ip"),
-        F.concat(F.lit("m"), user % 20).alias("device_model"),
-        _text(k % 3).alias("device_type"),
-        _text(event % 4).alias("device_conn_type"),
-        F.lit("1005").alias("C1"),
-        _text(F.floor("value")).alias("C14"),
-        F.lit("320").alias("C15"),
-        F.lit("50").alias("C16"),
-        _text(k).alias("C17"),
-        _text(k % 4).alias("C18"),
-        _text(user % 7).alias("C19"),
-        _text(event % 9).alias("C20"),
-        _text(event % 11).alias("C21"),
-        _text(user).alias("character_id"),
-        (event % 12).cast("double").alias("conversation_turn"),
-        (event % 20).cast("double").alias("session_msg_count"),
+    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int")).selectExpr(
+        "string(event_id) AS id",
+        "date_format(ts, 'yyMMddHH') AS hour",
+        "double(event_type = 'click') AS click",
+        "string(k % 4) AS banner_pos",
+        "concat('site', k) AS site_id",
+        "concat('sd', k % 10) AS site_domain",
+        "concat('s', k % 5) AS site_category",
+        "concat('app', event_id % 50) AS app_id",
+        "concat('ad', event_id % 10) AS app_domain",
+        "concat('a', k % 7) AS app_category",
+        "concat('dev', user_id) AS device_id",
+        "concat('ip', event_id % 1000) AS device_ip",
+        "concat('m', user_id % 20) AS device_model",
+        "string(k % 3) AS device_type",
+        "string(event_id % 4) AS device_conn_type",
+        "'1005' AS C1",
+        "string(floor(value)) AS C14",
+        "'320' AS C15",
+        "'50' AS C16",
+        "string(k) AS C17",
+        "string(k % 4) AS C18",
+        "string(user_id % 7) AS C19",
+        "string(event_id % 9) AS C20",
+        "string(event_id % 11) AS C21",
+        "string(user_id) AS character_id",
+        "double(event_id % 12) AS conversation_turn",
+        "double(event_id % 20) AS session_msg_count",
         *extra,
     )
 
@@ -63,38 +55,42 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impression_columns(table(spark, sf_dir, "events"))
 
 
-def _tier(number: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, ["sfw", "suggestive", "mature", "unknown"])), (number % 4 + 1).cast("int"))
+def _tier(number: str) -> str:
+    return f"element_at(array('sfw', 'suggestive', 'mature', 'unknown'), int(({number}) % 4 + 1)) AS safety_tier"
 
 
 def characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions of every customer; every tenth goes by another id and joins to no impression."""
     customer = table(spark, sf_dir, "customer").withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
-    key = F.col("c_custkey")
-    return customer.select(
-        F.when(key % 10 == 9, F.concat(F.lit("retired-"), key)).otherwise(_text(key)).alias("character_id"),
-        F.col("c_name").alias("character_name"),
-        F.concat(F.lit("about "), "c_name").alias("character_description"),
-        _tier(F.col("c_nationkey") + 2 - F.col("version")).alias("safety_tier"),
-        F.col("c_mktsegment").alias("creator_type"),
-        F.col("c_acctbal").alias("num_interactions"),
-        F.date_format(F.date_add(F.lit("2023-12-25").cast("date"), (key % 40).cast("int")), "yyyy-MM-dd").alias("created_at"),
+    return customer.selectExpr(
+        "CASE WHEN c_custkey % 10 = 9 THEN concat('retired-', c_custkey) ELSE string(c_custkey) END AS character_id",
+        "c_name AS character_name",
+        "concat('about ', c_name) AS character_description",
+        _tier("c_nationkey + 2 - version"),
+        "c_mktsegment AS creator_type",
+        "c_acctbal AS num_interactions",
+        "string(date_add(DATE'2023-12-25', int(c_custkey % 40))) AS created_at",
         "version",
     )
 
 
+DEFECTS = {
+    "hour": "CASE WHEN id % 97 = 0 THEN NULL WHEN id % 101 = 0 THEN 'bad' ELSE hour END",
+    "click": "CASE WHEN id % 103 = 0 THEN 2.0D ELSE click END",
+    "app_category": "CASE WHEN id % 107 = 0 THEN ' ' WHEN id % 109 = 0 THEN ' x ' ELSE app_category END",
+    "site_category": "CASE WHEN id % 113 = 0 THEN 'None' ELSE site_category END",
+    "character_id": "CASE WHEN id % 127 = 0 THEN NULL ELSE character_id END",
+    "conversation_turn": "CASE WHEN id % 131 = 0 THEN -3.0D ELSE conversation_turn END",
+    "session_msg_count": "CASE WHEN id % 137 = 0 THEN NULL ELSE session_msg_count END",
+}
+
+
 def dirty_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Impressions with the defects the provided events lack."""
-    event = F.col("id").cast("bigint")
-    return impressions(spark, sf_dir).withColumns({
-        "hour": F.when(event % 97 == 0, None).when(event % 101 == 0, "bad").otherwise(F.col("hour")),
-        "click": F.when(event % 103 == 0, 2.0).otherwise(F.col("click")),
-        "app_category": F.when(event % 107 == 0, " ").when(event % 109 == 0, " x ").otherwise(F.col("app_category")),
-        "site_category": F.when(event % 113 == 0, "None").otherwise(F.col("site_category")),
-        "character_id": F.when(event % 127 == 0, None).otherwise(F.col("character_id")),
-        "conversation_turn": F.when(event % 131 == 0, -3.0).otherwise(F.col("conversation_turn")),
-        "session_msg_count": F.when(event % 137 == 0, None).otherwise(F.col("session_msg_count")),
-    })
+    df = impressions(spark, sf_dir)
+    return df.selectExpr(*[
+        f"{DEFECTS[name].replace('id %', 'bigint(id) %')} AS {name}" if name in DEFECTS else name for name in df.columns
+    ])
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,17 +107,16 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rank_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ad opportunity per order."""
-    order = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(
-        _text(order).alias("request_id"),
-        _text(F.col("o_custkey")).alias("character_id"),
-        _tier(order).alias("safety_tier"),
-        F.when(order % 3 != 0, F.col("o_orderpriority")).alias("app_category"),
-        F.when(order % 4 != 0, F.col("o_orderstatus")).alias("site_category"),
-        F.lit("9").alias("banner_pos"),
-        _text(order % 6).alias("C14"),
-        (order % 12).cast("double").alias("conversation_turn"),
-        (order % 20).cast("double").alias("session_msg_count"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        "string(o_orderkey) AS request_id",
+        "string(o_custkey) AS character_id",
+        _tier("o_orderkey"),
+        "CASE WHEN o_orderkey % 3 != 0 THEN o_orderpriority END AS app_category",
+        "CASE WHEN o_orderkey % 4 != 0 THEN o_orderstatus END AS site_category",
+        "'9' AS banner_pos",
+        "string(o_orderkey % 6) AS C14",
+        "double(o_orderkey % 12) AS conversation_turn",
+        "double(o_orderkey % 20) AS session_msg_count",
     )
 
 
@@ -129,32 +124,28 @@ def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One candidate ad per line item: request, sort columns ``CANDIDATE_ORDER`` and the ad's fields."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
     item = join_dimension(table(spark, sf_dir, "lineitem"), part, "l_partkey")
-    size, key = F.col("p_size"), F.col("l_partkey")
-    return item.select(
-        _text(F.col("l_orderkey")).alias("request_id"),
+    return item.selectExpr(
+        "string(l_orderkey) AS request_id",
         *CANDIDATE_ORDER,
-        F.when(key % 5 != 0, F.concat(F.lit("part"), key)).alias("candidate_id"),
-        F.concat(F.lit("campaign"), F.col("l_suppkey")).alias("campaign_id"),
-        F.when(size % 2 == 0, _text(size % 8)).alias("banner_pos"),
-        _text(size).alias("C14"),
-        F.col("l_tax").alias("bid"),
-        _tier(size).alias("safety_tier"),
-        (size % 10).cast("int").alias("fatigue_count"),
-        ((key % 30) / F.lit(15.0)).alias("pacing_ratio"),
+        "CASE WHEN l_partkey % 5 != 0 THEN concat('part', l_partkey) END AS candidate_id",
+        "concat('campaign', l_suppkey) AS campaign_id",
+        "CASE WHEN p_size % 2 = 0 THEN string(p_size % 8) END AS banner_pos",
+        "string(p_size) AS C14",
+        "l_tax AS bid",
+        _tier("p_size"),
+        "p_size % 10 AS fatigue_count",
+        "(l_partkey % 30) / 15.0D AS pacing_ratio",
     )
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate ads from customers, some of which break the field rules."""
-    key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
-        _text(key).alias("candidate_id"),
-        F.col("c_acctbal").alias("bid"),
-        F.element_at(
-            F.array(*map(F.lit, ["sfw", "suggestive", "mature", "unknown", "banned"])), (F.col("c_nationkey") % 5 + 1).cast("int")
-        ).alias("safety_tier"),
-        (key % 10 - 1).cast("int").alias("fatigue_count"),
-        ((key % 30) / F.lit(15.0) - F.lit(0.1)).alias("pacing_ratio"),
+    return table(spark, sf_dir, "customer").selectExpr(
+        "string(c_custkey) AS candidate_id",
+        "c_acctbal AS bid",
+        "element_at(array('sfw', 'suggestive', 'mature', 'unknown', 'banned'), c_nationkey % 5 + 1) AS safety_tier",
+        "int(c_custkey % 10 - 1) AS fatigue_count",
+        "(c_custkey % 30) / 15.0D - 0.1D AS pacing_ratio",
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clickloom.functions import numeric, text
 from clickloom.operators.features import build_features
@@ -31,17 +31,18 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", multi_line: boo
 
 def normalize_table(df: DataFrame, required: list[str], numerics: list[str]) -> DataFrame:
     """Null texts become null, known numbers become doubles and every other known column is text."""
-    values = {}
+    values = []
     for name in df.columns:
-        kind = df.schema[name].dataType
+        sql, kind = text.quoted(name), df.schema[name].dataType
+        is_text = isinstance(kind, T.StringType)
         if name in numerics:
-            source = text.null_text(F.col(name)) if kind.typeName() == "string" else F.col(name)
-            values[name] = numeric.to_number(source, kind)
-        elif kind.typeName() == "string":
-            values[name] = text.null_text(F.col(name))
-        elif name in required and kind.typeName() not in ("timestamp", "timestamp_ntz", "date"):
-            values[name] = text.canonical_text(F.col(name), kind)
-    return df.withColumns(values)
+            sql = numeric.to_number(f"({text.null_text(sql)})" if is_text else sql, kind)
+        elif is_text:
+            sql = text.null_text(sql)
+        elif name in required and not isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            sql = text.canonical_text(sql, kind)
+        values.append(f"{sql} AS {text.quoted(name)}")
+    return df.selectExpr(*values)
 
 
 def load_impressions(
