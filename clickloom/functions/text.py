@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from clickloom.schema import CSV_NULL_TEXTS, MISSING_CATEGORY_TEXTS, UNKNOWN
+from clickloom.schema import CSV_NULL_TEXTS, MISSING_CATEGORY_TEXTS, SAFETY_TIERS, UNKNOWN
 
 # The Unicode white space characters.
 WHITESPACE = (
@@ -76,8 +76,10 @@ def normalize_category(sql: str) -> str:
 
 
 def normalize_tier(text: Column) -> Column:
-    filled = F.coalesce(F.nullif(text.cast("string"), F.lit("")), F.lit(UNKNOWN))
-    return F.lower(F.trim(filled, F.lit(WHITESPACE)))
+    """Trimmed lower-case tier, with null and empty text as "unknown"; the known tiers are passed through."""
+    value = text.cast("string")
+    filled = F.coalesce(F.nullif(value, F.lit("")), F.lit(UNKNOWN))
+    return F.when(value.isin(SAFETY_TIERS), value).otherwise(F.lower(F.trim(filled, F.lit(WHITESPACE))))
 
 
 def null_text(sql: str) -> str:

@@ -19,7 +19,9 @@ from clickloom.schema import COLD_START_MIN_IMPRESSIONS, SLICE_COLUMNS, UNKNOWN
 TOP_K = (100, 1000, 10000)
 CALIBRATION_BINS = 10
 MAX_SLICE_VALUES = 25
-TOP_K_SALTS = 64
+TOP_K_GROUPS = 64
+TOP_SHARES = (0.9, 0.99, 0.999, 0.9999, 0.99999)
+TOP_ACCURACY = 100_000
 
 
 def _keyed(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -114,23 +116,39 @@ def calibration_error(calibration: DataFrame, keys: Sequence[str] = ()) -> DataF
     return calibration.groupBy(*keys).agg(error.alias("calibration_error"))
 
 
+def _cut_to_top(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Drops rows that cannot be among the k best of their key group.
+
+    High quantiles are candidate cuts. Each group takes the highest cut that leaves it k rows by an
+    exact count, so the quantiles may be approximate.
+    """
+    cuts = rows.agg(F.percentile_approx("p", list(TOP_SHARES), TOP_ACCURACY)).first()[0]
+    if not cuts:
+        return rows
+    choice = F.lit(float("-inf"))
+    for cut in sorted(set(cuts)):
+        choice = F.when(F.count_if(F.col("p") >= cut) >= k, F.lit(cut)).otherwise(choice)
+    if not keys:
+        return rows.where(F.col("p") >= rows.agg(choice).scalar())
+    chosen = rows.groupBy(*keys).agg(choice.alias("_cut"))  # one row per key group
+    return rows.join(F.broadcast(chosen), keys).where(F.col("p") >= F.col("_cut")).drop("_cut")
+
+
 def topk_rows(scored: DataFrame, keys: Sequence[str], k: int, id_col: str = "id") -> DataFrame:
     """The k best rows per key group with their ``rank``; ties go by id.
 
-    Each task keeps at most k rows per group, then one of several salted groups, then the last step:
-    no task sees more than a bounded multiple of k rows.
+    Rows below a safe cut are dropped in place. The rest is reduced in steps - per task, per group of
+    tasks, overall - so that even if one score holds most rows, no task sees more than its share.
     """
+    keys = list(keys)
     best = [F.desc("p"), F.col(id_col)]
     rows = _keyed(scored, keys).select(*keys, id_col, F.col("y").cast("int").alias("y"), F.col("p").cast("double").alias("p"))
-    salted = Window.partitionBy(*keys, "_salt").orderBy(*best)
-    kept = (
-        rows.withColumn("_salt", F.spark_partition_id() % TOP_K_SALTS)
-        .withColumn("_place", F.row_number().over(salted))
-        .where(F.col("_place") <= k)
-        .drop("_salt", "_place")
-    )
-    final = Window.partitionBy(*keys).orderBy(*best)
-    return kept.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
+    kept = _cut_to_top(rows, keys, k).withColumn("_task", F.spark_partition_id())
+    for salt in (F.col("_task"), F.col("_task") % TOP_K_GROUPS):
+        place = F.row_number().over(Window.partitionBy(*keys, salt).orderBy(*best))
+        kept = kept.withColumn("rank", place).where(F.col("rank") <= k)
+    final = F.row_number().over(Window.partitionBy(*keys).orderBy(*best))
+    return kept.drop("_task").withColumn("rank", final).where(F.col("rank") <= k)
 
 
 def topk_metrics(

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clickloom.functions import rules, text
-from clickloom.operators.joins import join_dimension
 from clickloom.operators.prediction import fallback_columns, fallback_score
 from clickloom.schema import AD_FIELDS, FALLBACK_CTR, MAX_RANK_CANDIDATES, SAFETY_TIERS
 
@@ -61,23 +60,25 @@ def assemble_requests(
 ) -> DataFrame:
     """Contexts with ``candidate_count``, ``rejection`` and, if accepted, the ``candidates`` array.
 
-    Candidate rows carry ``request_id``. Sizes are counted first, with a combine before the shuffle,
-    and arrays are built for accepted requests only, so no array exceeds ``limit``.
+    Candidate rows carry ``request_id``. Requests above ``limit`` are rejected by their full count, so
+    no more than ``limit`` rows of a request need to be moved or gathered; each task already drops the
+    others before the shuffle. All sides share one partitioning by request.
     """
     counts = candidates.groupBy("request_id").agg(F.count("*").alias("candidate_count"))
     fields = [name for name in candidates.columns if name not in ("request_id", *order_cols)]
-    sized = join_dimension(candidates, counts, "request_id").where(F.col("candidate_count") <= limit)
-    place = F.struct(*order_cols).alias("place")
-    lists = sized.groupBy("request_id").agg(
-        F.array_sort(F.collect_list(F.struct(place, F.struct(*fields).alias("ad")))).alias("_ads")
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy(*order_cols))
+    lists = (
+        candidates.withColumn("_place", place).where(F.col("_place") <= limit)
+        .groupBy("request_id")
+        .agg(F.array_sort(F.collect_list(F.struct("_place", F.struct(*fields).alias("ad")))).alias("_ads"))
     )
-    lists = lists.select("request_id", F.transform("_ads", lambda entry: entry["ad"]).alias("candidates"))
     size = F.coalesce("candidate_count", F.lit(0))
+    joined = contexts.join(counts, "request_id", "left").join(lists, "request_id", "left")
     return (
-        contexts.join(counts, "request_id", "left")
-        .join(lists, "request_id", "left")
-        .withColumn("candidate_count", size)
+        joined.withColumn("candidate_count", size)
         .withColumn("rejection", _size_verdict(F.col("candidate_count"), limit))
+        .withColumn("candidates", F.when(F.col("rejection").isNull(), F.col("_ads.ad")))
+        .drop("_ads")
     )
 
 
@@ -174,15 +175,17 @@ def rank_arrays(
     tier = text.normalize_tier(text.column_or_default(accepted, "safety_tier"))
     base = accepted.withColumns({"_ctr": ctr, "_reasons": reasons, "_tier": tier})
 
-    def scored(ad: Column, position: Column) -> Column:
+    def shown(ad: Column, position: Column) -> Column:
         terms = _ad_terms(ad, fields, position)
-        inputs = [F.col("_ctr"), F.col("_tier"), terms["tier"], terms["ratio"], terms["count"]]
+        return F.struct(position.alias("position"), *[value.alias(name) for name, value in terms.items()])
+
+    def scored(entry: Column) -> Column:
+        inputs = [F.col("_ctr"), F.col("_tier"), entry["tier"], entry["ratio"], entry["count"]]
         return F.struct(
             (-rules.ad_score(*inputs)).alias("sort_key"),
-            position.alias("position"),
-            terms["candidate_id"].alias("candidate_id"),
-            terms["tier"].alias("tier"),
-            F.concat("_reasons", rules.ad_reasons(*inputs)).alias("reasons"),
+            entry["position"].alias("position"),
+            entry["candidate_id"].alias("candidate_id"),
+            rules.ad_reasons(*inputs).alias("reasons"),
         )
 
     def ranked(entry: Column, place: Column) -> Column:
@@ -191,8 +194,9 @@ def rank_arrays(
             entry["candidate_id"].alias("candidate_id"),
             F.col("_ctr").alias("predicted_ctr"),
             (-entry["sort_key"]).alias("final_score"),
-            entry["reasons"].alias("reasons"),
+            F.concat("_reasons", entry["reasons"]).alias("reasons"),
         )
 
-    shown = F.filter(F.transform("candidates", scored), lambda entry: ~rules.blocks(F.col("_tier"), entry["tier"]))
-    return base.select("request_id", F.transform(F.array_sort(shown), ranked).alias("ranked_candidates"))
+    # Each step computes its values once per candidate; the next one only reads them.
+    entries = F.filter(F.transform("candidates", shown), lambda entry: ~rules.blocks(F.col("_tier"), entry["tier"]))
+    return base.select("request_id", F.transform(F.array_sort(F.transform(entries, scored)), ranked).alias("ranked_candidates"))

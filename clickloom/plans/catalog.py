@@ -470,7 +470,9 @@ kept AS (SELECT split, slice, value FROM (SELECT split, slice, value, count(*) A
 chosen AS (SELECT long.* FROM long JOIN kept USING (split, slice, value))
 """ + _METRIC_SQL.format(source="chosen", keys="split, slice, value") + "SELECT * FROM measured")
 def slice_metrics(spark, sf_dir):
-    scored = views.scored(spark, sf_dir)
+    folder = work_path(spark, "scored")
+    views.scored(spark, sf_dir).write.parquet(folder)  # read four times below
+    scored = spark.read.parquet(folder)
     frame = metrics.add_slice_columns(scored, metrics.character_counts(scored), 65)
     return rounded_metrics(metrics.slice_metrics(frame, ["split"]), ["split", "slice", "value"])
 
@@ -517,7 +519,9 @@ def rank_candidates(spark, sf_dir):
 @register("rank_arrays", with_views(["ranked"], """
 SELECT request_id, candidate_id, rank, predicted_ctr, final_score, reasons FROM ranked"""))
 def rank_arrays(spark, sf_dir):
-    ranked = ranking.rank_arrays(requests(spark, sf_dir)).select("request_id", F.inline("ranked_candidates"))
+    # The outer form keeps Spark from ranking once more to filter empty lists ahead of the unnesting.
+    ranked = ranking.rank_arrays(requests(spark, sf_dir)).select("request_id", F.inline_outer("ranked_candidates"))
+    ranked = ranked.where(F.col("rank").isNotNull())
     return ranked.select("request_id", "candidate_id", F.col("rank").cast("bigint").alias("rank"), "predicted_ctr", "final_score", joined_reasons())
 
 

@@ -63,8 +63,21 @@ def test_ranking_metrics_do_not_send_rows_to_one_task(spark):
     assert "SinglePartition" not in text and "Python" not in text
 
 
-def test_topk_limits_rows_before_the_shuffle(spark):
+def test_topk_drops_rows_before_the_shuffle(spark):
     text = plan(metrics.topk_rows(views.scored(spark, SMALL), ["split"], 10))
+    assert "_cut" in text and "BroadcastHashJoin" in text
+
+
+def test_topk_when_one_score_holds_all_rows(spark):
+    df = spark.range(5000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("id"), F.lit(0.2).alias("p"), (F.col("id") < 7).cast("int").alias("y"))
+    best = metrics.topk_rows(df.repartition(9), [], 10).orderBy("rank").collect()
+    assert [row["id"] for row in best] == [f"{i:05d}" for i in range(10)]
+    assert metrics.topk_metrics(df, k_values=[10, 2000]).where("k = 10").first()["ctr_at_k"] == 0.7
+
+
+def test_requests_drop_surplus_candidates_before_the_shuffle(spark):
+    requests = ranking.assemble_requests(views.rank_contexts(spark, SMALL), views.candidate_rows(spark, SMALL), views.CANDIDATE_ORDER)
+    text = plan(requests)
     assert "WindowGroupLimit" in text and "Partial" in text
 
 
