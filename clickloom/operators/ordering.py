@@ -23,7 +23,7 @@ from clickloom.functions import temporal
 from clickloom.session import materialize
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
-MAX_BUCKETS = 1000
+MAX_BUCKETS = 20_000
 SMALL_CELL = 200_000  # rows one task may sort
 
 
@@ -129,13 +129,17 @@ def _keys_in_cell(keys: DataFrame, order: TimeOrder, wanted: list[Row]) -> dict[
 
 
 def bucket_limits(df: DataFrame, column: str, buckets: int | None = None) -> list[float]:
-    """Quantiles of a numeric column as bucket limits; a bounded number of values reaches the driver."""
+    """Quantiles of a numeric column as bucket limits; at most ``MAX_BUCKETS`` values reach the driver.
+
+    The number follows the session's shuffle partitions, which grow with the data.
+    """
     if buckets is None:
         buckets = min(MAX_BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    shares = [i / buckets for i in range(1, buckets)]
-    if not shares:
+    if buckets < 2:
         return []
-    found = df.agg(F.percentile_approx(F.col(column).cast("double"), shares, 10 * buckets)).first()[0]
+    shares = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
+    quantiles = F.expr(f"percentile_approx(CAST(`{column}` AS DOUBLE), array({shares}), {10 * buckets})")
+    found = df.agg(quantiles).first()[0]
     return sorted(set(found or []))
 
 
