@@ -12,7 +12,7 @@ from typing import NamedTuple
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import bpe
+from clickloom.llm import bpe, minhash
 
 PACKAGE = Path(__file__).resolve().parents[1]
 
@@ -43,6 +43,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": Query(op1_byte_bpe),
+    "op4_minhash_near_dedup": Query(op4_minhash_near_dedup),
 }
