@@ -11,8 +11,10 @@ from typing import NamedTuple
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clickloom.llm import bpe, minhash
+from clickloom.llm import bpe, langid, minhash, rules, spots, toxicity
+from clickloom.llm.components import reliable
 
 PACKAGE = Path(__file__).resolve().parents[1]
 
@@ -43,11 +45,53 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
+    """The chain of the given labels: poor text, toxic text, and toxic text that is otherwise fit."""
+    return toxicity.fit(docs, labels, {
+        "low_quality": F.col("quality") == 0,
+        "toxic": F.col("toxic") == 1,
+        "toxic_prose": (F.col("toxic") == 1) & (F.col("quality") == 1),
+    })
+
+
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_chain(docs, table(spark, sf_dir, "labels")))
+    toxic = F.col("p_toxic") >= toxicity.THRESHOLD
+    return scored.withColumns({"toxic": toxic, "kept": ~toxic})
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def quality_rules(docs: DataFrame, labels: DataFrame) -> list[rules.Rule]:
+    return rules.learn(reliable(rules.labelled_features(docs, labels, F.col("quality") == 0)))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.judge(docs, quality_rules(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    docs = docs.withColumn("held_out", held_out)
+    known = docs.where(~F.col("held_out") & F.col("doc_id").isNotNull())
+    model = langid.fit(known, public_tokenizers.path("piece_bpe_32k.model"))
+    return langid.predict(docs, model, keep=("held_out",))
+
+
+def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": Query(op1_byte_bpe),
+    "op3_toxicity_chain": Query(op3_toxicity_chain),
     "op4_minhash_near_dedup": Query(op4_minhash_near_dedup),
+    "op7_quality_rules": Query(op7_quality_rules),
+    "op8_language_id": Query(op8_language_id),
+    "op9_spot_signatures": Query(op9_spot_signatures),
 }
