@@ -8,9 +8,10 @@ is exact. From that follow the steps.
 * Copies (equal sets) are grouped by a digest of the set; from here on only one of each group takes part.
 * Inverted lists: each sketch enters the lists of its rarest values, so many that two sketches which share ``least`` values
   meet in one of them. Frequent values of a corpus thus make no long lists, and values of one set make none at all.
-* A long list (many near copies of one text) is not turned into all its pairs. Its sets are compared with a few leaders
-  first, twice; pairs within a component that is known by then are left out, the others are made.
-* Pairs are filtered by set size and by the share of the union sketch, and what is left is confirmed on the full sets.
+* The pairs of short lists are filtered by set size and by the share of the union sketch, then confirmed on the full sets.
+* A long list (many near copies of one text) is not turned into its pairs. Its sets are compared with a few leaders, those
+  that share most; then only sets that no leader is linked to are compared with the rest. That is done in blocks of full
+  sets, by one matrix product a block, and only links come out.
 * Components of the confirmed links; copies follow the set they stand for.
 """
 
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +33,11 @@ K = 48
 LEAST = 20
 LONG_LIST = 40
 """Lists beyond this length meet leaders first."""
-LEADERS = 8
-ATTEMPTS = 2
-"""How often the sets of long lists meet leaders before the pairs that are left are made."""
+LEADERS = 4
+BLOCK = 250
+"""Sets of a crowd that are compared with as many others at once."""
+FILTER_BITS = 1 << 25
+"""Size of the bitmap that keeps most unwanted documents out of a shuffle: 4 MB, whatever the input."""
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(33)
 
@@ -83,18 +87,40 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str, k: int) ->
     return source.mapInArrow(work, f"id {kind}, n long, copy binary, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+def _spot(col: str) -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(FILTER_BITS))
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """A bit for each hash of an id, ``FILTER_BITS`` in all; built by the tasks, 4 KB a row."""
+    spots = ids.select(_spot("id").alias("spot"))
+    rows = spots.groupBy(F.floor(F.col("spot") / 32768).alias("row")).agg(F.bitmap_construct_agg(F.col("spot") % 32768).alias("bits"))
+    out = np.zeros((FILTER_BITS // 32768, 4096), dtype=np.uint8)
+    for row in rows.toLocalIterator():
+        out[row["row"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, members) for the wanted (id, copy): the full set of each. Only sets that may be wanted are made and shuffled."""
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            spot = batch.column("spot").to_numpy(zero_copy_only=False)
+            hit = (bits.value[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1
+            for part in slices(batch.take(pa.array(np.flatnonzero(hit))), "text"):
                 sets = [own.view(np.int64) for own in shingle_sets(part.column("text"), width)]
+                digests = [xxhash.xxh3_128_digest(own.tobytes()) for own in sets]
                 ends = np.cumsum([0, *map(len, sets)])
                 flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["id", "members"])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(digests, pa.binary()), lists], ["id", "copy", "members"])
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(work, f"id {kind}, members array<long>")
+    made = source.withColumn("spot", _spot("id")).mapInArrow(work, f"id {kind}, copy binary, members array<long>")
+    return made.join(wanted, ["id", "copy"], "left_semi").dropDuplicates(["id", "copy"]).select("id", "members")
 
 
 def _size_fits(a: Column, b: Column, percent: int) -> Column:
@@ -104,82 +130,106 @@ def _size_fits(a: Column, b: Column, percent: int) -> Column:
 def inverted_lists(sets: DataFrame, k: int, least: int, percent: int) -> DataFrame:
     """(value, id, n, length) of the lists each sketch enters; values of one set only are left out.
 
-    A sketch with s values that must share m of them enters the lists of its s - m + 1 rarest values.
+    A sketch with s values that must share m of them enters the lists of its s - m + 1 rarest values. ``length`` counts the
+    sets that have the value in their sketch.
     """
+    entries = sets.select("id", F.explode("sketch").alias("value"))
+    lengths = entries.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
+    shared = entries.join(lengths, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("length", "value"))).alias("values"))
     held = F.size("sketch")
     must = F.when(F.col("n") <= k, F.ceil(held * percent / F.lit(100.0))).otherwise(F.lit(least))
-    wide = sets.select("id", "n", (held - F.greatest(must, F.lit(1)) + 1).alias("room"), held.alias("held"), "sketch")
-    entries = wide.select("id", "n", "room", "held", F.explode("sketch").alias("value"))
-    lengths = sets.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
-    shared = entries.join(lengths, "value").groupBy("id", "n", "room", "held").agg(
-        F.sort_array(F.collect_list(F.struct("length", "value"))).alias("values"))  # at most k of them
-    room = F.col("room") - (F.col("held") - F.size("values"))  # values of one set are the rarest and fill their room first
-    return shared.withColumn("left", room).where("left > 0").select(
-        "id", "n", F.explode(F.slice("values", 1, F.col("left").cast("int"))).alias("entry")).select("id", "n", "entry.value", "entry.length")
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str, k: int, least: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b; with a < b) whose full sets are similar enough."""
-    pairs = pairs.distinct()
+    rooms = sets.select("id", "n", held.alias("held"), (held - F.greatest(must, F.lit(1)) + 1).alias("room"))
+    # Values of one set are the rarest: they fill the room first, the shared ones have what is left. At most k values a set.
+    left = (F.col("room") - (F.col("held") - F.size("values"))).cast("int")
+    return shared.join(rooms, "id").withColumn("left", left).where("left > 0").select(
+        "id", "n", F.explode(F.slice("values", 1, F.col("left"))).alias("entry")).select("id", "n", "entry.value", "entry.length")
+
+
+def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are similar enough."""
+    for end in "ab":
+        pairs = pairs.join(full.select(F.col("id").alias(end), F.col("members").alias(f"m_{end}")), end)
+    both = F.size(F.array_intersect("m_a", "m_b"))
+    return pairs.where(both * 100 >= (F.size("m_a") + F.size("m_b") - both) * percent).select("a", "b")
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, k: int, least: int) -> DataFrame:
+    """The pairs (a, b) whose sketches share enough of their union's."""
     for end in "ab":
         own = sets.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}"))
         pairs = pairs.join(own, end)
-    union = F.sort_array(F.array_distinct(F.concat("sketch_a", "sketch_b")))
-    bottom = F.when((F.col("n_a") > k) | (F.col("n_b") > k), F.slice(union, 1, k)).otherwise(union)
+    bottom = F.slice(F.sort_array(F.array_distinct(F.concat("sketch_a", "sketch_b"))), 1, k)
     common = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), bottom))
-    whole = (F.col("n_a") <= k) & (F.col("n_b") <= k)
-    enough = F.when(whole, common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent).otherwise(common >= least)
-    likely = reliable(pairs.where(_size_fits(F.col("n_a"), F.col("n_b"), percent)).where(enough).select("a", "b", whole.alias("sure")))
-    unsure = likely.where("NOT sure")
-    wanted = unsure.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
-    members = reliable(full_sets(docs.join(wanted, id_col, "left_semi"), width, id_col, text_col).groupBy("id").agg(F.first("members").alias("members")))
-    for end in "ab":
-        unsure = unsure.join(members.select(F.col("id").alias(end), F.col("members").alias(f"m_{end}")), end)
-    both = F.size(F.array_intersect("m_a", "m_b"))
-    exact = unsure.where(both * 100 >= (F.size("m_a") + F.size("m_b") - both) * percent)
-    return reliable(likely.where("sure").select("a", "b").unionByName(exact.select("a", "b")))
+    small = (F.col("n_a") <= k) | (F.col("n_b") <= k)  # the exact test follows; its bound isn't that of two sketches
+    return pairs.where(small | (common >= least)).select("a", "b")
 
 
-def _led(lists: DataFrame, attempt: int, percent: int) -> DataFrame:
-    """Pairs of sets in long lists with a few leaders: each set not yet in the largest component of its longest list with
-    some members of that component (of the list, while there is none). ``lists`` has the component so far in ``root``."""
-    longest = lists.where(F.col("length") > LONG_LIST).groupBy("id", "n", "root").agg(
-        F.max(F.struct("length", "value")).alias("l")).select("id", "n", "root", "l.value")
-    main = _main_component(lists)
-    placed = lists.where(F.col("length") > LONG_LIST).join(main, "value", "left")
-    hashed = F.xxhash64("id", F.lit(attempt))
-    leaders = placed.where("main IS NULL OR root = main").groupBy("value", F.pmod(hashed, F.lit(LEADERS)).alias("part")).agg(
-        F.min(F.struct(hashed.alias("h"), "id", "n", "root")).alias("l")).select(
-        "value", F.col("l.id").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.root").alias("leader_root"))
-    pairs = longest.join(leaders, "value").where((F.col("root") != F.col("leader_root")) & _size_fits(F.col("n"), F.col("leader_n"), percent))
-    return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the short lists that may be alike by size. Of several lists that hold a pair the first makes it."""
+    short = lists.where(F.col("length") <= LONG_LIST)
+    own = short.groupBy("id").agg(F.sort_array(F.collect_list("value")).alias("values"))  # at most k
+    left = short.join(own, "id").select("value", "id", "n", "values")
+    right = left.select("value", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("values").alias("other_values"))
+    first = F.array_min(F.array_intersect("values", "other_values")) == F.col("value")
+    pairs = left.join(right, "value").where((F.col("id") < F.col("other")) & _size_fits(F.col("n"), F.col("other_n"), percent) & first)
+    return pairs.select(F.col("id").alias("a"), F.col("other").alias("b"))
 
 
-def _main_component(lists: DataFrame) -> DataFrame:
-    """The component with most members of each long list, if it has more than one."""
-    crowds = lists.where(F.col("length") > LONG_LIST).groupBy("value", "root").agg(F.count("*").alias("size")).where("size > 1")
-    return crowds.groupBy("value").agg(F.max(F.struct("size", "root")).alias("m")).select("value", F.col("m.root").alias("main"))
+def _led(long_lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each set in long lists with a few leaders of the longest of them: sets that are in most long lists."""
+    spread = long_lists.groupBy("id", "n").agg(F.count("*").alias("lists"), F.max(F.struct("length", "value")).alias("longest"))
+    spread = reliable(spread.select("id", "n", "lists", F.col("longest.value").alias("value")))
+    by_list = spread.groupBy("value", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("part"))
+    leaders = by_list.agg(F.max(F.struct("lists", F.xxhash64("id").alias("h"), "id", "n")).alias("l"))
+    leaders = leaders.select("value", F.col("l.id").alias("leader"), F.col("l.n").alias("leader_n"))
+    pairs = spread.join(leaders, "value").where((F.col("id") != F.col("leader")) & _size_fits(F.col("n"), F.col("leader_n"), percent))
+    return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
-def _rest(lists: DataFrame, percent: int) -> DataFrame:
-    """The pairs of each list that are not in one component. In a long list one of the two is outside its largest component.
+def _crowd_links(long_lists: DataFrame, roots: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links between sets of a long list that the leaders have not put into one component.
 
-    Of several lists that hold a pair only the first makes it. The members of a long list are dealt over blocks, each of
-    which meets the others, so no task has a list's pairs alone.
+    Long lists with the same largest component are one crowd. Its sets outside that component meet all its sets, in blocks
+    of ``BLOCK`` by ``BLOCK``; each block is a group of its own, so that a crowd spreads over tasks however large it is.
     """
-    mixed = lists.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("value")
-    lists = lists.join(mixed, "value", "left_semi")
-    own = lists.groupBy("id").agg(F.sort_array(F.collect_list("value")).alias("values"))  # at most k
-    lists = reliable(lists.join(own, "id").join(_main_component(lists), "value", "left").withColumn("blocks", F.ceil(F.col("length") / 1000)))
-    left = lists.where("main IS NULL OR root <> main").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    right = lists.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "value", "block", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"),
-        F.col("values").alias("other_values"))
-    first = F.array_min(F.array_intersect("values", "other_values")) == F.col("value")
-    once = F.col("main").isNotNull() | (F.col("id") < F.col("other"))
-    pairs = left.join(right, ["value", "block"]).where(
-        once & (F.col("root") != F.col("other_root")) & _size_fits(F.col("n"), F.col("other_n"), percent) & first)
-    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    rooted = long_lists.join(roots, long_lists["id"] == roots["vertex"], "left").select("value", "id", F.coalesce("root", "id").alias("root"))
+    main = rooted.groupBy("value", "root").agg(F.count("*").alias("size")).groupBy("value").agg(
+        F.max(F.struct("size", "root")).alias("m")).select("value", F.col("m.root").alias("crowd"))
+    members = rooted.join(main, "value").select("crowd", "id", (F.col("root") != F.col("crowd")).alias("outside")).distinct()
+    members = reliable(members)
+    sizes = members.groupBy("crowd").agg(F.count("*").alias("size"), F.sum(F.col("outside").cast("int")).alias("out")).where("out > 0")
+    blocks = lambda count: F.ceil(F.col(count) / BLOCK).cast("int")
+    dealt = members.join(sizes, "crowd").select(
+        "crowd", "id", "outside", F.pmod(F.xxhash64("id"), blocks("size")).cast("int").alias("row"),
+        F.pmod(F.xxhash64("id"), blocks("out")).cast("int").alias("column"), blocks("size").alias("rows"), blocks("out").alias("columns"))
+    asking = dealt.where("outside").select("crowd", "id", F.lit(True).alias("asks"), "column", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
+    asked = dealt.select("crowd", "id", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), "row")
+    both = asking.unionByName(asked).join(full, "id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids = np.array(table.column("id").to_pylist(), dtype=object)
+        lists = table.column("members").combine_chunks()
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        asks = table.column("asks").to_numpy()
+        _, code, seen = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        owner, often = np.repeat(np.arange(len(ids)), sizes), seen[code] > 1
+        owner, code = owner[often], np.unique(code[often], return_inverse=True)[1]
+        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+        common = np.zeros((len(a), len(b)), dtype=np.float32)
+        for start in range(0, int(code.max(initial=-1)) + 1, 4096):
+            own = (code >= start) & (code < start + 4096)
+            has = np.zeros((len(ids), 4096), dtype=np.float32)
+            has[owner[own], code[own] - start] = 1
+            common += has[a] @ has[b].T
+        common = common.astype(np.int64)
+        x, y = np.nonzero(common * 100 >= (sizes[a][:, None] + sizes[b][None, :] - common) * percent)
+        left, right = ids[a[x]], ids[b[y]]
+        apart = left != right
+        kind = table.schema.field("id").type
+        return pa.table({"a": pa.array(left[apart].tolist(), kind), "b": pa.array(right[apart].tolist(), kind)})
+
+    kind = full.schema["id"].dataType.simpleString()
+    return both.groupBy("crowd", "row", "column").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
@@ -197,19 +247,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         raise ValueError("below 80 percent choose k and least anew")
     known = reliable(sketches(docs, width, id_col, text_col, k))
     present = known.where("n > 0 AND id IS NOT NULL")
-    copies = present.groupBy("id").agg(F.min("copy").alias("copy"))
-    heads = copies.groupBy("copy").agg(F.min("id").alias("id"))
-    sets = reliable(present.join(heads, ["id", "copy"], "left_semi").dropDuplicates(["id"]).drop("copy"))
+    other = present.groupBy("id").agg(F.min("copy").alias("copy"), F.max("copy").alias("high")).where("copy <> high").select("id", F.col("copy").alias("first"))
+    present = present.join(other, "id", "left").where("first IS NULL OR copy = first").drop("first")
+    sets = present.groupBy("copy").agg(F.min(F.struct("id", "n", "sketch")).alias("s")).select("copy", "s.id", "s.n", "s.sketch")
+    sets = reliable(sets)
     lists = reliable(inverted_lists(sets, k, least, percent))
-    links = None
-    rooted = lists.withColumn("root", F.col("id"))
-    for attempt in range(ATTEMPTS):
-        found = _confirmed(_led(rooted, attempt, percent), sets, docs, width, id_col, text_col, k, least, percent)
-        links = found if links is None else links.unionByName(found)
-        own = components(links).select(F.col("vertex").alias("id"), "root")
-        rooted = reliable(lists.join(own, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    rest = _confirmed(_rest(rooted, percent), sets, docs, width, id_col, text_col, k, least, percent)
-    roots = components(links.unionByName(rest))
+    wanted = sets.select("id", "copy").join(lists.select("id").distinct(), "id", "left_semi")
+    full = reliable(full_sets(docs, wanted, width, id_col, text_col))
+    short = _linked(_likely(_short_pairs(lists, percent), sets, k, least), full, percent)
+    long_lists = lists.where(F.col("length") > LONG_LIST)
+    links = reliable(short.unionByName(_linked(_led(long_lists, percent), full, percent)))
+    links = links.unionByName(_crowd_links(long_lists, components(links), full, percent))
+    roots = components(links)
+    heads = sets.select("copy", "id")
+    copies = present.select("id", "copy").distinct()
     label = heads.join(roots.select(F.col("vertex").alias("id"), "root"), "id", "left").select("copy", F.coalesce("root", "id").alias("root"))
     label = copies.join(label, "copy").select(F.col("id").alias("of"), "root")
     out = known.join(label, (F.col("id") == F.col("of")) & (F.col("n") > 0), "left")
