@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import bpe, langid, minhash, rules, spots, toxicity
+from clickloom.llm import bpe, langid, licenses, lines, minhash, packing, rules, spots, toolcalls, toxicity
 from clickloom.llm.components import reliable
 
 PACKAGE = Path(__file__).resolve().parents[1]
@@ -45,6 +45,59 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+TOOLS = {
+    "reply": {"chars": toolcalls.Field("integer"), "text": toolcalls.Field("string", max_length=400)},
+    "configure": {"chars": toolcalls.Field("integer"), "strict": toolcalls.Field("boolean", required=False), "text": toolcalls.Field("string")},
+}
+
+
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User and system turns as calls of two tools, each reply depending on the call two turns before; an assistant's turn
+    is the result of the call one turn before."""
+    turns = table(spark, sf_dir, "conversations")
+    back = lambda n: F.concat(F.lit("call_"), (F.col("turn") - n).cast("string"))
+    user = F.col("role") == "user"
+    calls = turns.where(F.col("role").isin("user", "system")).select(
+        "conv_id", "turn", back(0).alias("call_id"), F.when(user, "reply").otherwise("configure").alias("name"),
+        F.to_json(F.struct("text", F.char_length("text").alias("chars"))).alias("arguments"),
+        F.when(user, F.array(back(2))).alias("after"))
+    results = turns.where(F.col("role") == "assistant").select("conv_id", "turn", back(1).alias("call_id"), F.col("text").alias("content"))
+    linked = toolcalls.link(calls, results, TOOLS)
+    return linked.select("conv_id", "call_id", "kind", "turn", "level", "name", "result_turn", "n_calls", "n_results",
+                         F.array_join("errors", ",").alias("errors"), "valid", F.sha2("json", 256).alias("json_sha256"))
+
+
+OP2_SQL = """
+WITH calls AS (
+  SELECT conv_id, 'call_' || turn AS call_id, min(turn) AS turn, count(*) AS n_calls,
+         min(struct_pack(name := CASE WHEN role = 'user' THEN 'reply' ELSE 'configure' END,
+             a := '{' || coalesce('"text":' || to_json(text) || ',"chars":' || length(text), '') || '}',
+             text := text)) AS c
+  FROM conversations WHERE role IN ('user', 'system') AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+), results AS (
+  SELECT conv_id, 'call_' || (turn - 1) AS call_id, min(turn) AS result_turn, min(text) AS content, count(*) AS n_results
+  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+), both_of AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, c.c.name AS name,
+         c.c.text AS text, n_calls, result_turn, content, n_results
+  FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+), checked AS (
+  SELECT *, CASE WHEN n_calls IS NULL THEN 'no_call' WHEN text IS NULL THEN 'missing:chars,missing:text'
+                 WHEN name = 'reply' AND length(text) > 400 THEN 'too_long:text' ELSE '' END AS errors
+  FROM both_of
+)
+SELECT conv_id, call_id,
+       CASE WHEN n_calls IS NULL THEN 'orphan' WHEN n_results IS NULL THEN 'unanswered' ELSE 'linked' END AS kind,
+       coalesce(turn, result_turn) AS turn, 0 AS level, name, result_turn, coalesce(n_calls, 0) AS n_calls,
+       coalesce(n_results, 0) AS n_results, errors, errors = '' AND coalesce(n_calls, 0) = 1 AS valid,
+       sha256('{"arguments":' || CASE WHEN n_calls IS NULL THEN 'null' WHEN text IS NULL THEN '{}'
+                ELSE '{"chars":' || length(text) || ',"text":' || to_json(text) || '}' END
+              || ',"id":' || to_json(call_id) || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null')
+              || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}') AS json_sha256
+FROM checked
+"""
+
+
 def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
     """The chain of the given labels: poor text, toxic text, and toxic text that is otherwise fit."""
     return toxicity.fit(docs, labels, {
@@ -65,6 +118,37 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.deduplicate_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "removed_lines", F.char_length("text").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+OP5_SQL = """
+WITH lines AS (
+  SELECT doc_id, source, i, trim(line) AS line
+  FROM (SELECT doc_id, coalesce(source, '') AS source, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+  WHERE len(list_filter(regexp_split_to_array(trim(line), '[\\x20\\x09-\\x0D]+'), lambda x : x <> '')) >= 4
+), spread AS (
+  SELECT line, min(struct_pack(doc_id := doc_id, i := i)) AS first FROM lines GROUP BY line HAVING count(DISTINCT source) >= 4
+), gone AS (
+  SELECT l.doc_id, l.i FROM lines l JOIN spread s USING (line) WHERE NOT (l.doc_id = s.first.doc_id AND l.i = s.first.i)
+), cut AS (
+  SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id
+), texts AS (
+  SELECT d.doc_id, coalesce(len(gone), 0)::INT AS removed_lines,
+         CASE WHEN gone IS NULL THEN text
+              ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, k : NOT list_contains(gone, k)), chr(10)) END AS text
+  FROM documents d LEFT JOIN cut c ON d.doc_id = c.doc_id
+)
+SELECT doc_id, removed_lines, length(text)::INT AS n_chars_left, sha256(text) AS text_sha256 FROM texts
+"""
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame) -> list[rules.Rule]:
     return rules.learn(reliable(rules.labelled_features(docs, labels, F.col("quality") == 0)))
 
@@ -87,11 +171,28 @@ def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spots.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of their source's folder, a folder for each hundred ids; one that states a license speaks for its folder."""
+    path = "concat(source, '/', doc_id div 100, '/', doc_id, '.txt')"
+    return licenses.scan(table(spark, sf_dir, "documents"), path, is_license_sql="license IS NOT NULL")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": Query(op1_byte_bpe),
+    "op2_tool_calls": Query(op2_tool_calls, OP2_SQL),
     "op3_toxicity_chain": Query(op3_toxicity_chain),
     "op4_minhash_near_dedup": Query(op4_minhash_near_dedup),
+    "op5_line_dedup": Query(op5_line_dedup, OP5_SQL),
+    "op6_best_fit_packing": Query(op6_best_fit_packing),
     "op7_quality_rules": Query(op7_quality_rules),
     "op8_language_id": Query(op8_language_id),
     "op9_spot_signatures": Query(op9_spot_signatures),
+    "op10_license_scan": Query(op10_license_scan),
+    "pipeline": Query(pipeline),
 }
