@@ -252,11 +252,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     sets = present.groupBy("copy").agg(F.min(F.struct("id", "n", "sketch")).alias("s")).select("copy", "s.id", "s.n", "s.sketch")
     sets = reliable(sets)
     lists = reliable(inverted_lists(sets, k, least, percent))
-    wanted = sets.select("id", "copy").join(lists.select("id").distinct(), "id", "left_semi")
-    full = reliable(full_sets(docs, wanted, width, id_col, text_col))
-    short = _linked(_likely(_short_pairs(lists, percent), sets, k, least), full, percent)
+    likely = reliable(_likely(_short_pairs(lists, percent), sets, k, least))
     long_lists = lists.where(F.col("length") > LONG_LIST)
-    links = reliable(short.unionByName(_linked(_led(long_lists, percent), full, percent)))
+    listed = long_lists.select("id").unionByName(likely.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    wanted = reliable(sets.select("id", "copy").join(listed, "id", "left_semi"))
+    full = reliable(full_sets(docs, wanted, width, id_col, text_col))
+    links = reliable(_linked(likely, full, percent).unionByName(_linked(_led(long_lists, percent), full, percent)))
     links = links.unionByName(_crowd_links(long_lists, components(links), full, percent))
     roots = components(links)
     heads = sets.select("copy", "id")
