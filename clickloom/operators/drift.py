@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clickloom.functions import numeric, temporal, text
-from clickloom.operators.features import build_features
-from clickloom.operators.ordering import TimeOrder, keys_at
+from clickloom.operators.features import add_time_features, build_features
+from clickloom.operators.ordering import Cuts, TimeOrder, cut_at
 from clickloom.schema import DRIFT_FEATURES, PERIODS, UNKNOWN
 
-# The smoothing term, and how many entries the reports show.
+# The smoothing term, and how many entries the top lists have.
 EPSILON = 1e-9
 TOP_VALUES = 5
 TOP_CHARACTERS = 10
-HOUR_BUCKETS = 250
 
 
 def _period_ends(total: Column) -> dict[str, Column]:
@@ -21,17 +20,18 @@ def _period_ends(total: Column) -> dict[str, Column]:
 
 
 def assign_periods(df: DataFrame, order: TimeOrder = TimeOrder()) -> DataFrame:
-    """Adds ``period``: the tercile of the row's position in time order.
+    """Adds ``period``: the tercile of the row's position in time order, exact also on ties.
 
-    Only the two boundary keys are looked up; rows are compared with them and not shuffled.
-    Rows equal in every order column stay in one period.
+    Only the boundary keys are looked up; rows are compared with them and not shuffled.
     """
-    rows = keys_at(df, order, _period_ends).rows
-    if not rows:
-        return df.withColumn("period", F.lit(None).cast("string"))
-    first, second = (order.literal(df, rows[name]) for name in ("early", "middle"))
-    label = F.when(order.key() <= first, PERIODS[0]).when(order.key() <= second, PERIODS[1]).otherwise(PERIODS[2])
-    return df.withColumn("period", label)
+    cuts = cut_at(df, order, _period_ends)
+    return cuts.finish(cuts.frame.withColumn("period", _period_label(cuts)))
+
+
+def _period_label(cuts: Cuts) -> Column:
+    if not cuts.upto:
+        return F.lit(None).cast("string")
+    return F.when(cuts.upto["early"], PERIODS[0]).when(cuts.upto["middle"], PERIODS[1]).otherwise(PERIODS[2])
 
 
 def prepare_drift_frame(
@@ -42,15 +42,17 @@ def prepare_drift_frame(
     order: TimeOrder = TimeOrder(),
 ) -> DataFrame:
     """Feature frame with a click in [0, 1], the period and the day and hour labels."""
-    frame = build_features(impressions, characters, order_col, as_of)
+    # Periods depend on the impressions alone: they are found before the dimension is joined.
+    cuts = cut_at(add_time_features(impressions), order, _period_ends)
+    placed = cuts.finish(cuts.frame.withColumn("period", _period_label(cuts)))
+    frame = build_features(placed, characters, order_col, as_of)
     click = F.expr(numeric.number_or_zero(text.column_sql(frame, "click"), text.type_of(frame, "click")))
     time = F.col("event_timestamp")
-    frame = frame.withColumns({
+    return frame.withColumns({
         "click": numeric.clip(click, 0.0, 1.0),
         "event_day": temporal.day_label(time),
         "event_hour_bucket": temporal.hour_label(time),
     })
-    return assign_periods(frame, order)
 
 
 def _volume() -> list[Column]:
@@ -76,8 +78,8 @@ def ctr_by_day(frame: DataFrame) -> DataFrame:
     return frame.groupBy("event_day").agg(*_volume()).orderBy("event_day")
 
 
-def volume_by_hour(frame: DataFrame, limit: int | None = HOUR_BUCKETS) -> DataFrame:
-    """Hourly volume and click rate; the report shows the first ``limit`` hours."""
+def volume_by_hour(frame: DataFrame, limit: int | None = None) -> DataFrame:
+    """Volume and click rate of every hour, or of the first ``limit`` hours."""
     hours = frame.groupBy("event_hour_bucket").agg(*_volume()).orderBy("event_hour_bucket")
     return hours if limit is None else hours.limit(limit)
 
@@ -106,8 +108,9 @@ def long_features(frame: DataFrame, features: list[str], keys: list[str]) -> Dat
 def distribution_by_period(frame: DataFrame, features: list[str] = ["safety_tier", "app_category"]) -> DataFrame:
     """Share of each value within its period."""
     counts = long_features(frame, features, ["period"])
-    totals = frame.groupBy("period").agg(F.count("*").alias("total"))  # three rows
-    return counts.join(F.broadcast(totals), "period").select(
+    # Each row has one value of every feature, so the counts of a feature add up to the rows of the period.
+    totals = counts.groupBy("period", "feature").agg(F.sum("impressions").alias("total"))
+    return counts.join(F.broadcast(totals), ["period", "feature"]).select(  # three rows a feature
         "period", "feature", "value", "impressions", (F.col("impressions") / F.col("total")).alias("share")
     )
 

@@ -18,7 +18,6 @@ from clickloom.schema import COLD_START_MIN_IMPRESSIONS, SLICE_COLUMNS, UNKNOWN
 # Report sizes.
 TOP_K = (100, 1000, 10000)
 CALIBRATION_BINS = 10
-MAX_SLICE_VALUES = 25
 TOP_K_GROUPS = 64
 TOP_SHARES = (0.9, 0.99, 0.999, 0.9999, 0.99999)
 TOP_ACCURACY = 100_000
@@ -208,40 +207,59 @@ def add_slice_columns(
     )
 
 
+def _long_slices(scored: DataFrame, keys: list[str], slices: Sequence[str]) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(name).alias("slice"), text.known_id(F.col(name)).alias("value")) for name in slices])
+    long = _keyed(scored, keys).select(*keys, "y", "p", F.explode(pairs).alias("pair"))
+    return long.select(*keys, "y", "p", "pair.slice", "pair.value")
+
+
+def _slice_rows(long: DataFrame, group: list[str], min_count: int | None) -> DataFrame:
+    """Rows per slice value and whether they reach the floor."""
+    counts = long.groupBy(*group, "value").agg(F.count("*").alias("rows"))
+    totals = counts.groupBy(*group).agg(F.sum("rows").alias("total"))
+    floor = F.lit(min_count) if min_count is not None else F.greatest(
+        F.lit(10), F.least(F.lit(100), F.floor(F.col("total") * 0.01))
+    )
+    return counts.join(totals, group).select(*group, "value", "rows", (F.col("rows") >= floor).alias("enough"))
+
+
+def slice_coverage(
+    scored: DataFrame, keys: Sequence[str] = (), slices: Sequence[str] = SLICE_COLUMNS, min_count: int | None = None
+) -> DataFrame:
+    """Per slice: how many values and rows have metrics, and how many are below the row floor."""
+    group = [*keys, "slice"]
+    rows = _slice_rows(_long_slices(scored, list(keys), [name for name in slices if name in scored.columns]), group, min_count)
+    enough = F.col("enough")
+    return rows.groupBy(*group).agg(
+        F.count_if(enough).alias("values_measured"), F.count_if(~enough).alias("values_left_out"),
+        F.sum(F.when(enough, F.col("rows")).otherwise(0)).alias("rows_measured"),
+        F.sum(F.when(enough, 0).otherwise(F.col("rows"))).alias("rows_left_out"),
+    )
+
+
 def slice_metrics(
     scored: DataFrame,
     keys: Sequence[str] = (),
     slices: Sequence[str] = SLICE_COLUMNS,
     min_count: int | None = None,
-    max_values: int = MAX_SLICE_VALUES,
+    max_values: int | None = None,
     limits: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Metrics per slice value, for the most frequent values with enough rows.
+    """Metrics per slice value with enough rows; ``slice_coverage`` tells what the floor leaves out.
 
-    The row floor is 1% of the key group's rows, within 10 to 100, unless given.
+    The row floor is 1% of the key group's rows, within 10 to 100, unless given. ``max_values`` keeps the most frequent
+    values of each slice only; by default there is no such limit.
     """
     keys = list(keys)
     present = [name for name in slices if name in scored.columns]
-    pairs = F.array(*[F.struct(F.lit(name).alias("slice"), text.known_id(F.col(name)).alias("value")) for name in present])
-    long = _keyed(scored, keys).select(*keys, "y", "p", F.explode(pairs).alias("pair")).select(
-        *keys, "y", "p", "pair.slice", "pair.value"
-    )
+    long = _long_slices(scored, keys, present)
     group = [*keys, "slice"]
-    counts = long.groupBy(*group, "value").agg(F.count("*").alias("rows"))
-    by_count = Window.partitionBy(*group).orderBy(F.desc("rows"), "value")
-    totals = counts.groupBy(*group).agg(F.sum("rows").alias("total"))
-    floor = F.lit(min_count) if min_count is not None else F.greatest(
-        F.lit(10), F.least(F.lit(100), F.floor(F.col("total") * 0.01))
-    )
-    kept = (
-        counts.withColumn("place", F.row_number().over(by_count))
-        .where(F.col("place") <= max_values)
-        .join(totals, group)
-        .where(F.col("rows") >= floor)
-        .select(*group, "value")
-    )
-    # At most max_values rows per slice and key group.
-    chosen = long.join(F.broadcast(kept), [*group, "value"], "left_semi")
+    kept = _slice_rows(long, group, min_count).where("enough")
+    if max_values is not None:
+        by_count = Window.partitionBy(*group).orderBy(F.desc("rows"), "value")
+        kept = kept.withColumn("place", F.row_number().over(by_count)).where(F.col("place") <= max_values)
+    # The floor bounds the values of a slice by 100 of each key group's rows; Spark chooses the join by their size.
+    chosen = long.join(kept.select(*group, "value"), [*group, "value"], "left_semi")
     if limits is None:
         limits = bucket_limits(scored, "p")
     return binary_metrics(chosen, [*group, "value"], limits)
@@ -260,10 +278,12 @@ def evaluate(
     """
     limits = bucket_limits(scored, "p")
     calibration = calibration_table(scored, keys)
+    sliced = add_slice_columns(scored, train_counts, min_impressions)
     return {
         "metrics": binary_metrics(scored, keys, limits),
         "calibration": calibration,
         "calibration_error": calibration_error(calibration, keys),
         "ranking": topk_metrics(scored, keys, id_col=id_col),
-        "slices": slice_metrics(add_slice_columns(scored, train_counts, min_impressions), keys, limits=limits),
+        "slices": slice_metrics(sliced, keys, limits=limits),
+        "slice_coverage": slice_coverage(sliced, keys),
     }

@@ -12,7 +12,7 @@ the data, so a crowded value range gets more buckets; rows of equal key are comb
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime
 from functools import reduce
 
@@ -62,6 +62,7 @@ def sort_by_time(df: DataFrame, order: TimeOrder = TimeOrder()) -> DataFrame:
 class Positions:
     total: int
     rows: dict[str, Row]
+    places: dict[str, int] = field(default_factory=dict)
 
 
 def keys_at(
@@ -104,7 +105,7 @@ def keys_at(
         rows.update({row["_name"]: row for row in reduce(DataFrame.union, picks).collect()})
     for value in {row["cell"] for row in found if row["n"] > small_cell}:
         rows.update(_keys_in_cell(rows_of(value), order, [row for row in found if row["cell"] == value]))
-    return Positions(found[0]["total"], rows)
+    return Positions(found[0]["total"], rows, {row["name"]: row["place"] for row in found})
 
 
 def _keys_in_cell(keys: DataFrame, order: TimeOrder, wanted: list[Row]) -> dict[str, Row]:
@@ -128,6 +129,59 @@ def _keys_in_cell(keys: DataFrame, order: TimeOrder, wanted: list[Row]) -> dict[
     return found
 
 
+@dataclass(frozen=True)
+class Cuts:
+    """``frame`` has the rows cut; ``upto[name]`` tells whether a row is at or before the named position in the order."""
+
+    total: int
+    frame: DataFrame
+    upto: dict[str, Column]
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Without the helper column that tells equal rows apart."""
+        return df.drop(_TIE)
+
+
+_TIE = "_tie_row"
+
+
+def cut_at(df: DataFrame, order: TimeOrder, positions: Callable[[Column], dict[str, Column]]) -> Cuts:
+    """Cuts the rows at exact positions, also among rows that are equal in every order column.
+
+    Usually a comparison with the boundary keys is enough and no row moves. If rows equal to a boundary key lie on both
+    sides of it, the table is written once with fixed row numbers; those of the equal rows are counted per partition, and
+    one row number becomes the boundary among them.
+    """
+    found = keys_at(df, order, positions)
+    literals = {name: order.literal(df, row) for name, row in found.rows.items()}
+    if not literals:
+        return Cuts(found.total, df, {})
+    counts = df.agg(*[
+        F.count_if(test).alias(f"{name}_{side}") for name, limit in literals.items()
+        for side, test in (("below", order.key() < limit), ("equal", order.key() == limit))
+    ]).first()
+    lower = {name: found.places[name] + 1 - counts[f"{name}_below"] for name in literals}  # equal rows up to the position
+    tied = {name for name in literals if lower[name] < counts[f"{name}_equal"]}
+    frame = materialize(df.withColumn(_TIE, F.monotonically_increasing_id())) if tied else df
+    upto = {}
+    for name, limit in literals.items():
+        if name not in tied:
+            upto[name] = order.key() <= limit
+            continue
+        equal = frame.where(order.key() == limit)
+        part = F.shiftright(_TIE, _ROW_BITS)
+        left = lower[name]
+        # One row per partition of the written table.
+        for size in equal.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+            if left <= size["n"]:
+                inside = equal.where(part == size["part"]).select(_TIE).orderBy(_TIE)
+                last = inside.offset(left - 1).first()[0]
+                upto[name] = (order.key() < limit) | ((order.key() == limit) & (F.col(_TIE) <= last))
+                break
+            left -= size["n"]
+    return Cuts(found.total, frame, upto)
+
+
 def bucket_limits(df: DataFrame, column: str, buckets: int | None = None) -> list[float]:
     """Quantiles of a numeric column as bucket limits; at most ``MAX_BUCKETS`` values reach the driver.
 

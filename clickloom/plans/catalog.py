@@ -369,6 +369,58 @@ def latest_rows(spark, sf_dir):
     return split.latest_rows(frame, 2500).select("id", "event_timestamp")
 
 
+_TIED_SQL = """
+WITH tied AS (SELECT (event_id % 2)::VARCHAR AS id, event_type AS hour, date_trunc('month', ts) AS t, event_id % 7 AS v FROM events),
+counted AS (SELECT t, hour, id, count(*) AS n FROM tied GROUP BY ALL),
+ends AS (SELECT *, sum(n) OVER (ORDER BY t, hour, id) AS upto, sum(n) OVER () AS total FROM counted)
+"""
+
+
+def tied_rows(spark, sf_dir):
+    """Events reduced to few distinct order keys, so that boundaries fall among equal rows."""
+    return views.table(spark, sf_dir, "events").select(
+        (F.col("event_id") % 2).cast("string").alias("id"), F.col("event_type").alias("hour"),
+        F.date_trunc("month", F.col("ts")).cast("timestamp_ntz").alias("event_timestamp"), (F.col("event_id") % 7).alias("v"),
+    )
+
+
+def _tied_counts(df, part):
+    return df.groupBy(part, "event_timestamp", "hour", "id").agg(F.count("*").alias("rows")).withColumn("rows", F.col("rows").cast("bigint"))
+
+
+def _tied_parts(first: str, second: str, names: tuple[str, str, str], part: str) -> str:
+    """Rows of each key in each of three parts that end after ``first`` and ``second`` rows."""
+    inside = "greatest(0, least(upto, {high}) - greatest(upto - n, {low}))"
+    pieces = [(names[0], "0", first), (names[1], first, second), (names[2], second, "total")]
+    rows = " UNION ALL ".join(
+        f"SELECT '{name}' AS {part}, t AS event_timestamp, hour, id, ({inside.format(low=low, high=high)})::BIGINT AS rows FROM ends"
+        for name, low, high in pieces)
+    return _TIED_SQL + f"SELECT * FROM ({rows}) WHERE rows > 0"
+
+
+_TRAIN_END = "least(greatest(1, floor(total * 0.70::DOUBLE)), total - 2)"
+
+
+@register("row_split_ties", _tied_parts(
+    _TRAIN_END, f"least(greatest({_TRAIN_END} + 1, floor(total * (0.70::DOUBLE + 0.15::DOUBLE))), total - 1)",
+    ("train", "validation", "test"), "split"))
+def row_split_ties(spark, sf_dir):
+    df = tied_rows(spark, sf_dir)
+    return _tied_counts(split.row_split(df).assign(df), "split")
+
+
+@register("periods_ties", _tied_parts("ceil(total / 3)", "ceil(total * 2 / 3)", ("early", "middle", "latest"), "period"))
+def periods_ties(spark, sf_dir):
+    return _tied_counts(drift.assign_periods(tied_rows(spark, sf_dir)), "period")
+
+
+@register("latest_rows_ties", _TIED_SQL + """
+SELECT t AS event_timestamp, hour, id, least(n, upto - (total - 2500))::BIGINT AS rows FROM ends WHERE upto > total - 2500""")
+def latest_rows_ties(spark, sf_dir):
+    df = split.latest_rows(tied_rows(spark, sf_dir), 2500)
+    return df.groupBy("event_timestamp", "hour", "id").agg(F.count("*").alias("rows"))
+
+
 # Metrics
 
 
@@ -457,16 +509,18 @@ def slice_columns(spark, sf_dir):
     return metrics.add_slice_columns(scored, metrics.character_counts(scored), 65).select("id", "turn_stage", "cold_start_character")
 
 
-@register("slice_metrics", with_views(["scored"], "") + _SLICED_SQL + """, long AS (
+_LONG_SQL = """, long AS (
   SELECT split, y, p, 'safety_tier' AS slice, safety_tier AS value FROM sliced
   UNION ALL SELECT split, y, p, 'creator_type', creator_type FROM sliced
   UNION ALL SELECT split, y, p, 'turn_stage', turn_stage FROM sliced
   UNION ALL SELECT split, y, p, 'cold_start_character', cold_start_character FROM sliced
-  UNION ALL SELECT split, y, p, 'app_category', app_category FROM sliced),
-kept AS (SELECT split, slice, value FROM (SELECT split, slice, value, count(*) AS n,
-    sum(count(*)) OVER (PARTITION BY split, slice) AS total,
-    row_number() OVER (PARTITION BY split, slice ORDER BY count(*) DESC, value) AS place FROM long GROUP BY split, slice, value)
-  WHERE place <= 25 AND n >= greatest(10, least(100, floor(total * 0.01)))),
+  UNION ALL SELECT split, y, p, 'app_category', app_category FROM sliced)
+"""
+
+
+@register("slice_metrics", with_views(["scored"], "") + _SLICED_SQL + _LONG_SQL + """, kept AS (SELECT split, slice, value FROM (SELECT split, slice, value, count(*) AS n,
+    sum(count(*)) OVER (PARTITION BY split, slice) AS total FROM long GROUP BY split, slice, value)
+  WHERE n >= greatest(10, least(100, floor(total * 0.01)))),
 chosen AS (SELECT long.* FROM long JOIN kept USING (split, slice, value))
 """ + _METRIC_SQL.format(source="chosen", keys="split, slice, value") + "SELECT * FROM measured")
 def slice_metrics(spark, sf_dir):
@@ -477,6 +531,18 @@ def slice_metrics(spark, sf_dir):
     return rounded_metrics(metrics.slice_metrics(frame, ["split"]), ["split", "slice", "value"])
 
 
+@register("slice_coverage", with_views(["scored"], "") + _SLICED_SQL + _LONG_SQL + """, counted AS (
+  SELECT split, slice, value, count(*) AS n, sum(count(*)) OVER (PARTITION BY split, slice) AS total FROM long GROUP BY split, slice, value),
+judged AS (SELECT *, n >= greatest(10, least(100, floor(total * 0.01))) AS enough FROM counted)
+SELECT split, slice, count(*) FILTER (enough) AS values_measured, count(*) FILTER (NOT enough) AS values_left_out,
+  coalesce(sum(n) FILTER (enough), 0)::BIGINT AS rows_measured, coalesce(sum(n) FILTER (NOT enough), 0)::BIGINT AS rows_left_out
+FROM judged GROUP BY split, slice""")
+def slice_coverage(spark, sf_dir):
+    scored = views.scored(spark, sf_dir)
+    frame = metrics.add_slice_columns(scored, metrics.character_counts(scored), 65)
+    return metrics.slice_coverage(frame, ["split"], slices=["safety_tier", "creator_type", "turn_stage", "cold_start_character", "app_category"])
+
+
 # Prediction and ranking
 
 
@@ -572,8 +638,7 @@ def ctr_by_day(spark, sf_dir):
 
 
 @register("volume_by_hour", with_views(["drift"], """
-SELECT event_hour_bucket, count(*) AS impressions, round(avg(clicked), 6) AS ctr FROM drift GROUP BY 1
-ORDER BY event_hour_bucket LIMIT 250""", dirty=True))
+SELECT event_hour_bucket, count(*) AS impressions, round(avg(clicked), 6) AS ctr FROM drift GROUP BY 1""", dirty=True))
 def volume_by_hour(spark, sf_dir):
     return drift.volume_by_hour(drift_frame(spark, sf_dir)).select("event_hour_bucket", "impressions", r6("ctr"))
 
@@ -709,14 +774,13 @@ def metric_json(spark, sf_dir):
 
 
 @register("features_by_day", with_views(["featured"], """
-SELECT strftime(event_timestamp, '%Y-%m-%d') AS event_day, count(*) AS impressions FROM featured
-WHERE event_timestamp >= TIMESTAMP '2024-01-15' GROUP BY 1"""))
+SELECT strftime(event_timestamp, '%Y-%m-%d') AS event_day, count(*) AS impressions FROM featured GROUP BY 1"""))
 def features_by_day(spark, sf_dir):
     folder = work_path(spark, "features")
     frame = features.build_features(*clean(spark, sf_dir), "version")
     sinks.write_by_day(frame.withColumn("event_day", temporal.day_label(F.col("event_timestamp"))), folder)
     stored = spark.read.schema("id string, event_day string").parquet(folder)
-    return stored.where(F.col("event_day") >= "2024-01-15").groupBy("event_day").agg(F.count("*").alias("impressions"))
+    return stored.groupBy("event_day").agg(F.count("*").alias("impressions"))
 
 
 # Model; the numbers depend on the learner, so these have no SQL
