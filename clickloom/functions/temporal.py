@@ -13,6 +13,8 @@ from clickloom.schema import UNKNOWN
 CENTURY_PIVOT = 69
 _PACKED = "^[0-9]{8}$"
 _ISO = "^[0-9]{4}(-|$)"
+_SLASHED = "^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})"
+_ZONED = r"^[0-9-]{8,10}[ T].*[0-9:.][ ]*(Z|UTC|GMT|[+-][0-9]{1,2}(:?[0-9]{2})?)$"
 _ZONE = r"[0-9:.](\s*(Z|UTC|GMT)|[+-][0-9]{1,2}(:?[0-9]{2})?)$"
 
 
@@ -23,15 +25,20 @@ def _packed_hour(sql: str) -> str:
 
 
 def parse_hour(sql: str) -> Column:
-    """``yyMMddHH`` text, else an ISO-like timestamp; anything else is null. Takes SQL text.
+    """``yyMMddHH`` text, else a timestamp as Spark reads it, with ``-`` or ``/`` between the parts of the date; anything
+    else is null. Takes SQL text. A time with a zone becomes UTC, as in ``to_utc_naive``.
 
     Each row is parsed by itself, so the result does not depend on other rows. Text other than plain
     digits goes through a one-element array, which keeps the usual path small and fast.
     """
     text = f"regexp_replace({trimmed('x')}, '[.]0$', '')"
+    dated = f"regexp_replace({trimmed('x')}, '{_SLASHED}', '$1-$2-$3')"
+    # Midnight of 1970 in UTC plus the microseconds since: the wall clock in UTC, whatever the session's zone is.
+    instant = f"timestampadd(MICROSECOND, unix_micros(try_cast({dated} AS TIMESTAMP)), TIMESTAMP_NTZ '1970-01-01 00:00:00')"
     other = (
         f"CASE WHEN {text} RLIKE '{_PACKED}' THEN {_packed_hour(text)}"
-        f" WHEN {text} RLIKE '{_ISO}' THEN try_cast({text} AS TIMESTAMP_NTZ) END"
+        f" WHEN {dated} RLIKE '{_ZONED}' THEN {instant}"
+        f" WHEN {dated} RLIKE '{_ISO}' THEN try_cast({dated} AS TIMESTAMP_NTZ) END"
     )
     return F.expr(
         f"CASE WHEN {sql} RLIKE '{_PACKED}' THEN {_packed_hour(sql)}"

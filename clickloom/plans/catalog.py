@@ -95,6 +95,20 @@ def parse_hour(spark, sf_dir):
     )
 
 
+@register("parse_zoned_hour", """
+SELECT event_id::VARCHAR AS id, CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts) - INTERVAL 150 MINUTE
+  WHEN 2 THEN date_trunc('second', ts) WHEN 3 THEN date_trunc('day', ts) END AS event_timestamp FROM events""")
+def parse_zoned_hour(spark, sf_dir):
+    form = F.col("event_id") % 4
+    hour = (
+        F.when(form == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(form == 1, F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+02:30")))
+        .when(form == 2, F.date_format("ts", "yyyy/MM/dd HH:mm:ss")).otherwise(F.date_format("ts", "yyyy/M/d"))
+    )
+    events = views.table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), hour.alias("hour"))
+    return events.select("id", temporal.parse_hour("hour").alias("event_timestamp"))
+
+
 @register("utc_timestamp", """
 SELECT event_id::VARCHAR AS id, CASE event_id % 3 WHEN 0 THEN date_trunc('second', ts)
   WHEN 1 THEN date_trunc('second', ts) - INTERVAL 150 MINUTE END AS utc_time
@@ -758,6 +772,21 @@ def csv_feature_frame(spark, sf_dir):
     )
 
 
+@register("csv_line_breaks", with_views(["featured"], """
+SELECT tier AS safety_tier, count(*) AS impressions, round(avg(interactions), 6) AS num_interactions FROM featured GROUP BY ALL""", dirty=True))
+def csv_line_breaks(spark, sf_dir):
+    """As in ``csv_feature_frame``, with line breaks, quotes and commas in every description, by the loader of both tables."""
+    folder = work_path(spark, "csv")
+    note = F.concat(F.lit('first "line",\nsecond\r\n'), F.coalesce("character_description", F.lit("")))
+    people = views.characters(spark, sf_dir)
+    newest = people.groupBy("character_id").agg(F.max(F.struct("version", *[c for c in people.columns if c not in ("version", "character_id")])).alias("n"))
+    people = newest.select("character_id", "n.*").withColumn("character_description", note)
+    for name, df in (("impressions", views.dirty_impressions(spark, sf_dir)), ("characters", people)):
+        df.write.option("header", True).option("nullValue", "N/A").option("escape", '"').csv(f"{folder}/{name}")
+    frame = tables.load_feature_frame(spark, f"{folder}/impressions", f"{folder}/characters", as_of="2024-02-01")
+    return frame.groupBy("safety_tier").agg(F.count("*").alias("impressions"), F.round(F.avg("num_interactions"), 6).alias("num_interactions"))
+
+
 @register("metric_json", with_views(["featured"], """
 SELECT strftime(event_timestamp, '%Y-%m-%d') AS event_day, count(*) AS impressions,
   CASE WHEN sum(click) > 0 THEN round(count(*) / sum(click), 6) END AS per_click

@@ -13,6 +13,7 @@ from clickloom.operators.features import build_features
 from clickloom.operators.model import ClickModel, TrainingConfig, train_model
 from clickloom.operators.prediction import baseline_score
 from clickloom.schema import COLD_START_MIN_IMPRESSIONS, SLICE_COLUMNS
+from clickloom.session import set_checkpoint_dir
 from clickloom.sources.sinks import write_by_day, write_metric_tables
 
 SCORED_COLUMNS = ["id", "character_id", "conversation_turn", *[c for c in SLICE_COLUMNS if c in (
@@ -36,31 +37,37 @@ def train_and_evaluate(
     as_of: str | None = None,
     min_impressions: int = COLD_START_MIN_IMPRESSIONS,
 ) -> ClickModel:
-    """Runs the whole job. Features and scores are written once and read back, never held in memory."""
+    """Runs the whole job. Features and scores are written once and read back; the classifier caches its own input."""
     config.check()
     split.check_fractions(config.train_fraction, config.validation_fraction)
     spark = impressions.sparkSession
     checks = quality.input_checks(impressions, characters, order_col)
+    # The checks read the tables; issues and verdict read the stored checks.
+    checks.write.mode("overwrite").parquet(f"{folder}/quality/stored")
+    checks = spark.read.parquet(f"{folder}/quality/stored")
     write_metric_tables({"checks": checks, "issues": quality.issues(checks), "verdict": quality.verdict(checks)}, f"{folder}/quality")
     if spark.read.json(f"{folder}/quality/verdict").first()["status"] != "pass":
-        raise ValueError(f"Input data validation failed; see {folder}/quality for details.")
+        raise ValueError(f"the input tables did not pass the checks stored in {folder}/quality")
 
     frame = build_features(impressions, characters, order_col, as_of)
     frame = frame.withColumn("event_day", temporal.day_label(F.col("event_timestamp")))
     write_by_day(frame, f"{folder}/features")
     frame = spark.read.schema(frame.schema).parquet(f"{folder}/features")
-    if config.max_rows is not None:
-        frame = split.latest_rows(frame, config.max_rows)
     frame = quality.check_target(frame)
     parts = split.time_based_split(frame, config.train_fraction, config.validation_fraction)
     frame = parts.assign(frame)
+    summary = split.split_summary(frame)
+    split.check_parts(summary)
     train, validation = (frame.where(F.col("split") == name) for name in ("train", "validation"))
 
-    model = train_model(train, validation, config)
+    # ``max_rows`` bounds what the classifier is fitted on; counts, scores and metrics cover all rows.
+    fit_rows = train if config.max_rows is None else split.latest_rows(train, config.max_rows)
+    set_checkpoint_dir(spark)  # long boosting runs cut their lineage there
+    model = train_model(fit_rows, validation, config)
     scored_table(model, frame, train).write.mode("overwrite").parquet(f"{folder}/scored")
     scored = spark.read.parquet(f"{folder}/scored")
     tables = metrics.evaluate(scored, metrics.character_counts(train), min_impressions=min_impressions)
-    tables["split"] = split.split_summary(frame)
+    tables["split"] = summary
     tables["feature_importance"] = model.feature_importance(spark)
     write_metric_tables(tables, f"{folder}/evaluation")
 
@@ -72,6 +79,11 @@ def train_and_evaluate(
             "unique_timestamp_count": parts.unique_times,
         },
         "test_metrics": {name: test[name] for name in metrics.METRIC_NAMES},
+        "evaluation": f"{folder}/evaluation",
+        # One number a feature and one a split and model: small tables of fixed size.
+        "feature_importance": {row["feature"]: row["importance"] for row in model.feature_importance(spark).collect()},
+        "calibration_error": {f"{row['model']}/{row['split']}": row["calibration_error"] for row in
+                              spark.read.json(f"{folder}/evaluation/calibration_error").collect()},
     })
     model.save(spark, f"{folder}/model")
     return model

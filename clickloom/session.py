@@ -45,9 +45,12 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/clickloom/{label}-{uuid.uuid4().hex}"
 
 
+def set_checkpoint_dir(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts lineage and fixes row placement, and survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
+    set_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -26,10 +26,15 @@ def clean_metrics(df: DataFrame) -> DataFrame:
     ])
 
 
+# Tables whose size follows the number of values in the data; the others have a few rows a group.
+LARGE_TABLES = ("distributions", "slices", "checks", "impressions_over_time")
+
+
 def write_metric_tables(tables: Mapping[str, DataFrame], folder: str, fmt: str = "json") -> None:
-    """One sub-folder per metric table. They are small aggregates, so each is one file."""
+    """One sub-folder per metric table. A small table becomes one file behind a shuffle of its own, so that what
+    computes it stays in parallel; the large ones are written as they come."""
     for name, df in tables.items():
-        cleaned = clean_metrics(df).coalesce(1)
+        cleaned = clean_metrics(df) if name in LARGE_TABLES else clean_metrics(df).repartition(1)
         writer = cleaned.write.mode("overwrite").format(fmt)
         (writer.option("ignoreNullFields", False) if fmt == "json" else writer).save(f"{folder}/{name}")
 

@@ -25,7 +25,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", multi_line: boo
         return reader.format(fmt).load(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"Required data file not found: {path}") from error
+            raise FileNotFoundError(f"no table at {path}") from error
         raise
 
 
@@ -59,10 +59,11 @@ def load_characters(
     path: str,
     fmt: str = "csv",
     validate: bool = True,
-    multi_line: bool = False,
+    multi_line: bool = True,
     with_file_order: bool = False,
 ) -> DataFrame:
-    """Characters. ``with_file_order`` adds a sortable ``file_order`` for keeping the last row of an id.
+    """Characters. Their descriptions are free text, so quoted cells may hold line breaks unless ``multi_line`` is off; a
+    CSV file is then read by one task, which suits a dimension. ``with_file_order`` adds a sortable ``file_order`` for keeping the last row of an id.
 
     Within a block of a file the generated ids rise in row order, so (file, block, id) is file order.
     """
@@ -77,16 +78,17 @@ def load_characters(
 
 
 def load_training_tables(
-    spark: SparkSession, impressions_path: str, characters_path: str, fmt: str = "csv", validate: bool = True
+    spark: SparkSession, impressions_path: str, characters_path: str, fmt: str = "csv", validate: bool = True, multi_line: bool = False
 ) -> tuple[DataFrame, DataFrame]:
+    """Both tables. ``multi_line`` is for impressions with line breaks in quoted cells, whose files can't be split then."""
     return (
-        load_impressions(spark, impressions_path, fmt, validate),
+        load_impressions(spark, impressions_path, fmt, validate, multi_line),
         load_characters(spark, characters_path, fmt, validate, with_file_order=True),
     )
 
 
 def load_feature_frame(
-    spark: SparkSession, impressions_path: str, characters_path: str, fmt: str = "csv", as_of: str | None = None
+    spark: SparkSession, impressions_path: str, characters_path: str, fmt: str = "csv", as_of: str | None = None, multi_line: bool = False
 ) -> DataFrame:
-    impressions, characters = load_training_tables(spark, impressions_path, characters_path, fmt)
+    impressions, characters = load_training_tables(spark, impressions_path, characters_path, fmt, multi_line=multi_line)
     return build_features(impressions, characters, FILE_ORDER, as_of)
