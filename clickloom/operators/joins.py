@@ -2,53 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-# Columns that tell fact rows of one hot key apart.
-_SPREAD_COLUMNS = ["id", "request_id", "hour", "event_timestamp", "device_ip", "device_id"]
-SALTS = 16
 
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate, or None where it is not reachable."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
-
-
-def broadcast_limit(df: DataFrame) -> int:
-    """The session's broadcast limit in bytes; -1 when broadcasting is off."""
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower()
-    units = {"kb": 1 << 10, "k": 1 << 10, "mb": 1 << 20, "m": 1 << 20, "gb": 1 << 30, "g": 1 << 30, "b": 1}
-    for unit, factor in units.items():
-        if text.endswith(unit):
-            return int(float(text[: -len(unit)]) * factor)
-    return int(text)
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    size = estimated_bytes(df)
-    return size is not None and size <= broadcast_limit(df)
-
-
-def spread(df: DataFrame, key: str, salts: int) -> Column:
-    """A salt that depends on row content only, so a retried task computes the same one."""
-    others = [name for name in df.columns if name != key]
-    columns = [name for name in _SPREAD_COLUMNS if name in others] or others
-    if not columns:
-        return F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
-    return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
-
-
-def join_dimension(fact: DataFrame, dimension: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+def join_dimension(fact: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """Every fact row once, with the dimension's columns.
 
-    A dimension whose estimated size is within the session's broadcast limit is broadcast and the
-    fact table is not shuffled. A larger one is joined by shuffle on (key, salt): the fact rows of a
-    hot key spread over ``salts`` tasks and each dimension row is repeated once per salt.
+    How the two meet is left to Spark: a dimension within the session's broadcast limit is broadcast, by its estimated or,
+    after its own stage, its real size, and the fact table is not sorted. A larger one is joined by shuffle, where adaptive
+    execution splits the partition of a hot key over as many tasks as its bytes ask for and repeats the one dimension row.
     """
-    if fits_broadcast(dimension):
-        return fact.join(F.broadcast(dimension), key, "left")
-    salted = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return fact.withColumn("_salt", spread(fact, key, salts)).join(salted, [key, "_salt"], "left").drop("_salt")
+    return fact.join(dimension, key, "left")

@@ -90,16 +90,3 @@ def run_once(
     )
     query.awaitTermination()
     return query
-
-
-def run_once_complete(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Like ``run_once`` for an aggregate whose whole result replaces the files at each step."""
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-
-    query = (
-        stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-        .foreachBatch(replace).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return query

@@ -32,24 +32,37 @@ def test_dimension_within_the_limit_is_broadcast(spark):
     assert "Python" not in text
 
 
-def test_large_dimension_join_is_salted_and_gives_the_same_rows(spark):
+def test_large_dimension_is_joined_by_shuffle_with_the_same_rows(spark):
     impressions, characters = views.impressions(spark, SMALL), views.characters(spark, SMALL)
     expected = sorted(features.build_features(impressions, characters, "version").collect())
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         frame = features.build_features(impressions, characters, "version")
-        assert "SortMergeJoin" in plan(frame) and "_salt" in plan(frame)
+        assert "SortMergeJoin" in plan(frame)
         found = sorted(frame.collect())
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert found == expected
 
 
-def test_hot_key_spreads(spark):
-    from clickloom.operators.joins import spread
-    df = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.lit("hot").alias("character_id"))
-    counts = [row["count"] for row in df.groupBy(spread(df, "character_id", 16)).count().collect()]
-    assert len(counts) == 16 and max(counts) < 110
+def test_hot_key_is_split(spark):
+    from clickloom.operators.joins import join_dimension
+    fact = spark.range(200_000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("k"))
+    dimension = spark.range(50).select(F.col("id").cast("string").alias("k"), F.lit("x").alias("v"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        joined = join_dimension(fact, dimension, "k")
+        assert len(joined.collect()) == 200_000
+        assert "skew=true" in plan(joined)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
 
 
 def test_unused_columns_are_not_read(spark):
@@ -86,6 +99,11 @@ def test_period_labels_need_no_shuffle(spark):
     assert "Exchange" not in plan(drift.assign_periods(frame))
 
 
+def test_period_boundaries_are_found_without_the_dimension(spark, shuffled_joins):
+    frame = drift.prepare_drift_frame(views.impressions(spark, SMALL), views.characters(spark, SMALL), "version")
+    assert plan(frame).count("SortMergeJoin") == 1  # that of the features
+
+
 def test_array_ranking_needs_no_shuffle(spark):
     schema = "request_id string, app_category string, candidates array<struct<candidate_id:string,safety_tier:string>>"
     assert "Exchange" not in plan(ranking.rank_arrays(spark.createDataFrame([], schema)))

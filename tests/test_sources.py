@@ -66,7 +66,7 @@ def test_file_order_decides_the_last_copy(spark, folder):
     path = write(folder, "characters.csv", CHARACTER_COLUMNS, rows)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
-        characters = tables.load_characters(spark, path, with_file_order=True)
+        characters = tables.load_characters(spark, path, multi_line=False, with_file_order=True)
         assert characters.rdd.getNumPartitions() > 3
         kept = features.deduplicate_characters(characters, tables.FILE_ORDER).collect()
     finally:
