@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     listed = long_lists.select("id").unionByName(likely.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
     wanted = reliable(sets.select("id", "copy").join(listed, "id", "left_semi"))
     full = reliable(full_sets(docs, wanted, width, id_col, text_col))
-    links = reliable(_linked(likely, full, percent).unionByName(_linked(_led(long_lists, percent), full, percent)))
+    links = reliable(_linked(likely.unionByName(_led(long_lists, percent)), full, percent))
     links = links.unionByName(_crowd_links(long_lists, components(links), full, percent))
     roots = components(links)
     heads = sets.select("copy", "id")
