@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clickloom.functions import numeric, rules, text
 from clickloom.operators.joins import join_dimension
-from clickloom.operators.ordering import bucket_limits, running_totals
+from clickloom.operators.ordering import bucket_limits, histogram, running_totals
 from clickloom.schema import COLD_START_MIN_IMPRESSIONS, SLICE_COLUMNS, UNKNOWN
 
 # Report sizes.
@@ -20,7 +20,7 @@ TOP_K = (100, 1000, 10000)
 CALIBRATION_BINS = 10
 TOP_K_GROUPS = 64
 TOP_SHARES = (0.9, 0.99, 0.999, 0.9999, 0.99999)
-TOP_ACCURACY = 100_000
+TOP_CELLS = 1000
 
 
 def _keyed(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -118,10 +118,17 @@ def calibration_error(calibration: DataFrame, keys: Sequence[str] = ()) -> DataF
 def _cut_to_top(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Drops rows that cannot be among the k best of their key group.
 
-    High quantiles are candidate cuts. Each group takes the highest cut that leaves it k rows by an
-    exact count, so the quantiles may be approximate.
+    Candidate cuts come from a histogram of the scores, about where the top shares begin. Each group takes the highest cut
+    that leaves it k rows by an exact count, so cuts need not be exact.
     """
-    cuts = rows.agg(F.percentile_approx("p", list(TOP_SHARES), TOP_ACCURACY)).first()[0]
+    cells = histogram(rows, "p", TOP_CELLS)
+    total, above, cuts = sum(n for _, n in cells), 0, []
+    left = sorted(TOP_SHARES, reverse=True)
+    for low, n in reversed(cells):
+        above += n
+        while left and above >= total * (1 - left[0]):
+            cuts.append(low)
+            left.pop(0)
     if not cuts:
         return rows
     choice = F.lit(float("-inf"))

@@ -12,6 +12,8 @@ import json
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import FeatureHasher, VectorAssembler
@@ -35,7 +37,11 @@ BAD_ARTIFACT = "model artifact unavailable or incompatible"
 
 @dataclass(frozen=True)
 class TrainingConfig:
-    """Settings of a training run; the boosting defaults are the published ones."""
+    """Settings of a training run; the boosting defaults are the published ones.
+
+    ``regularization`` is for the logistic model (Spark's ``regParam`` is a thousandth of it); Spark's boosted trees have
+    no such term and are held back by depth, learning rate and the early stop.
+    """
 
     train_fraction: float = 0.70
     validation_fraction: float = 0.15
@@ -240,7 +246,7 @@ class Predictor:
         try:
             inputs = fallback.select("*", own)
             scored = self.model.transform(build_features(inputs, characters, order_col))
-        except Exception as error:  # the model cannot take these rows at all
+        except (AnalysisException, ValueError) as error:  # columns missing or of a kind the model cannot take
             first = F.array(F.lit(UNAVAILABLE + type(error).__name__))
             return fallback.withColumn("reasons", F.concat(first, F.col("reasons")))
         failed = F.col("probability").isNull() | F.isnan("probability")
@@ -279,7 +285,7 @@ def load_predictor(
         return Predictor(prior=prior, version=version, reason=NO_ARTIFACT)
     try:
         model = ClickModel.load(spark, folder)
-    except Exception:  # any unreadable artifact means fallback serving
+    except (AnalysisException, Py4JJavaError, KeyError, TypeError, ValueError):  # unreadable or of another kind
         return Predictor(prior=prior, version=version, reason=BAD_ARTIFACT)
     return Predictor(
         model, float(model.metadata.get("global_ctr", prior)), model.metadata.get("model_version", version), INFERENCE_FAILED

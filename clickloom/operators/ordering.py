@@ -5,12 +5,13 @@
 cells: a cell of proven small size in one task, a larger one by range. Callers then compare every row
 with the found keys, which needs no shuffle.
 
-``running_totals`` adds prefix sums over a sorted numeric key. Bucket limits come from quantiles of
-the data, so a crowded value range gets more buckets; rows of equal key are combined beforehand.
+``running_totals`` adds prefix sums over a sorted numeric key. Bucket limits come from a histogram that is
+finer where values are crowded; rows of equal key are combined beforehand.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -23,7 +24,6 @@ from clickloom.functions import temporal
 from clickloom.session import materialize
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
-MAX_BUCKETS = 20_000
 SMALL_CELL = 200_000  # rows one task may sort
 
 
@@ -182,19 +182,52 @@ def cut_at(df: DataFrame, order: TimeOrder, positions: Callable[[Column], dict[s
     return Cuts(found.total, frame, upto)
 
 
+CELLS_PER_OCTAVE = 256
+FINE = 8  # cells a bucket's share of rows is cut into where values are crowded
+
+
+def histogram(df: DataFrame, column: str, buckets: int) -> list[tuple[float, int]]:
+    """Smallest value and row count of the cells of a numeric column, ascending.
+
+    The first pass counts in fixed cells, so wide that all numbers have some 10^5 of them and usual data some thousand. A
+    cell with more than a ``buckets``-th of the rows (there are fewer such cells than buckets) is cut finer in a second
+    pass. Both are ordinary partial aggregates; nulls and NaN are left out.
+    """
+    x = F.col(column).cast("double")
+    cell = F.floor(F.signum(x) * F.log2(1 + F.abs(x)) * CELLS_PER_OCTAVE)
+    values = df.select(x.alias("x"), cell.alias("cell")).where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    coarse = values.groupBy("cell").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()
+    share = max(1.0, sum(row["n"] for row in coarse) / buckets)
+    crowded = [row for row in coarse if row["n"] > share and row["low"] < row["high"]]
+    out = [(row["low"], row["n"]) for row in coarse if row not in crowded]
+    if crowded:
+        ranges = F.create_map(*[
+            part for row in crowded for part in (
+                F.lit(row["cell"]), F.array(F.lit(row["low"]), F.lit(row["high"] - row["low"]), F.lit(float(FINE * math.ceil(row["n"] / share)))))
+        ])
+        inside = values.where(F.col("cell").isin([row["cell"] for row in crowded])).withColumn("r", ranges[F.col("cell")])
+        fine = F.floor((F.col("x") - F.col("r")[0]) / F.col("r")[1] * F.col("r")[2])
+        out += [(row["low"], row["n"]) for row in inside.groupBy("cell", fine.alias("fine")).agg(
+            F.count("*").alias("n"), F.min("x").alias("low")).collect()]
+    return sorted(out)
+
+
 def bucket_limits(df: DataFrame, column: str, buckets: int | None = None) -> list[float]:
-    """Quantiles of a numeric column as bucket limits; at most ``MAX_BUCKETS`` values reach the driver.
+    """Limits that cut the rows into about equally large buckets by a numeric column, from its histogram.
 
     The number follows the session's shuffle partitions, which grow with the data.
     """
     if buckets is None:
-        buckets = min(MAX_BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+        buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     if buckets < 2:
         return []
-    shares = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
-    quantiles = F.expr(f"percentile_approx(CAST(`{column}` AS DOUBLE), array({shares}), {10 * buckets})")
-    found = df.agg(quantiles).first()[0]
-    return sorted(set(found or []))
+    cells = histogram(df, column, buckets)
+    share, before, limits = sum(n for _, n in cells) / buckets, 0, []
+    for low, n in cells:
+        if before and before >= (len(limits) + 1) * share * (1 - 1e-9):
+            limits.append(low)
+        before += n
+    return limits[: buckets - 1]
 
 
 def add_bucket(df: DataFrame, column: str, limits: Sequence[float], name: str) -> DataFrame:
