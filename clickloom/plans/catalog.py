@@ -878,6 +878,42 @@ def model_ranking(spark, sf_dir):
     )
 
 
+@register("model_score_facts", with_views(["featured"], "") + _SPLIT_SQL + """
+SELECT split, count(*) AS rows, count(*) AS rows_in_range, count(DISTINCT id) AS ids FROM assigned GROUP BY split""")
+def model_score_facts(spark, sf_dir):
+    """What holds whatever the learner finds: every row of every split has one score between 0 and 1."""
+    fitted, frame, _ = _trained(spark, sf_dir)
+    inside = (F.col("probability") > 0) & (F.col("probability") < 1)
+    return fitted.transform(frame).groupBy("split").agg(
+        F.count("*").alias("rows"), F.count_if(inside).alias("rows_in_range"), F.countDistinct("id").alias("ids"))
+
+
+@register("feature_importance_facts", """
+SELECT 33::BIGINT AS features, 100.0::DOUBLE AS total, 0::BIGINT AS negative, count(*) AS rows_scored FROM events""")
+def feature_importance_facts(spark, sf_dir):
+    fitted, frame, _ = _trained(spark, sf_dir)
+    table = fitted.feature_importance(spark).agg(
+        F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"), F.count_if(F.col("importance") < 0).alias("negative"))
+    return table.withColumn("rows_scored", frame.agg(F.count("*")).scalar())
+
+
+@register("saved_model_facts", """
+SELECT count(*) AS rows, count(*) AS same_as_unsaved, count(*) AS from_the_model, count(*) AS rounded FROM events""")
+def saved_model_facts(spark, sf_dir):
+    """A saved and loaded model gives each row the score of the model in memory, rounded, with the model's reasons."""
+    fitted, _, _ = _trained(spark, sf_dir)
+    folder = work_path(spark, "model")
+    fitted.save(spark, folder)
+    contexts, people = views.impressions(spark, sf_dir), views.characters(spark, sf_dir)
+    loaded = model.load_predictor(spark, folder).score(contexts, people, "version")
+    own = model.Predictor(fitted).score(contexts, people, "version").select("id", F.col("predicted_ctr").alias("own"))
+    score = F.col("predicted_ctr")
+    return loaded.join(own, "id").agg(
+        F.count("*").alias("rows"), F.count_if(score == F.col("own")).alias("same_as_unsaved"),
+        F.count_if(F.get("reasons", F.lit(0)) == model.MODEL_REASONS[0]).alias("from_the_model"),
+        F.count_if((score == F.round(score, 6)) & score.between(0, 1)).alias("rounded"))
+
+
 @register("missing_model_scores", with_views(["fallback"], """
 SELECT request_id, predicted_ctr, replace(reasons, 'fallback global CTR prior', 'fallback global CTR prior|model artifact not found') AS reasons
 FROM fallback"""))
