@@ -49,6 +49,7 @@ def pacing_multiplier(ratio: Column) -> Column:
 
 def pacing_reason(ratio: Column) -> Column:
     return (
+        # These reason texts, and those of the functions below.
         F.when(ratio > 1.0, "pacing reduced overspending campaign")
         .when((ratio >= 0.0) & (ratio < 0.8), "pacing boosted underspending campaign")
         .otherwise("pacing on target")

@@ -146,14 +146,14 @@ def verdict(checks: DataFrame) -> DataFrame:
 def require_pass(checks: DataFrame) -> None:
     """Stops a training job on any error."""
     if verdict(checks).first()["status"] != "pass":
-        raise ValueError("Input data validation failed; see the quality tables for details.")
+        raise ValueError("the input tables did not pass the checks")
 
 
 def check_target(df: DataFrame, target: str = "click") -> DataFrame:
     """The frame with an integer target; raises if a value is missing or not a number."""
     if target not in df.columns:
-        raise ValueError(f"Training frame must contain {target} target")
+        raise ValueError(f"there is no column {target} to learn from")
     number = _number(df, target)
     if df.where(number.isNull()).limit(1).count():
-        raise ValueError(f"Training target contains missing or non-numeric {target} values")
+        raise ValueError(f"some rows have no number in {target}, which is to be learned")
     return df.withColumn(target, number.cast("int"))

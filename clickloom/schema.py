@@ -98,4 +98,4 @@ def missing_columns(columns: list[str], required: list[str]) -> list[str]:
 def require_columns(columns: list[str], required: list[str], table: str) -> None:
     missing = missing_columns(columns, required)
     if missing:
-        raise ValueError(f"{table} is missing required columns: {missing}")
+        raise ValueError(f"{table}: these columns are needed and not there: {missing}")

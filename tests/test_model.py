@@ -89,7 +89,7 @@ def test_training_rows_leave_out_their_own_fold(spark):
 
 def test_bad_input_stops_training(spark, folder):
     impressions, characters = tables(spark, 60)
-    with pytest.raises(ValueError, match="validation failed"):
+    with pytest.raises(ValueError, match="did not pass the checks"):
         training.train_and_evaluate(impressions.withColumn("click", F.lit(2.0)), characters, folder, CONFIG)
     with pytest.raises(ValueError):
         model.TrainingConfig(iterations=0).check()

@@ -58,7 +58,7 @@ def test_empty_tables(spark):
 def test_target(spark):
     assert quality.check_target(spark.createDataFrame([("1",)], "click string")).first()["click"] == 1
     for rows in ([(None,)], [("x",)]):
-        with pytest.raises(ValueError, match="missing or non-numeric"):
+        with pytest.raises(ValueError, match="no number in"):
             quality.check_target(spark.createDataFrame(rows, "click string"))
-    with pytest.raises(ValueError, match="must contain"):
+    with pytest.raises(ValueError, match="no column"):
         quality.check_target(spark.range(1))

@@ -9,16 +9,14 @@ from clickloom.operators import features
 from clickloom.schema import CHARACTER_COLUMNS, IMPRESSION_COLUMNS
 from clickloom.sources import sinks, tables
 
-VALUES = {
-    "id": "10000724729988544911", "hour": "14102100", "click": "1", "banner_pos": "0", "site_id": "site",
-    "site_domain": "domain", "site_category": "site-cat", "app_id": "app", "app_domain": "app-domain",
-    "app_category": "app-cat", "device_id": "device", "device_ip": "ip", "device_model": "model", "device_type": "1",
-    "device_conn_type": "0", "C1": "1005", "C14": "15708", "C15": "320", "C16": "50", "C17": "1722", "C18": "0",
-    "C19": "35", "C20": "100083", "C21": "79", "character_id": "char-1", "conversation_turn": "2", "session_msg_count": "4",
+# Own sample values; the id has more digits than a double can hold.
+VALUES = {name: f"{name.lower()}-7" for name in IMPRESSION_COLUMNS} | {
+    "id": "98765432109876543211", "hour": "24030517", "click": "1", "C15": "300", "character_id": "p9", "conversation_turn": "5",
+    "session_msg_count": "8",
 }
 CHARACTER = {
-    "character_id": "char-1", "character_name": "guide", "character_description": "Helpful guide.",
-    "safety_tier": "sfw", "creator_type": "community", "num_interactions": "12", "created_at": "2014-10-01",
+    "character_id": "p9", "character_name": "Ada", "character_description": "Knows the way.", "safety_tier": "sfw",
+    "creator_type": "studio", "num_interactions": "31", "created_at": "2024-02-14",
 }
 
 
@@ -35,9 +33,9 @@ def test_round_trip(spark, folder):
     impressions = write(folder, "impressions.csv", IMPRESSION_COLUMNS, [VALUES])
     characters = write(folder, "characters.csv", CHARACTER_COLUMNS, [CHARACTER])
     row = tables.load_feature_frame(spark, impressions, characters).first()
-    assert (row["id"], row["C15"], row["click"]) == ("10000724729988544911", "320", 1.0)
-    assert row["event_timestamp"] == datetime(2014, 10, 21)
-    assert (row["turn_ratio"], row["safety_tier"], row["character_age_days"]) == (0.5, "sfw", 20.0)
+    assert (row["id"], row["C15"], row["click"]) == (VALUES["id"], "300", 1.0)
+    assert row["event_timestamp"] == datetime(2024, 3, 5, 17)
+    assert (row["turn_ratio"], row["safety_tier"], row["character_age_days"]) == (0.625, "sfw", 20.0)
 
 
 def test_header_order_and_null_texts(spark, folder):
@@ -45,12 +43,21 @@ def test_header_order_and_null_texts(spark, folder):
     path = write(folder, "impressions.csv", columns, [{**VALUES, "site_id": "NA", "app_id": "", "click": "x", "C1": "none"}])
     row = tables.load_impressions(spark, path).first()
     assert (row["site_id"], row["app_id"], row["click"], row["C1"]) == (None, None, None, "none")
-    assert (row["hour"], row["conversation_turn"]) == ("14102100", 2.0)
+    assert (row["hour"], row["conversation_turn"]) == ("24030517", 5.0)
+
+
+def test_line_breaks_in_quoted_cells(spark, folder):
+    note = '"first ""line"",\nsecond"'
+    impressions = write(folder, "impressions.csv", IMPRESSION_COLUMNS, [VALUES])
+    characters = write(folder, "characters.csv", CHARACTER_COLUMNS, [{**CHARACTER, "character_description": note}])
+    assert tables.load_characters(spark, characters).first()["character_description"] == 'first "line",\nsecond'
+    assert tables.load_feature_frame(spark, impressions, characters).first()["safety_tier"] == "sfw"
+    assert tables.load_characters(spark, characters, multi_line=False).count() == 2  # what the switch is for
 
 
 def test_missing_columns(spark, folder):
     path = write(folder, "impressions.csv", ["id", "hour"], [VALUES])
-    with pytest.raises(ValueError, match="impressions is missing required columns: \\['click'"):
+    with pytest.raises(ValueError, match="impressions: these columns are needed and not there: \\['click'"):
         tables.load_impressions(spark, path)
     assert tables.load_impressions(spark, path, validate=False).columns == ["id", "hour"]
 
@@ -61,7 +68,7 @@ def test_missing_file(spark, folder):
 
 
 def test_file_order_decides_the_last_copy(spark, folder):
-    rows = [{**CHARACTER, "character_name": f"copy-{i:05d}", "created_at": "2014-10-01"} for i in range(3000)]
+    rows = [{**CHARACTER, "character_name": f"copy-{i:05d}", "created_at": "2024-02-14"} for i in range(3000)]
     rows.append({**CHARACTER, "character_name": "a-last"})
     path = write(folder, "characters.csv", CHARACTER_COLUMNS, rows)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
@@ -76,13 +83,13 @@ def test_file_order_decides_the_last_copy(spark, folder):
 
 @pytest.mark.parametrize("fmt", ["parquet", "json", "orc"])
 def test_other_formats(spark, folder, fmt):
-    row = {**VALUES, "C15": 320.0}
+    row = {**VALUES, "C15": 300.0}
     df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'double' if k == 'C15' else 'string'}" for k in row))
     df.write.mode("overwrite").format(fmt).save(f"{folder}/t")
     found = tables.load_impressions(spark, f"{folder}/t", fmt).first()
     assert (found["id"], found["click"]) == (VALUES["id"], 1.0)
     if fmt != "json":
-        assert found["C15"] == "320"
+        assert found["C15"] == "300"
 
 
 def test_metric_json(spark, folder):
