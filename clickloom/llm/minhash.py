@@ -165,14 +165,11 @@ def _likely(pairs: DataFrame, sets: DataFrame, k: int, least: int) -> DataFrame:
 
 
 def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the short lists that may be alike by size. Of several lists that hold a pair the first makes it."""
+    """Pairs (a, b) of the short lists that may be alike by size, each once."""
     short = lists.where(F.col("length") <= LONG_LIST)
-    own = short.groupBy("id").agg(F.sort_array(F.collect_list("value")).alias("values"))  # at most k
-    left = short.join(own, "id").select("value", "id", "n", "values")
-    right = left.select("value", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("values").alias("other_values"))
-    first = F.array_min(F.array_intersect("values", "other_values")) == F.col("value")
-    pairs = left.join(right, "value").where((F.col("id") < F.col("other")) & _size_fits(F.col("n"), F.col("other_n"), percent) & first)
-    return pairs.select(F.col("id").alias("a"), F.col("other").alias("b"))
+    other = short.select("value", F.col("id").alias("other"), F.col("n").alias("other_n"))
+    pairs = short.join(other, "value").where((F.col("id") < F.col("other")) & _size_fits(F.col("n"), F.col("other_n"), percent))
+    return pairs.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
 
 
 def _led(long_lists: DataFrame, percent: int) -> DataFrame:
