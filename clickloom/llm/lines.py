@@ -32,7 +32,7 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> Data
     """(id, place, site, x, y) of every line of ``MIN_WORDS`` words or more; places count from 0."""
     text = bind(f"coalesce(CAST(`{text_col}` AS STRING), '')", "t", (
         "filter(transform(split(t, '\\\\n', -1), (l, i) -> named_struct('i', i, 'l', trim(l))), "
-        f"p -> size(array_remove(split(p.l, '[{SPACE}]+', -1), '')) >= {MIN_WORDS})"))
+        f"p -> p.l rlike '[^{SPACE}]+(?:[{SPACE}]+[^{SPACE}]+){{{MIN_WORDS - 1}}}')"))
     picked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.expr(text).alias("kept"))
     one = picked.select("id", "site", F.explode("kept").alias("p"))
     return one.select("id", F.col("p.i").alias("place"), "site", _hash(F.col("p.l")).alias("h")).select("id", "place", "site", "h.x", "h.y")
@@ -43,7 +43,8 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
 
     A line is summed up per site before sketches are made, so a line on a site holding a third of all rows is one entry.
     """
-    by_site = lines.groupBy("x", "y", "site").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n"))
+    # Stored, as both the estimates and the exact counts are made from it: texts are split here once.
+    by_site = reliable(lines.groupBy("x", "y", "site").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")))
     spread = by_site.groupBy("x", "y").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(PRECISION))).alias("about"), F.min("first").alias("first"), F.sum("n").alias("n"))
     spread = spread.where("n > 1")
