@@ -120,7 +120,7 @@ class Broken:
     version = "broken"
 
     def transform(self, df):
-        raise RuntimeError("no model")
+        raise ValueError("no model")
 
 
 class Partial(Broken):
@@ -133,7 +133,7 @@ def test_failing_model_falls_back(spark):
     predictor = model.Predictor(Broken(), 0.1, "v1", "primary model load succeeded but inference failed")
     rows = predictor.score(context).collect()
     assert rows[0]["reasons"][:3] == [
-        "primary model unavailable: RuntimeError", "fallback global CTR prior", "primary model load succeeded but inference failed",
+        "primary model unavailable: ValueError", "fallback global CTR prior", "primary model load succeeded but inference failed",
     ]
     assert (rows[0]["predicted_ctr"], rows[0]["model_version"]) == (0.105, "v1")
     found = {row["app_category"]: row for row in model.Predictor(Partial(), 0.1, "v1").score(context).collect()}
