@@ -179,16 +179,20 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
                 text, place = _known_features(part.column("text"), lookup)
                 ends = np.cumsum(np.bincount(text, minlength=len(part)))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(place, pa.int32()))
-                columns = [part.column(name) for name in ["fold", *[f"c{i}" for i in range(len(names))]]]
-                yield pa.RecordBatch.from_arrays([*columns, lists], ["fold", *[f"c{i}" for i in range(len(names))], "words"])
+                columns = [part.column(name) for name in kept]
+                yield pa.RecordBatch.from_arrays([*columns, lists], [*kept, "words"])
 
+    kept = ["key", "fold", *[f"c{i}" for i in range(len(names))]]
     ints = ", ".join(f"c{i} int" for i in range(len(names)))
-    found = rows.mapInArrow(featured, f"fold int, {ints}, words array<int>").collect()  # bounded by the sample
-    found.sort(key=lambda row: (row["fold"], *row[1 : 1 + len(names)], row["words"]))
-    cols = np.array([word for row in found for word in row["words"]], dtype=np.int64)
-    at = np.repeat(np.arange(len(found)), [len(row["words"]) for row in found])
-    targets = np.array([[row[f"c{i}"] for i in range(len(names))] for row in found], dtype=float)
-    weights = train_chain(at, cols, targets, np.array([row["fold"] for row in found]), len(vocabulary))
+    keyed = rows.withColumn("key", F.xxhash64("id", "text"))
+    # Bounded by the sample, and kept as Arrow: a few numbers a row. The order of rows doesn't depend on tasks.
+    found = keyed.mapInArrow(featured, f"key long, fold int, {ints}, words array<int>").toArrow()
+    found = found.take(pa.array(np.argsort(found.column("key").to_numpy(), kind="stable")))
+    lists = found.column("words").combine_chunks()
+    cols = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.repeat(np.arange(len(found)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    targets = np.stack([found.column(f"c{i}").to_numpy() for i in range(len(names))], axis=1).astype(float)
+    weights = train_chain(at, cols, targets, found.column("fold").to_numpy(), len(vocabulary))
     return Chain(names, vocabulary, weights)
 
 
