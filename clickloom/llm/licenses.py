@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.llm.components import reliable
+
 # How the licenses are commonly stated.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -164,5 +166,6 @@ def scan(docs: DataFrame, path_sql: str, is_license_sql: str = f"path rlike '{LI
     table gives none. The whole text is searched for statements.
     """
     files = docs.select(F.col(id_col).alias("id"), F.expr(path_sql).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
-    out = inherit(own_findings(files, least), F.expr(is_license_sql))
+    # Stored: the joins below read the findings three times, the texts are scanned once.
+    out = inherit(reliable(own_findings(files, least)), F.expr(is_license_sql))
     return out.withColumnRenamed("id", id_col)
