@@ -2,8 +2,9 @@
 
 The sketch of a set is its ``k`` smallest hashes. Two sets of Jaccard similarity 0.8 or more share at least ``least`` of
 them: of the ``k`` smallest hashes of the union each is in both sets with probability 0.8, and the chance of fewer than 20
-of 48 is 1e-8 at exactly 0.8 and less above. A set of at most ``k`` elements is its own sketch, and the number it must share
-is exact. From that follow the steps.
+of 48 is 1e-8 at exactly 0.8 and less above. A set of at most ``k`` elements is its own sketch, and the number it shares at
+least with any similar set is exact, also where the other set is larger and shows only its ``k`` smallest hashes. From that
+follow the steps.
 
 * Copies (equal sets) are grouped by a digest of the set; from here on only one of each group takes part.
 * Inverted lists: each sketch enters the lists of its rarest values, so many that two sketches which share ``least`` values
@@ -137,7 +138,10 @@ def inverted_lists(sets: DataFrame, k: int, least: int, percent: int) -> DataFra
     lengths = entries.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
     shared = entries.join(lengths, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("length", "value"))).alias("values"))
     held = F.size("sketch")
-    must = F.when(F.col("n") <= k, F.ceil(held * percent / F.lit(100.0))).otherwise(F.lit(least))
+    # A similar set is at most 100 / percent times as large. Within k it shares percent of n; beyond, up to n * 100 / percent - k
+    # of its hashes are hidden, and if all of n are in it, as many of them may be among the hidden ones.
+    seen = F.ceil(k - F.col("n") * (100 - percent) / F.lit(float(percent)))
+    must = F.when(F.col("n") <= k, F.least(F.ceil(held * percent / F.lit(100.0)), seen)).otherwise(F.lit(least))
     rooms = sets.select("id", "n", held.alias("held"), (held - F.greatest(must, F.lit(1)) + 1).alias("room"))
     # Values of one set are the rarest: they fill the room first, the shared ones have what is left. At most k values a set.
     left = (F.col("room") - (F.col("held") - F.size("values"))).cast("int")

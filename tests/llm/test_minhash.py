@@ -57,3 +57,16 @@ def test_query_equals_brute_force_on_the_given_table(spark, sf_dir):
     texts = {row.doc_id: row.text for row in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert {row.doc_id: (row.n_shingles, row.component_id) for row in rows} == near_groups(texts, 2)
     assert all(row.kept == (row.doc_id == row.component_id) for row in rows)
+
+
+def test_sets_within_the_sketch_meet_larger_ones(spark):
+    rng, texts = random.Random(9), {}
+    for n in (45, 46, 47, 48):
+        for size in range(49, 61):
+            for _ in range(6):  # the smaller set lies within the larger
+                words = [f"t{rng.randrange(10**12)}" for _ in range(size + 1)]
+                texts |= {len(texts): " ".join(words[: n + 1]), len(texts) + 1: " ".join(words)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    groups = near_groups(texts, 2)
+    assert sum(group != doc for doc, (_, group) in groups.items()) > 100
+    assert found(docs, width=2) == groups
