@@ -21,7 +21,8 @@ from clickloom.llm.arrow_text import letter_words, slices
 
 WORD_START = "▁"
 CHUNK = 48
-"""A longer run of letters is scored in chunks of this many characters: probabilities stay far above underflow."""
+"""A longer run of letters is scored in chunks of this many characters, which bounds the steps of one pass. Sums are kept as
+logarithms, so that no chunk underflows whatever its characters."""
 MAX_WORDS = 400_000
 """Words whose scores are remembered per task."""
 FLOOR = 1e-9
@@ -89,18 +90,23 @@ def _edges(words: list[str], lattice: Lattice) -> dict[tuple[int, int], np.ndarr
     return out
 
 
-def _forward(edges: dict[tuple[int, int], np.ndarray], width: int, count: int, chances: np.ndarray) -> list[np.ndarray]:
-    """Sums over all segmentations of the first i characters, for each i; ``chances``: pieces x languages."""
-    sums = [np.ones((count, chances.shape[1]))] + [np.zeros((count, chances.shape[1])) for _ in range(width)]
+def _logs(chances: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):  # no piece: -inf
+        return np.log(chances)
+
+
+def _forward(edges: dict[tuple[int, int], np.ndarray], width: int, count: int, logs: np.ndarray) -> list[np.ndarray]:
+    """Log sums over all segmentations of the first i characters, for each i; ``logs``: pieces x languages."""
+    sums = [np.zeros((count, logs.shape[1]))] + [np.full((count, logs.shape[1]), -np.inf) for _ in range(width)]
     for start, end in sorted(edges):
-        sums[end] += sums[start] * chances[edges[start, end]]
+        sums[end] = np.logaddexp(sums[end], sums[start] + logs[edges[start, end]])
     return sums
 
 
-def _backward(edges: dict[tuple[int, int], np.ndarray], width: int, count: int, chances: np.ndarray) -> list[np.ndarray]:
-    sums = [np.zeros((count, chances.shape[1])) for _ in range(width)] + [np.ones((count, chances.shape[1]))]
+def _backward(edges: dict[tuple[int, int], np.ndarray], width: int, count: int, logs: np.ndarray) -> list[np.ndarray]:
+    sums = [np.full((count, logs.shape[1]), -np.inf) for _ in range(width)] + [np.zeros((count, logs.shape[1]))]
     for start, end in sorted(edges, reverse=True):
-        sums[start] += sums[end] * chances[edges[start, end]]
+        sums[start] = np.logaddexp(sums[start], sums[end] + logs[edges[start, end]])
     return sums
 
 
@@ -122,10 +128,10 @@ def log_scores(words: list[str], lattice: Lattice, chances: np.ndarray) -> np.nd
     cut = [chunked(word) for word in words]
     owner = np.repeat(np.arange(len(words)), [len(chunks) for chunks in cut])
     flat = [chunk for chunks in cut for chunk in chunks]
-    scores = np.zeros((len(flat), chances.shape[1]))
+    scores, logs = np.zeros((len(flat), chances.shape[1])), _logs(chances)
     for own, group in _by_length(flat):
         width = len(group[0])
-        scores[own] = np.log(_forward(_edges(group, lattice), width, len(group), chances)[-1])
+        scores[own] = _forward(_edges(group, lattice), width, len(group), logs)[-1]
     out = np.zeros((len(words), chances.shape[1]))
     np.add.at(out, owner, scores)
     return out
@@ -149,13 +155,12 @@ def learn(counts: dict[str, dict[str, int]], lattice: Lattice, rounds: int = 4,
         chances = np.full((lattice.size + 2, 1), 1.0 / lattice.size)
         chances[-2:, 0] = 0, FLOOR
         for _ in range(rounds):
-            expected = np.zeros(lattice.size + 2)
+            expected, logs = np.zeros(lattice.size + 2), _logs(chances)
             for weight, width, edges in groups:
-                ahead = _forward(edges, width, len(weight), chances)
-                behind = _backward(edges, width, len(weight), chances)
-                scale = weight / ahead[-1][:, 0]
+                ahead = _forward(edges, width, len(weight), logs)
+                behind = _backward(edges, width, len(weight), logs)
                 for (start, end), numbers in edges.items():
-                    use = ahead[start][:, 0] * chances[numbers, 0] * behind[end][:, 0] * scale
+                    use = np.exp(ahead[start][:, 0] + logs[numbers, 0] + behind[end][:, 0] - ahead[-1][:, 0]) * weight
                     expected += np.bincount(numbers, use, lattice.size + 2)
             chances[:-2, 0] = (expected[:-2] + smooth) / (expected[:-2] + smooth).sum()
         columns.append(chances[:, 0])

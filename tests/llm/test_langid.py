@@ -73,3 +73,17 @@ def test_query_held_out_accuracy(spark, sf_dir):
     assert all(row.held_out == (zlib.crc32(str(row.doc_id).encode()) % 3 == 1) for row in rows)
     held = [row.lang_pred == docs[row.doc_id].lang for row in rows if row.held_out]
     assert sum(held) >= 0.95 * len(held)
+
+
+def test_letters_outside_the_vocabulary_leave_the_other_words_their_say(spark):
+    pieces = langid.read_pieces(PATH)
+    strange = "".join([c for c in map(chr, range(0x3400, 0x4DB0)) if c not in pieces][:60])
+    assert len(strange) == 60
+    lattice = langid.build_lattice(pieces)
+    assert np.isfinite(langid.log_scores([strange], lattice, langid.learn({"x": {"the": 1, strange: 1}}, lattice))).all()
+    rows = [(i, "the house of the rising sun and this" if i % 2 else "das Haus und die Sonne ist nicht hier", "en" if i % 2 else "de") for i in range(40)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PATH)
+    text = "the house of the rising sun and this " * 50
+    docs = spark.createDataFrame([(1, text + strange), (2, strange + " " + text)], "doc_id long, text string")
+    for row in langid.predict(docs, model).collect():
+        assert row.lang_pred == "en" and 0 <= row.score <= 1
