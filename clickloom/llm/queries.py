@@ -172,8 +172,12 @@ def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of their source's folder, a folder for each hundred ids; one that states a license speaks for its folder."""
-    path = "concat(source, '/', doc_id div 100, '/', doc_id, '.txt')"
+    """Documents as files of their source's folder, with a folder for each thousand ids and in it one for each hundred. By a
+    hash of the id, a tenth are license files by name in the source's folder and three tenths in that of the thousand. One
+    that states a license speaks for its folder and those below it."""
+    path = ("CASE WHEN crc32(CAST(doc_id AS STRING)) % 10 = 0 THEN concat(source, '/LICENSE-', doc_id) "
+            "WHEN crc32(CAST(doc_id AS STRING)) % 10 < 4 THEN concat(source, '/', doc_id div 1000, '/LICENSE-', doc_id) "
+            "ELSE concat(source, '/', doc_id div 1000, '/', doc_id div 100, '/', doc_id, '.txt') END")
     return licenses.scan(table(spark, sf_dir, "documents"), path, is_license_sql="license IS NOT NULL")
 
 

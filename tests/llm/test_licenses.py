@@ -69,3 +69,21 @@ def test_query_finds_the_statements_of_the_given_table(spark, sf_dir):
         assert (rows[doc.doc_id].license_from == "own") == (name is not None)
         if name:
             assert rows[doc.doc_id].license == name
+
+
+def test_query_inherits_from_ancestors_as_brute_force_does(spark):
+    from clickloom.llm.queries import QUERIES
+
+    rows = QUERIES["op10_license_scan"].build(spark, "/root/testdata/sf0.01").collect()
+    stated = {}
+    for row in rows:
+        if row.license_from == "own" and row.path is not None:
+            folder = row.path.rpartition("/")[0]
+            stated[folder] = min(stated.get(folder, (0.0,)), (-row.cosine, row.path, row.license))
+    for row in rows:
+        if row.license_from != "own":
+            parts = row.path.split("/")[:-1] if row.path is not None else None
+            up = [] if parts is None else ["/".join(parts[:n]) for n in range(len(parts), -1, -1)]
+            near = next(((stated[folder][2], "inherited", i) for i, folder in enumerate(up) if folder in stated), (None, "none", None))
+            assert (row.license, row.license_from, row.steps) == near, row.path
+    assert {0, 1} <= {row.steps for row in rows}
