@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import bpe, langid, licenses, lines, minhash, packing, rules, spots, toolcalls, toxicity
+from clickloom.llm import bpe, importance, infill, langid, licenses, lines, minhash, packing, rules, spots, toolcalls, toxicity
 from clickloom.llm.components import reliable
 
 PACKAGE = Path(__file__).resolve().parents[1]
@@ -181,6 +181,75 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), path, is_license_sql="license IS NOT NULL")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# The CRC-32 of each distinct word is worked out from its bytes by the table of remainders.
+OP12_SQL = """
+WITH crc_table AS (
+  SELECT list(r ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_concat([b::UBIGINT], list_transform(range(8), lambda i : 0::UBIGINT)),
+      lambda c, z : CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS r
+    FROM (SELECT unnest(range(256)) AS b))
+), words AS (
+  SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+  UNION ALL
+  SELECT 'b', NULL, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), hashed AS (
+  SELECT word, xor(4294967295::UBIGINT, list_reduce(
+      list_concat([4294967295::UBIGINT], list_transform(range(len(hex(word)) // 2), lambda i : ('0x' || substr(hex(word), (2 * i + 1)::INT, 2))::UBIGINT)),
+      lambda c, b : xor(c >> 8, t[(xor(c, b) & 255::UBIGINT)::INT + 1]))) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM words), crc_table
+), counts AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM words JOIN hashed USING (word) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sa + 10000) / ((s + 1)::DOUBLE * (ta + 10000))))::BIGINT AS gain
+  FROM counts, (SELECT sum(s)::BIGINT AS sa, sum(t)::BIGINT AS ta FROM counts)
+), weights AS (
+  SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS w FROM words JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(w, 0) AS weight, coalesce(w, 0) + floor(-1000 * ln(-ln(
+    (('0x' || substr(sha256('2024:' || doc_id), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score
+  FROM documents LEFT JOIN weights USING (doc_id)
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () * 10 // 100 AS wanted FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= wanted THEN place END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.restored(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2("restored", 256).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens,
+         list_transform(range(4), lambda i : ('0x' || substr(sha256('1:' || doc_id), (8 * i + 1)::INT, 8))::UBIGINT) AS h
+  FROM documents
+), placed AS (
+  SELECT *, len(tokens) AS n, least(h[1] % (len(tokens) + 1), h[2] % (len(tokens) + 1))::BIGINT AS low,
+         greatest(h[1] % (len(tokens) + 1), h[2] % (len(tokens) + 1))::BIGINT AS high,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+              WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut
+), parts AS (
+  SELECT *, array_to_string(tokens[1:low], '') AS p, array_to_string(tokens[low + 1:high], '') AS m, array_to_string(tokens[high + 1:], '') AS s
+  FROM placed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -198,5 +267,7 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": Query(op8_language_id),
     "op9_spot_signatures": Query(op9_spot_signatures),
     "op10_license_scan": Query(op10_license_scan),
+    "op12_importance_resampling": Query(op12_importance_resampling, OP12_SQL),
+    "op13_fill_in_middle": Query(op13_fill_in_middle, OP13_SQL),
     "pipeline": Query(pipeline),
 }
