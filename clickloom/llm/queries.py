@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import bpe, importance, infill, langid, licenses, lines, minhash, packing, rules, spots, toolcalls, toxicity
+from clickloom.llm import bpe, importance, infill, langid, licenses, lines, minhash, packing, rules, spots, token_groups, toolcalls, toxicity
 from clickloom.llm.components import reliable
 
 PACKAGE = Path(__file__).resolve().parents[1]
@@ -181,6 +181,31 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), path, is_license_sql="license IS NOT NULL")
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_groups.join_by_groups(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+OP11_SQL = """
+WITH RECURSIVE sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i : w[i:i + 3])) END AS members
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') AS w FROM documents)
+), entries AS (
+  SELECT doc_id, len(members) AS n, unnest(members) AS shingle FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM entries a JOIN entries b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (min(a.n) + min(b.n) - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+)
+SELECT doc_id, len(members)::BIGINT AS n_shingles, component_id
+FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
@@ -267,6 +292,7 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": Query(op8_language_id),
     "op9_spot_signatures": Query(op9_spot_signatures),
     "op10_license_scan": Query(op10_license_scan),
+    "op11_ngram_jaccard_join": Query(op11_ngram_jaccard_join, OP11_SQL),
     "op12_importance_resampling": Query(op12_importance_resampling, OP12_SQL),
     "op13_fill_in_middle": Query(op13_fill_in_middle, OP13_SQL),
     "pipeline": Query(pipeline),
