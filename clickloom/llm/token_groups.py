@@ -12,11 +12,12 @@ to chance but for equal 64-bit hashes of different shingles.
   set consists of little else; tokens of one set only lead nowhere. What remains names the few documents that can have links.
 * Groups: sets with the same smallest hashes are compared in chunks of ``CHUNK``, then one of each set of linked ones goes on
   to the next round, until a key has one chunk. Copies with small changes, however many, thus become one component with some
-  chunks' worth of comparisons each. The members of a component form groups of ``CHUNK``.
-* Lookup: where an entered token is held by groups of different components, the sets outside the component that holds most
-  groups are the queries. Pairs within one component need no comparison, as only components are asked for.
-* Each pair of query and group is bounded by the overlap with the group's union; groups that qualify are opened and their
-  members compared in full.
+  chunks' worth of comparisons each. A large component is divided into groups of its own; other sets are grouped by their
+  smallest hash, so that texts which resemble each other without being linked are in few groups too.
+* Lookup: where an entered token is held by several groups, those outside the component that holds most of them are paired with
+  the others. Pairs within one component need no comparison, as only components are asked for.
+* Each set of the smaller group of a pair is a query: its overlap with the union of the other group bounds its similarity to all
+  its members. Groups that qualify are opened and their members compared in full.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,14 +35,16 @@ from clickloom.llm.arrow_text import slices
 from clickloom.llm.components import components, reliable
 from clickloom.llm.minhash import FILTER_BITS, _bitmap, full_sets, shingle_sets, sketches
 
-CHUNK = 64
+CHUNK = 256
 """Members of a group, and sets that are compared with each other at once."""
+TOKENS = 2_000_000
+"""Tokens of a group's members together; a single set may have more."""
 KEYS = 2
 """Smallest hashes of a set by which it meets others when groups are formed."""
 QUERIES = 1000
 """Queries that meet a copy of a group in one task."""
 HOT_SHARE = 1e-4
-"""Tokens with more than this share of all entries are joined by themselves; there are at most 1 / HOT_SHARE."""
+"""Keys with more than this share of all rows are joined by themselves; there are at most 1 / HOT_SHARE."""
 
 
 def required(n: int, percent: int) -> int:
@@ -94,14 +98,19 @@ def heads(docs: DataFrame, chosen: DataFrame, width: int, percent: int, id_col:
     return source.withColumn("spot", spot).mapInArrow(work, f"id {kind}, n long, copy binary, head array<long>")
 
 
+def _with_sizes(rows: DataFrame, sizes: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with the stored ``sizes`` of their keys. Few keys have a large share of the rows; those sizes are broadcast, so
+    that no task gets all rows of such a key."""
+    hot = F.col(size) > max(1, int(total * HOT_SHARE))
+    return rows.join(sizes.where(~hot), key).unionByName(rows.join(F.broadcast(sizes.where(hot)), key))
+
+
 def entries(headed: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
     """(value, id, n) of the rare tokens each set enters, those of a single set left out."""
     every = headed.select("id", F.explode("head").alias("value"))
     counts = reliable(every.groupBy("value").agg(F.count("*").alias("length")).where("length > 1"))
     total = headed.agg(F.sum(F.size("head"))).first()[0] or 0
-    hot = F.col("length") > max(1, int(total * HOT_SHARE))
-    # At most 1 / HOT_SHARE tokens are hot, so they fit a broadcast; the rows of others spread over tasks by token.
-    shared = every.join(counts.where(~hot), "value").unionByName(every.join(F.broadcast(counts.where(hot)), "value"))
+    shared = _with_sizes(every, counts, "value", "length", total)
     ranked = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("length", "value"))).alias("values"))  # one head's
     sizes = distinct.select("id", "n").join(headed.select("id", F.size("head").alias("held")).dropDuplicates(["id"]), "id")
     # Tokens of one set are the rarest of all: they take places first.
@@ -134,57 +143,94 @@ def _chunk_roots(table: pa.Table, percent: int) -> np.ndarray:
     """For each row of a chunk the position of the row that stands for its component within the chunk."""
     owner, code, sizes = _coded(table.column("members").combine_chunks())
     every = np.arange(len(sizes))
+    a, b = _links_of(owner, code, sizes, every, every, percent)
     root = every.copy()
-    for a, b in zip(*_links_of(owner, code, sizes, every, every, percent)):
-        if root[a] != root[b]:
-            root[root == max(root[a], root[b])] = min(root[a], root[b])
-    return root
+    while True:
+        least = root.copy()
+        np.minimum.at(least, a, root[b])
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
+def _chunks(rows: Column, tokens: Column) -> Column:
+    """Into how many chunks so many sets with so many tokens are dealt."""
+    return F.greatest(F.ceil(rows / CHUNK), F.ceil(tokens / TOKENS)).cast("int")
 
 
 def gather(sets: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join most similar sets with the same key: rounds of comparisons in chunks.
 
-    ``sets`` has (id, members), ``keyed`` (key, id). After a round one set of each component found goes on; a key leaves when it
+    ``sets`` has (id, members), ``keyed`` (key, id, n). After a round one set of each component found goes on; a key leaves when it
     fits one chunk, or when a round left it more than half of its sets (they resemble each other little).
     """
     id_type, links, number = sets.schema["id"].dataType.simpleString(), [], 0
     while True:
-        counts = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        chunk = F.pmod(F.xxhash64("id", F.lit(number)), F.ceil(F.col("size") / CHUNK)).alias("chunk")
-        dealt = keyed.join(counts, "key").select("key", "id", "size", chunk)
+        keyed = reliable(keyed)
+        counts = keyed.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")).where("size > 1")
+        counts = reliable(counts.select("key", "size", _chunks(F.col("size"), F.col("tokens")).alias("chunks")))
+        dealt = _with_sizes(keyed, counts, "key", "size", keyed.count())
+        dealt = dealt.select("key", "id", "n", "size", "chunks", F.pmod(F.xxhash64("id", F.lit(number)), F.col("chunks")).alias("chunk"))
 
         def compare(table: pa.Table) -> pa.Table:
             table = table.sort_by("id")
             stands = table.column("id").take(pa.array(_chunk_roots(table, percent)))
-            return pa.table({"key": table.column("key"), "id": table.column("id"), "root": stands, "size": table.column("size")})
-
-        found = dealt.join(sets, "id").groupBy("key", "chunk").applyInArrow(compare, f"key long, id {id_type}, root {id_type}, size long")
-        found = reliable(found)
-        links.append(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-        heads_of = found.where("id = root").select("key", "id", "size")
-        left = heads_of.join(heads_of.groupBy("key").agg(F.count("*").alias("now")), "key")
-        keyed = left.where((F.col("size") > CHUNK) & (F.col("now") * 2 <= F.col("size"))).select("key", "id")
-        number += 1
-        if keyed.isEmpty():
+            return table.select(["key", "id", "n", "size", "chunks"]).append_column("root", stands)
+
+        compared = dealt.join(sets, "id").groupBy("key", "chunk").applyInArrow(
+            compare, f"key long, id {id_type}, n long, size long, chunks int, root {id_type}")
+        compared = reliable(compared)
+        links.append(compared.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+        standing = compared.where("id = root AND chunks > 1")
+        left = reliable(standing.groupBy("key").agg(F.count("*").alias("now"), F.max("size").alias("size")).where("now * 2 <= size").select("key", "now"))
+        if left.isEmpty():
             break
+        keyed = _with_sizes(standing.select("key", "id", "n"), left, "key", "now", standing.count()).select("key", "id", "n")
+        number += 1
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
     return out.distinct()
 
 
+def form_groups(active: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, n, root, grp, side): the group of each set. ``side`` is one for all groups of a large component, else the group itself;
+    groups of one side need not be compared."""
+    labelled = active.join(roots, F.col("id") == F.col("vertex"), "left").select("id", "n", F.col("sketch")[0].alias("key"), F.coalesce("root", "id").alias("root"))
+    own = labelled.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") >= CHUNK)
+    total = labelled.count()
+    large = _with_sizes(labelled, reliable(own), "root", "members", total)
+    large = large.select("id", "n", "root", F.concat(F.lit("component "), F.col("root").cast("string")).alias("cluster"), F.lit(True).alias("whole"))
+    small = labelled.join(large.select("id"), "id", "left_anti").select(
+        "id", "n", "root", F.concat(F.lit("hash "), F.col("key").cast("string")).alias("cluster"), F.lit(False).alias("whole"))
+    both = reliable(large.unionByName(small))
+    sizes = reliable(both.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")))
+    dealt = _with_sizes(both, sizes, "cluster", "size", total)
+    group = F.concat_ws("/", "cluster", F.pmod(F.xxhash64("id"), _chunks(F.col("size"), F.col("tokens"))).cast("string"))
+    return dealt.select("id", "n", "root", group.alias("grp"), F.when(F.col("whole"), F.col("cluster")).otherwise(group).alias("side"))
+
+
 def candidates(listed: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
-    """(query, root, part): pairs of a set and a group of another component that hold an entered token in common and whose sizes
-    allow for similarity. ``listed`` has (value, id, n), ``grouped`` (id, root, part)."""
-    held = listed.join(grouped, "id")
-    matrix = reliable(held.groupBy("value", "root", "part").agg(F.min("n").alias("least"), F.max("n").alias("most")))
-    by_root = matrix.groupBy("value", "root").agg(F.count("*").alias("groups"))
-    main = by_root.groupBy("value").agg(F.max(F.struct("groups", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
-    main = main.select("value", F.col("m.root").alias("main"))
-    queries = held.join(main, "value").where("root <> main").select("value", "main", F.col("id").alias("query"), F.col("n").alias("size"), F.col("root").alias("own"))
-    met = queries.join(matrix, "value").where((F.col("root") == F.col("main")) | (F.col("own") < F.col("root"))).where("own <> root")
-    near = (F.col("size") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("size") * percent)
-    return met.where(near).select("query", "root", "part").distinct()
+    """(query, grp): sets and the groups they are to be compared with. ``listed`` has (value, id, n), ``grouped`` is that of
+    ``form_groups``. Two groups meet if they hold an entered token in common and their sizes allow for similarity, a group
+    meets itself if it holds sets of several components; the sets of the smaller one become the queries."""
+    about = reliable(grouped.groupBy("grp", "side").agg(
+        F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), (F.min("root") != F.max("root")).alias("mixed")))
+    matrix = reliable(listed.select("value", "id").join(grouped.select("id", "grp", "side"), "id").select("value", "grp", "side").distinct())
+    by_side = matrix.groupBy("value", "side").agg(F.count("*").alias("groups"))
+    main = by_side.groupBy("value").agg(F.max(F.struct("groups", "side")).alias("m"), F.count("*").alias("sides")).where("sides > 1")
+    outside = matrix.join(main.select("value", F.col("m.side").alias("main")), "value").where("side <> main")
+    other = matrix.select("value", F.col("grp").alias("grp_b"), F.col("side").alias("side_b"))
+    met = outside.join(other, "value").where("side <> side_b AND (side_b = main OR grp < grp_b)")
+    met = met.select(F.least("grp", "grp_b").alias("a"), F.greatest("grp", "grp_b").alias("b")).distinct()
+    for end in "ab":
+        met = met.join(about.select(F.col("grp").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("size", "least", "most")]), end)
+    near = (F.col("most_a") * 100 >= F.col("least_b") * percent) & (F.col("most_b") * 100 >= F.col("least_a") * percent)
+    fewer = F.col("size_a") <= F.col("size_b")
+    met = met.where(near).select(F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("asking"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("grp"))
+    met = met.unionByName(about.where("mixed").select(F.col("grp").alias("asking"), "grp"))
+    return met.join(grouped.select(F.col("grp").alias("asking"), F.col("id").alias("query")), "asking").select("query", "grp")
 
 
 def open_groups(pairs: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,13 +238,13 @@ def open_groups(pairs: DataFrame, grouped: DataFrame, sets: DataFrame, percent:
 
     The queries of a group are dealt into parts of about ``QUERIES``, each of which gets the group's sets once.
     """
-    asked = pairs.groupBy("root", "part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("slots"))
-    asking = pairs.join(asked, ["root", "part"]).select(
-        "root", "part", F.pmod(F.xxhash64("query"), F.col("slots")).cast("int").alias("slot"), F.col("query").alias("id"), F.lit(True).alias("asks"))
-    members = grouped.join(asked, ["root", "part"]).select(
-        "root", "part", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "id", F.lit(False).alias("asks"))
+    asked = pairs.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("slots"))
+    asking = pairs.join(asked, "grp").select(
+        "grp", F.pmod(F.xxhash64("query"), F.col("slots")).cast("int").alias("slot"), F.col("query").alias("id"), F.lit(True).alias("asks"))
+    members = grouped.select("grp", "id").join(asked, "grp").select(
+        "grp", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "id", F.lit(False).alias("asks"))
     both = asking.unionByName(members).join(sets, "id")
-    id_type = sets.schema["id"].dataType
+    id_type = sets.schema["id"].dataType.simpleString()
 
     def compare(table: pa.Table) -> pa.Table:
         asks, lists = table.column("asks").to_numpy(), table.column("members").combine_chunks()
@@ -209,15 +255,15 @@ def open_groups(pairs: DataFrame, grouped: DataFrame, sets: DataFrame, percent:
         inside = np.isin(asked_sets.flatten().to_numpy(zero_copy_only=False), union)
         overlap = np.bincount(np.repeat(np.arange(len(queries)), sizes)[inside], minlength=len(queries))
         queries = queries[100 * overlap >= percent * sizes]
-        chosen = np.concatenate([queries, held])
-        owner, code, size = _coded(lists.take(pa.array(chosen)))
-        every = np.arange(len(chosen))
+        owner, code, size = _coded(lists.take(pa.array(np.concatenate([queries, held]))))
+        every = np.arange(len(size))
         x, y = _links_of(owner, code, size, every[: len(queries)], every[len(queries) :], percent)
         ids = table.column("id").combine_chunks()
-        return pa.table({"a": ids.take(pa.array(queries[x])), "b": ids.take(pa.array(held[y]))})
+        a, b = ids.take(pa.array(queries[x])), ids.take(pa.array(held[y]))
+        apart = pc.not_equal(a, b)
+        return pa.table({"a": a.filter(apart), "b": b.filter(apart)})
 
-    kind = id_type.simpleString()
-    return both.groupBy("root", "part", "slot").applyInArrow(compare, f"a {kind}, b {kind}")
+    return both.groupBy("grp", "slot").applyInArrow(compare, f"a {id_type}, b {id_type}")
 
 
 def join_by_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,12 +287,8 @@ def join_by_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     listed = reliable(entries(headed, distinct, percent))
     active = reliable(distinct.join(listed.select("id").distinct(), "id", "left_semi"))
     sets = reliable(full_sets(docs, active.select("id", "copy"), width, id_col, text_col))
-    links = gather(sets, active.select("id", F.explode("sketch").alias("key")), percent)
-    roots = components(links)
-    labelled = active.select("id").join(roots, F.col("id") == F.col("vertex"), "left").select("id", F.coalesce("root", "id").alias("root"))
-    sizes = labelled.groupBy("root").agg(F.count("*").alias("size"))
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHUNK)).cast("int")
-    grouped = reliable(labelled.join(sizes, "root").select("id", "root", part.alias("part")))
+    links = gather(sets, active.select("id", "n", F.explode("sketch").alias("key")), percent)
+    grouped = reliable(form_groups(active, components(links)))
     pairs = reliable(candidates(listed, grouped, percent))
     links = links.unionByName(open_groups(pairs, grouped, sets, percent))
     roots = components(links)
