@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+ROWS_PER_PART = 100_000
+"""Rows of a compact table that one task reads."""
+
 
 def reliable(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a checkpoint in ``spark.checkpoint.dir``; a local session may leave that unset."""
@@ -19,6 +22,15 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """``reliable`` for tables much smaller than the input, read back in as many partitions as their rows call for. The rows are
+    counted while they are written. Later steps then have as many tasks as the table needs, not as many as the shuffle had."""
+    prepare(df.sparkSession)
+    seen = Observation()
+    stored = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint()
+    return stored.coalesce(max(1, -(-seen.get["n"] // ROWS_PER_PART)))
+
+
 def prepare(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -35,22 +47,22 @@ def components(links: DataFrame) -> DataFrame:
     vertex appear, a link with a null end is ignored). Without links the result is empty.
     """
     whole = links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
-    left = reliable(whole.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots = reliable(whole.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().select("vertex", F.col("vertex").alias("root")))
-    while not left.isEmpty():
+    left = compact(whole.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    roots = compact(whole.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().select("vertex", F.col("vertex").alias("root")))
+    while left.take(1):
         # b is the larger end of each link: it hooks to the smallest vertex it is linked to.
-        hooks = reliable(left.groupBy("b").agg(F.min("a").alias("a")))
+        hooks = compact(left.groupBy("b").agg(F.min("a").alias("a")))
         while True:
             above = hooks.select(F.col("b").alias("a"), F.col("a").alias("next"))
             longer = hooks.join(above, "a", "left").select("b", F.coalesce("next", "a").alias("a"), F.col("next").isNotNull().alias("moved"))
-            longer = reliable(longer)
-            moved = not longer.where("moved").isEmpty()
+            longer = compact(longer)
+            moved = longer.where("moved").take(1)
             hooks = longer.select("b", "a")
             if not moved:
                 break
         at = hooks.select(F.col("b").alias("was"), F.col("a").alias("now"))
-        roots = reliable(roots.join(at, roots["root"] == at["was"], "left").select("vertex", F.coalesce("now", "root").alias("root")))
+        roots = compact(roots.join(at, roots["root"] == at["was"], "left").select("vertex", F.coalesce("now", "root").alias("root")))
         left = left.join(at, left["a"] == at["was"], "left").select(F.coalesce("now", "a").alias("a"), "b")
         left = left.join(at, left["b"] == at["was"], "left").select("a", F.coalesce("now", "b").alias("b"))
-        left = reliable(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        left = compact(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return roots

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.llm.arrow_text import slices
-from clickloom.llm.components import components, reliable
+from clickloom.llm.components import compact, components, reliable
 from clickloom.llm.minhash import FILTER_BITS, _bitmap, full_sets, shingle_sets, sketches
 
 CHUNK = 256
@@ -167,9 +167,9 @@ def gather(sets: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
     """
     id_type, links, number = sets.schema["id"].dataType.simpleString(), [], 0
     while True:
-        keyed = reliable(keyed)
+        keyed = compact(keyed)
         counts = keyed.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")).where("size > 1")
-        counts = reliable(counts.select("key", "size", _chunks(F.col("size"), F.col("tokens")).alias("chunks")))
+        counts = compact(counts.select("key", "size", _chunks(F.col("size"), F.col("tokens")).alias("chunks")))
         dealt = _with_sizes(keyed, counts, "key", "size", keyed.count())
         dealt = dealt.select("key", "id", "n", "size", "chunks", F.pmod(F.xxhash64("id", F.lit(number)), F.col("chunks")).alias("chunk"))
 
@@ -180,10 +180,10 @@ def gather(sets: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
 
         compared = dealt.join(sets, "id").groupBy("key", "chunk").applyInArrow(
             compare, f"key long, id {id_type}, n long, size long, chunks int, root {id_type}")
-        compared = reliable(compared)
+        compared = compact(compared)
         links.append(compared.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
         standing = compared.where("id = root AND chunks > 1")
-        left = reliable(standing.groupBy("key").agg(F.count("*").alias("now"), F.max("size").alias("size")).where("now * 2 <= size").select("key", "now"))
+        left = compact(standing.groupBy("key").agg(F.count("*").alias("now"), F.max("size").alias("size")).where("now * 2 <= size").select("key", "now"))
         if left.isEmpty():
             break
         keyed = _with_sizes(standing.select("key", "id", "n"), left, "key", "now", standing.count()).select("key", "id", "n")
@@ -191,7 +191,7 @@ def gather(sets: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
-    return out.distinct()
+    return compact(out.distinct())
 
 
 def form_groups(active: DataFrame, roots: DataFrame) -> DataFrame:
@@ -200,12 +200,12 @@ def form_groups(active: DataFrame, roots: DataFrame) -> DataFrame:
     labelled = active.join(roots, F.col("id") == F.col("vertex"), "left").select("id", "n", F.col("sketch")[0].alias("key"), F.coalesce("root", "id").alias("root"))
     own = labelled.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") >= CHUNK)
     total = labelled.count()
-    large = _with_sizes(labelled, reliable(own), "root", "members", total)
+    large = _with_sizes(labelled, compact(own), "root", "members", total)
     large = large.select("id", "n", "root", F.concat(F.lit("component "), F.col("root").cast("string")).alias("cluster"), F.lit(True).alias("whole"))
     small = labelled.join(large.select("id"), "id", "left_anti").select(
         "id", "n", "root", F.concat(F.lit("hash "), F.col("key").cast("string")).alias("cluster"), F.lit(False).alias("whole"))
-    both = reliable(large.unionByName(small))
-    sizes = reliable(both.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")))
+    both = compact(large.unionByName(small))
+    sizes = compact(both.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")))
     dealt = _with_sizes(both, sizes, "cluster", "size", total)
     group = F.concat_ws("/", "cluster", F.pmod(F.xxhash64("id"), _chunks(F.col("size"), F.col("tokens"))).cast("string"))
     return dealt.select("id", "n", "root", group.alias("grp"), F.when(F.col("whole"), F.col("cluster")).otherwise(group).alias("side"))
@@ -215,9 +215,9 @@ def candidates(listed: DataFrame, grouped: DataFrame, percent: int) -> DataFrame
     """(query, grp): sets and the groups they are to be compared with. ``listed`` has (value, id, n), ``grouped`` is that of
     ``form_groups``. Two groups meet if they hold an entered token in common and their sizes allow for similarity, a group
     meets itself if it holds sets of several components; the sets of the smaller one become the queries."""
-    about = reliable(grouped.groupBy("grp", "side").agg(
+    about = compact(grouped.groupBy("grp", "side").agg(
         F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), (F.min("root") != F.max("root")).alias("mixed")))
-    matrix = reliable(listed.select("value", "id").join(grouped.select("id", "grp", "side"), "id").select("value", "grp", "side").distinct())
+    matrix = compact(listed.select("value", "id").join(grouped.select("id", "grp", "side"), "id").select("value", "grp", "side").distinct())
     by_side = matrix.groupBy("value", "side").agg(F.count("*").alias("groups"))
     main = by_side.groupBy("value").agg(F.max(F.struct("groups", "side")).alias("m"), F.count("*").alias("sides")).where("sides > 1")
     outside = matrix.join(main.select("value", F.col("m.side").alias("main")), "value").where("side <> main")
@@ -284,13 +284,13 @@ def join_by_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     distinct = reliable(present.groupBy("copy").agg(F.min(F.struct("id", "n", "sketch")).alias("s")).select("copy", "s.id", "s.n", "s.sketch"))
     headed = heads(docs, distinct, width, percent, id_col, text_col).where("n > 0")
     headed = reliable(headed.join(distinct.select("id", "copy"), ["id", "copy"], "left_semi").dropDuplicates(["id"]).select("id", "head"))
-    listed = reliable(entries(headed, distinct, percent))
-    active = reliable(distinct.join(listed.select("id").distinct(), "id", "left_semi"))
+    listed = compact(entries(headed, distinct, percent))
+    active = compact(distinct.join(listed.select("id").distinct(), "id", "left_semi"))
     sets = reliable(full_sets(docs, active.select("id", "copy"), width, id_col, text_col))
     links = gather(sets, active.select("id", "n", F.explode("sketch").alias("key")), percent)
-    grouped = reliable(form_groups(active, components(links)))
-    pairs = reliable(candidates(listed, grouped, percent))
-    links = links.unionByName(open_groups(pairs, grouped, sets, percent))
+    grouped = compact(form_groups(active, components(links)))
+    pairs = compact(candidates(listed, grouped, percent))
+    links = compact(links.unionByName(open_groups(pairs, grouped, sets, percent)))
     roots = components(links)
     label = distinct.join(roots.withColumnRenamed("vertex", "id"), "id", "left").select("copy", F.coalesce("root", "id").alias("root"))
     copies = present.select("id", "copy").distinct().join(label, "copy").select(F.col("id").alias("of"), "root")
