@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.llm.arrow_text import ascii_words, slices
-from clickloom.llm.components import components, reliable
+from clickloom.llm.components import compact, components, reliable
 
 K = 48
 LEAST = 20
@@ -179,7 +179,7 @@ def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
 def _led(long_lists: DataFrame, percent: int) -> DataFrame:
     """Pairs of each set in long lists with a few leaders of the longest of them: sets that are in most long lists."""
     spread = long_lists.groupBy("id", "n").agg(F.count("*").alias("lists"), F.max(F.struct("length", "value")).alias("longest"))
-    spread = reliable(spread.select("id", "n", "lists", F.col("longest.value").alias("value")))
+    spread = compact(spread.select("id", "n", "lists", F.col("longest.value").alias("value")))
     by_list = spread.groupBy("value", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("part"))
     leaders = by_list.agg(F.max(F.struct("lists", F.xxhash64("id").alias("h"), "id", "n")).alias("l"))
     leaders = leaders.select("value", F.col("l.id").alias("leader"), F.col("l.n").alias("leader_n"))
@@ -197,7 +197,7 @@ def _crowd_links(long_lists: DataFrame, roots: DataFrame, full: DataFrame, perce
     main = rooted.groupBy("value", "root").agg(F.count("*").alias("size")).groupBy("value").agg(
         F.max(F.struct("size", "root")).alias("m")).select("value", F.col("m.root").alias("crowd"))
     members = rooted.join(main, "value").select("crowd", "id", (F.col("root") != F.col("crowd")).alias("outside")).distinct()
-    members = reliable(members)
+    members = compact(members)
     sizes = members.groupBy("crowd").agg(F.count("*").alias("size"), F.sum(F.col("outside").cast("int")).alias("out")).where("out > 0")
     blocks = lambda count: F.ceil(F.col(count) / BLOCK).cast("int")
     dealt = members.join(sizes, "crowd").select(
@@ -252,14 +252,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     present = present.join(other, "id", "left").where("first IS NULL OR copy = first").drop("first")
     sets = present.groupBy("copy").agg(F.min(F.struct("id", "n", "sketch")).alias("s")).select("copy", "s.id", "s.n", "s.sketch")
     sets = reliable(sets)
-    lists = reliable(inverted_lists(sets, k, least, percent))
-    likely = reliable(_likely(_short_pairs(lists, percent), sets, k, least))
+    lists = compact(inverted_lists(sets, k, least, percent))
+    likely = compact(_likely(_short_pairs(lists, percent), sets, k, least))
     long_lists = lists.where(F.col("length") > LONG_LIST)
     listed = long_lists.select("id").unionByName(likely.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
-    wanted = reliable(sets.select("id", "copy").join(listed, "id", "left_semi"))
+    wanted = compact(sets.select("id", "copy").join(listed, "id", "left_semi"))
     full = reliable(full_sets(docs, wanted, width, id_col, text_col))
-    links = reliable(_linked(likely.unionByName(_led(long_lists, percent)), full, percent))
-    links = links.unionByName(_crowd_links(long_lists, components(links), full, percent))
+    links = compact(_linked(likely.unionByName(_led(long_lists, percent)), full, percent))
+    links = compact(links.unionByName(_crowd_links(long_lists, components(links), full, percent)))
     roots = components(links)
     heads = sets.select("copy", "id")
     copies = present.select("id", "copy").distinct()
