@@ -1,28 +1,33 @@
-"""Click model: hashed out-of-fold click-rate encoding of categories, then a Spark ML classifier.
+"""Click model: hashed click-rate encoding of categories, then boosted trees or a logistic regression.
 
 High-cardinality ids are never indexed on the driver. Each category value falls into one of a fixed
 number of hash buckets per column; the click rate of a bucket, smoothed towards the global rate, is
 its encoding. The rate table is bounded by columns x buckets x folds whatever the data, so scoring
-needs no join. A training row is encoded with the rates of the other folds, not its own.
+needs no join. A training row is encoded with what was known before its time (``statistics.ordered_rates``), or, in
+tables without a time, with the rates of the other folds, not its own.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import FeatureHasher, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import FeatureHasher
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clickloom.functions import numeric
+from clickloom.operators import boosting
 from clickloom.operators.features import build_features, select_feature_columns
 from clickloom.operators.prediction import fallback_score, global_ctr
+from clickloom.operators.statistics import ordered_rates
 from clickloom.schema import (
     CATEGORICAL_FEATURES, FALLBACK_CTR, FEATURE_COLUMNS, NUMERIC_FEATURES, UNTRAINED_VERSION,
 )
@@ -39,8 +44,8 @@ BAD_ARTIFACT = "model artifact unavailable or incompatible"
 class TrainingConfig:
     """Settings of a training run; the boosting defaults are the published ones.
 
-    ``regularization`` is for the logistic model (Spark's ``regParam`` is a thousandth of it); Spark's boosted trees have
-    no such term and are held back by depth, learning rate and the early stop.
+    ``regularization`` is the L2 term on the leaves of the trees; the logistic model's ``regParam`` is a thousandth of it.
+    Boosting stops ``patience`` rounds after the best loss on the validation rows and keeps the trees up to that.
     """
 
     train_fraction: float = 0.70
@@ -50,7 +55,8 @@ class TrainingConfig:
     learning_rate: float = 0.08
     depth: int = 6
     regularization: float = 3.0
-    early_stop_tolerance: float = 1e-4
+    patience: int = 30
+    bins: int = 32
     seed: int = 42
     max_rows: int | None = None
     hash_buckets: int = 1024
@@ -64,6 +70,9 @@ class TrainingConfig:
         if self.classifier not in ("boosted_trees", "logistic"):
             raise ValueError(f"unknown classifier: {self.classifier}")
 
+    def boosting(self) -> boosting.BoostConfig:
+        return boosting.BoostConfig(self.iterations, self.depth, self.learning_rate, self.regularization, self.patience, self.bins)
+
 
 @dataclass(frozen=True)
 class RateEncoder:
@@ -82,6 +91,13 @@ class RateEncoder:
     def _fold(folds: int) -> Column:
         return F.pmod(F.xxhash64(F.lit("fold"), *FEATURE_COLUMNS), F.lit(folds)).cast("int")
 
+    @staticmethod
+    def ordered(train: DataFrame, target: str, time_col: str, config: TrainingConfig) -> DataFrame:
+        """The training rows with one ``<column>_rate`` per category, of what was known before each row's hour."""
+        keys = {name: RateEncoder._bucket(name, config.hash_buckets) for name in CATEGORICAL_FEATURES}
+        prior = train.agg(F.avg(F.col(target).cast("double"))).first()[0] or 0.0
+        return ordered_rates(train, keys, target, time_col, prior, config.smoothing)
+
     @classmethod
     def fit(cls, train: DataFrame, target: str, config: TrainingConfig) -> RateEncoder:
         cells = F.array(*[
@@ -134,9 +150,10 @@ ENCODED_COLUMNS = [f"{name}_rate" if name in CATEGORICAL_FEATURES else name for
 class ClickModel:
     """A fitted model: ``transform`` adds ``probability`` to rows that hold the feature columns."""
 
-    pipeline: PipelineModel
+    pipeline: PipelineModel | None
     encoder: RateEncoder | None
     metadata: dict = field(default_factory=dict)
+    trees: boosting.BoostedTrees | None = None
 
     @property
     def version(self) -> str:
@@ -145,43 +162,57 @@ class ClickModel:
     def transform(self, df: DataFrame) -> DataFrame:
         select_feature_columns(df)
         encoded = self.encoder.encode(df) if self.encoder else df
-        scored = self.pipeline.transform(encoded)
-        probability = vector_to_array(F.col("_probability"))[1]
-        return scored.withColumn("probability", probability).select(*[c for c in df.columns if c != "probability"], "probability")
+        if self.trees is not None:
+            scored = self.trees.transform(encoded)
+        else:
+            scored = self.pipeline.transform(encoded).withColumn("probability", vector_to_array(F.col("_probability"))[1])
+        return scored.select(*[c for c in df.columns if c != "probability"], "probability")
 
     def feature_importance(self, spark: SparkSession) -> DataFrame:
-        """Importance per feature, scaled to a sum of 100, largest first; empty for a linear model."""
-        stage = self.pipeline.stages[-1]
+        """Importance per feature by how far its splits move predictions, with a sum of 100, largest first; empty for a linear model."""
         rows = []
-        if hasattr(stage, "featureImportances"):
-            rows = [(name, 100.0 * float(value)) for name, value in zip(FEATURE_COLUMNS, stage.featureImportances.toArray())]
+        if self.trees is not None:
+            share = self.trees.importance()
+            rows = [(name, share.get(encoded, 0.0)) for name, encoded in zip(FEATURE_COLUMNS, ENCODED_COLUMNS)]
         return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
     def save(self, spark: SparkSession, folder: str) -> None:
-        self.pipeline.write().overwrite().save(f"{folder}/pipeline")
+        """Writes a version of its own, then one row that names it: a save that breaks off leaves the earlier version in place."""
+        version = uuid.uuid4().hex
+        place = f"{folder}/versions/{version}"
+        if self.pipeline is not None:
+            self.pipeline.save(f"{place}/pipeline")
         document = {
             "metadata": self.metadata,
             "encoder": None if self.encoder is None else asdict(self.encoder),
+            "trees": None if self.trees is None else self.trees.to_dict(),
         }
         row = spark.createDataFrame([(json.dumps(document, sort_keys=True),)], "document string")
-        row.coalesce(1).write.mode("overwrite").parquet(f"{folder}/metadata")
+        row.coalesce(1).write.parquet(f"{place}/document")
+        current = spark.createDataFrame([(version, time.time_ns())], "version string, saved_at long")
+        current.coalesce(1).write.mode("append").parquet(f"{folder}/current")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> ClickModel:
-        document = json.loads(spark.read.parquet(f"{folder}/metadata").first()["document"])
+        """The version saved last."""
+        version = spark.read.parquet(f"{folder}/current").orderBy(F.desc("saved_at")).first()["version"]
+        place = f"{folder}/versions/{version}"
+        document = json.loads(spark.read.parquet(f"{place}/document").first()["document"])
         encoder = RateEncoder(**document["encoder"]) if document["encoder"] else None
-        return cls(PipelineModel.load(f"{folder}/pipeline"), encoder, document["metadata"])
+        trees = boosting.BoostedTrees.from_dict(document["trees"]) if document["trees"] else None
+        return cls(None if trees else PipelineModel.load(f"{place}/pipeline"), encoder, document["metadata"], trees)
 
 
 def train_model(
-    train: DataFrame, validation: DataFrame, config: TrainingConfig = TrainingConfig(), target: str = "click"
+    train: DataFrame, validation: DataFrame, config: TrainingConfig = TrainingConfig(), target: str = "click",
+    time_col: str = "event_timestamp",
 ) -> ClickModel:
     """Fits the classifier on the train rows; boosting stops early by the validation rows."""
     config.check()
     keep = [*FEATURE_COLUMNS, target]
-    train, validation = train.select(*keep), validation.select(*keep)
+    timed = time_col in train.columns
     rate = train.agg(F.avg(F.col(target).cast("double"))).first()[0]
-    encoder = None
+    encoder, trees, pipeline, fitted = None, None, None, {}
     if config.classifier == "logistic":
         stages = [
             FeatureHasher(
@@ -193,19 +224,14 @@ def train_model(
                 predictionCol="_prediction", maxIter=config.iterations, regParam=config.regularization / 1000,
             ),
         ]
-        fit_on = train
+        pipeline = Pipeline(stages=stages).fit(train.select(*keep))
     else:
         encoder = RateEncoder.fit(train, target, config)
-        stages = [
-            VectorAssembler(inputCols=ENCODED_COLUMNS, outputCol="_features"),
-            GBTClassifier(
-                featuresCol="_features", labelCol=target, predictionCol="_prediction",
-                maxIter=config.iterations, stepSize=config.learning_rate, maxDepth=config.depth, seed=config.seed,
-                validationIndicatorCol="_held_out", validationTol=config.early_stop_tolerance,
-            ).setProbabilityCol("_probability").setRawPredictionCol("_raw"),
-        ]
-        marked = encoder.encode(train, training=True).withColumn("_held_out", F.lit(False))
-        fit_on = marked.unionByName(encoder.encode(validation).withColumn("_held_out", F.lit(True)))
+        own = train.select(*keep, *([time_col] if timed else []))
+        encoded = encoder.ordered(own, target, time_col, config) if timed else encoder.encode(own, training=True)
+        learned = boosting.fit(encoded, encoder.encode(validation.select(*keep)), ENCODED_COLUMNS, target, config.boosting())
+        trees = learned.model
+        fitted = {"best_round": learned.best_round, "validation_losses": learned.losses}
     now = datetime.now(timezone.utc)
     metadata = {
         "model_name": f"{config.classifier}_ctr",
@@ -217,8 +243,9 @@ def train_model(
         "target_column": target,
         "training_config": asdict(config),
         "global_ctr": rate,
+        **fitted,
     }
-    return ClickModel(Pipeline(stages=stages).fit(fit_on), encoder, metadata)
+    return ClickModel(pipeline, encoder, metadata, trees)
 
 
 @dataclass(frozen=True)
@@ -280,7 +307,7 @@ def load_predictor(
     spark: SparkSession, folder: str, prior: float = FALLBACK_CTR, version: str = UNTRAINED_VERSION
 ) -> Predictor:
     """The saved model with its own fallback, or the plain fallback if there is none or it cannot be read."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/metadata")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return Predictor(prior=prior, version=version, reason=NO_ARTIFACT)
     try:

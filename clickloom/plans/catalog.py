@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from clickloom.functions import numeric, rules, temporal, text
 from clickloom.operators import (
-    drift, features, metrics, model, ordering, prediction, quality, ranking, requestlog, split,
+    boosting, drift, features, metrics, model, ordering, prediction, quality, ranking, requestlog, split, statistics,
 )
 from clickloom.plans import training, views
 from clickloom.plans.view_sql import PARSED_HOUR, with_views
 from clickloom.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
-from clickloom.session import work_path
+from clickloom.session import materialize, shared_dir, work_path
 from clickloom.sources import sinks, tables
 from clickloom.streaming import live
 
@@ -817,26 +819,31 @@ def features_by_day(spark, sf_dir):
 TRAINING = model.TrainingConfig()
 
 
-_FITTED: dict[tuple[str, str], tuple] = {}
-
-
 def _trained(spark, sf_dir):
-    """A model fitted on the train split, and the labelled frame it came from; fitted once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FITTED:
-        _FITTED[key] = _fit(spark, sf_dir)
-    return _FITTED[key]
-
-
-def _fit(spark, sf_dir):
-    folder = work_path(spark, "frame")
-    sinks.write_by_day(
-        _frame(spark, sf_dir).withColumn("event_day", temporal.day_label(F.col("event_timestamp"))), folder
-    )
-    frame = quality.check_target(spark.read.parquet(folder))
+    """A model fitted on the train split, and the labelled frame it came from. Both are stored in a folder of the application
+    for these tables and settings, so the queries that use them don't depend on each other."""
+    key = hashlib.sha256(repr((spark.sparkContext.applicationId, sf_dir, TRAINING)).encode()).hexdigest()[:16]
+    folder = f"{shared_dir(spark)}/clickloom/fitted-{key}"
+    if model.load_predictor(spark, f"{folder}/model").model is None:
+        frame = _frame(spark, sf_dir)
+        sinks.write_by_day(frame.withColumn("event_day", temporal.day_label(F.col("event_timestamp"))), f"{folder}/frame")
+        frame, train, validation = _labelled(spark, folder)
+        model.train_model(train, validation, TRAINING).save(spark, f"{folder}/model")
+    frame, train, _ = _labelled(spark, folder)
+    return model.ClickModel.load(spark, f"{folder}/model"), frame, train
+
+
+def _labelled_frame(spark, sf_dir):
+    folder = work_path(spark, "labelled")
+    _frame(spark, sf_dir).write.parquet(f"{folder}/frame")
+    return _labelled(spark, folder)
+
+
+def _labelled(spark, folder):
+    frame = quality.check_target(spark.read.parquet(f"{folder}/frame"))
     frame = split.time_based_split(frame).assign(frame)
     train, validation = (frame.where(F.col("split") == name) for name in ("train", "validation"))
-    return model.train_model(train, validation, TRAINING), frame, train
+    return frame, train, validation
 
 
 @register("model_scores")
@@ -922,6 +929,152 @@ def missing_model_scores(spark, sf_dir):
     return predictor.score(views.rank_contexts(spark, sf_dir)).select("request_id", "predicted_ctr", joined_reasons())
 
 
+# Boosting
+
+
+_ORDERED = ["app_id", "character_id", "safety_tier"]
+
+
+def _ordered_sql(column: str, name: str) -> str:
+    before = f"OVER (PARTITION BY {column} ORDER BY date_trunc('hour', event_timestamp) NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP)"
+    return f"round((coalesce(sum(click) {before}, 0) + 0.2::DOUBLE * 20) / (count(*) {before} + 20), 6) AS {name}_rate"
+
+
+@register("ordered_statistics", with_views(["featured"], f"""
+SELECT id, {_ordered_sql('app_id', 'app_id')}, {_ordered_sql('character_id', 'character_id')}, {_ordered_sql('tier', 'safety_tier')}
+FROM featured"""))
+def ordered_statistics(spark, sf_dir):
+    """Click rates of three categories, one of them on most rows, as known before each row's hour."""
+    frame = _frame(spark, sf_dir).select("id", "click", "event_timestamp", *_ORDERED)
+    rated = statistics.ordered_rates(frame, {name: F.col(name) for name in _ORDERED}, "click", "event_timestamp", 0.2, 20.0)
+    return rated.select("id", *[r6(f"{name}_rate") for name in _ORDERED])
+
+
+_BORDERS = {"hour_of_day": [3.0, 7.0, 11.0, 15.0, 19.0], "conversation_turn": [1.0, 4.0, 8.0]}
+_STUMP_ROWS = """, rows AS (SELECT hour_of_day::DOUBLE AS hour_of_day, turn AS conversation_turn, click AS y FROM featured),
+base AS (SELECT ln(avg(y) / (1 - avg(y))) AS b FROM rows),
+borders(feature, border) AS (VALUES ('hour_of_day', 3.0::DOUBLE), ('hour_of_day', 7.0), ('hour_of_day', 11.0), ('hour_of_day', 15.0),
+  ('hour_of_day', 19.0), ('conversation_turn', 1.0), ('conversation_turn', 4.0), ('conversation_turn', 8.0)),
+raw0 AS (SELECT *, b AS raw FROM rows, base)"""
+
+
+def _stump_sql(i: int) -> str:
+    return f""", sums{i} AS (SELECT feature, border, (CASE feature WHEN 'hour_of_day' THEN hour_of_day ELSE conversation_turn END) > border AS above,
+  sum(1 / (1 + exp(-raw)) - y) AS g, sum(1 / (1 + exp(-raw)) * (1 - 1 / (1 + exp(-raw)))) AS h, count(*) AS n FROM raw{i - 1}, borders GROUP BY ALL),
+stump{i} AS (SELECT feature, border, -0.3::DOUBLE * max(g / (h + 3)) FILTER (NOT above) AS low, -0.3::DOUBLE * max(g / (h + 3)) FILTER (above) AS high,
+  max(n) FILTER (NOT above) AS low_rows, max(n) FILTER (above) AS high_rows FROM sums{i} GROUP BY feature, border
+  ORDER BY sum(g * g / (h + 3)) DESC LIMIT 1),
+raw{i} AS (SELECT r.* EXCLUDE (raw), raw + CASE WHEN (CASE feature WHEN 'hour_of_day' THEN hour_of_day ELSE conversation_turn END) > border
+  THEN high ELSE low END AS raw FROM raw{i - 1} r, stump{i})"""
+
+
+@register("newton_stumps", with_views(["featured"], "") + _STUMP_ROWS + _stump_sql(1) + _stump_sql(2) + _stump_sql(3) + """
+SELECT round, feature, border, round(low, 4) AS low, round(high, 4) AS high, low_rows, high_rows FROM (
+  SELECT 1 AS round, * FROM stump1 UNION ALL SELECT 2, * FROM stump2 UNION ALL SELECT 3, * FROM stump3)""")
+def newton_stumps(spark, sf_dir):
+    """Three rounds of one-question trees on all rows: the questions, and the Newton values and rows of their sides."""
+    frame = _frame(spark, sf_dir)
+    fitted = boosting.fit(frame, None, list(_BORDERS), "click", boosting.BoostConfig(rounds=3, depth=1, learning_rate=0.3), _BORDERS)
+    rows = [(i, t.features[0], t.borders[0], t.values[0], t.values[1], t.weights[0], t.weights[1]) for i, t in enumerate(fitted.model.trees, 1)]
+    table = spark.createDataFrame(rows, "round int, feature string, border double, low double, high double, low_rows long, high_rows long")
+    return table.withColumns({"low": F.round("low", 4), "high": F.round("high", 4)})
+
+
+@register("newton_cells", with_views(["featured"], "") + _STUMP_ROWS + """
+SELECT feature, (SELECT count(*) FROM borders o WHERE o.feature = f.feature AND o.border < x) AS bin, round(sum(1 / (1 + exp(-raw)) - y), 3) AS g,
+  round(sum(1 / (1 + exp(-raw)) * (1 - 1 / (1 + exp(-raw)))), 3) AS h, count(*) AS n
+FROM (SELECT 'hour_of_day' AS feature, hour_of_day AS x, y, raw FROM raw0 UNION ALL SELECT 'conversation_turn', conversation_turn, y, raw FROM raw0) f
+GROUP BY ALL""")
+def newton_cells(spark, sf_dir):
+    """Gradient, curvature and rows by feature and bin at the root of the first tree."""
+    frame = _frame(spark, sf_dir)
+    rate = frame.agg(F.avg("click")).first()[0]
+    binned = boosting.bin_rows(frame, _BORDERS, "click", math.log(rate / (1 - rate)))
+    sums = boosting.level_sums(binned, 2, 6, [], [], []).where("cell >= 0")
+    return sums.select(
+        F.element_at(F.array(*map(F.lit, _BORDERS)), (F.expr("cell div 6") + 1).cast("int")).alias("feature"), F.expr("cell % 6").alias("bin"),
+        F.round(F.col("g") / boosting.UNIT, 3).alias("g"), F.round(F.col("h") / boosting.UNIT, 3).alias("h"), "n")
+
+
+# Trees of a set form; their losses fall at first and rise later.
+_SET_TREES = boosting.BoostedTrees(-0.2, [
+    boosting.Tree(["hour_of_day", "conversation_turn"], [float(3 * k % 20), float(k % 9)],
+                  [-0.3 + 0.02 * k, -0.25 + 0.03 * k, -0.2 + 0.04 * k, -0.28 + 0.01 * k], [1, 1, 1, 1]) for k in range(12)])
+
+
+def _tree_sql(k: int) -> str:
+    tree = _SET_TREES.trees[k]
+    leaf = f"(hour_of_day > {tree.borders[0]!r})::INT + 2 * (turn > {tree.borders[1]!r})::INT"
+    return f"list_extract([{', '.join(f'{v!r}::DOUBLE' for v in tree.values)}], 1 + {leaf})"
+
+
+_STAGED_SQL = ", terms AS (SELECT click AS y, [" + ", ".join(_tree_sql(k) for k in range(12)) + """] AS t FROM featured),
+losses AS (SELECT round, count(*) AS n, avg(greatest(raw, 0) - raw * y + ln(1 + exp(-abs(raw)))) AS loss FROM (
+  SELECT y, round::INT AS round, -0.2::DOUBLE + coalesce(list_sum(t[1:round]), 0) AS raw FROM terms, range(13) AS r(round)) GROUP BY round)"""
+
+
+@register("staged_losses", with_views(["featured"], "") + _STAGED_SQL + " SELECT round, n, round(loss, 6) AS loss FROM losses")
+def staged_losses(spark, sf_dir):
+    return boosting.staged_losses(_frame(spark, sf_dir), _SET_TREES, "click").select("round", "n", r6("loss"))
+
+
+@register("stopping_round", with_views(["featured"], "") + _STAGED_SQL + """
+, ranked AS (SELECT round, loss, loss < coalesce(min(loss) OVER (ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e9) AS better FROM losses),
+ends AS (SELECT min(r.round) AS stopped_at FROM ranked r WHERE r.round - (SELECT max(b.round) FROM ranked b WHERE b.better AND b.round <= r.round) >= 3)
+SELECT round AS best_round, round(loss, 6) AS best_loss, stopped_at FROM ranked, ends
+WHERE better AND round <= coalesce(stopped_at, 99) ORDER BY round DESC LIMIT 1""")
+def stopping_round(spark, sf_dir):
+    """The number of trees kept when training may go on for three rounds without gain."""
+    losses = boosting.staged_losses(_frame(spark, sf_dir), _SET_TREES, "click")
+    return boosting.stopping_round(losses, 3).select("best_round", r6("best_loss"), "stopped_at")
+
+
+@register("leaf_weights", with_views(["featured"], "") + " UNION ALL ".join(
+    f"SELECT {k} AS tree, (hour_of_day > {t.borders[0]!r})::INT + 2 * (turn > {t.borders[1]!r})::INT AS leaf, count(*) AS n FROM featured GROUP BY ALL"
+    for k, t in enumerate(_SET_TREES.trees)))
+def leaf_weights(spark, sf_dir):
+    return boosting.leaf_weights(_frame(spark, sf_dir), _SET_TREES)
+
+
+_SIDES_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS feature, {k} AS tree, {other} AS rest, ({test})::INT AS side, count(*)::DOUBLE AS n, any_value({_tree_sql(k)}) AS v FROM featured GROUP BY ALL"
+    for k, t in enumerate(_SET_TREES.trees)
+    for name, test, other in (("hour_of_day", f"hour_of_day > {t.borders[0]!r}", f"(turn > {t.borders[1]!r})::INT"),
+                              ("conversation_turn", f"turn > {t.borders[1]!r}", f"(hour_of_day > {t.borders[0]!r})::INT")))
+
+
+@register("prediction_change", with_views(["featured"], "") + f"""
+, sides AS ({_SIDES_SQL}), changes AS (SELECT feature, sum(n) * var_pop_w AS change FROM (
+  SELECT feature, tree, rest, sum(n) AS n, sum(n * v * v) / sum(n) - (sum(n * v) / sum(n)) ** 2 AS var_pop_w FROM sides GROUP BY ALL) GROUP BY feature, tree, rest, var_pop_w)
+SELECT feature, round(100 * sum(change) / (SELECT sum(change) FROM changes), 4) AS importance FROM changes GROUP BY feature""")
+def prediction_change(spark, sf_dir):
+    """Importance of the features of the set trees, with the rows of the table as the weights of their leaves."""
+    counts = {(row["tree"], row["leaf"]): row["n"] for row in boosting.leaf_weights(_frame(spark, sf_dir), _SET_TREES).collect()}  # 48 leaves
+    trees = [replace(tree, weights=[counts.get((k, leaf), 0) for leaf in range(4)]) for k, tree in enumerate(_SET_TREES.trees)]
+    share = boosting.BoostedTrees(0.0, trees).importance()
+    return spark.createDataFrame(list(share.items()), "feature string, importance double").withColumn("importance", F.round("importance", 4))
+
+
+@register("training_facts", """
+SELECT true AS falls_on_train, true AS kept_the_best, true AS tells_the_losses, true AS stops_in_time""")
+def training_facts(spark, sf_dir):
+    """Of the trained model: each tree lowers the loss of its training rows as encoded for training, the best round on validation is kept."""
+    frame, train, validation = _labelled_frame(spark, sf_dir)
+    encoder = model.RateEncoder.fit(train, "click", TRAINING)
+    ordered = materialize(encoder.ordered(train, "click", "event_timestamp", TRAINING))
+    held = encoder.encode(validation)
+    config = boosting.BoostConfig(rounds=8, depth=4, learning_rate=0.3, patience=4)
+    fitted = boosting.fit(ordered, held, model.ENCODED_COLUMNS, "click", config)
+    falls = boosting.staged_losses(ordered, fitted.model, "click")
+    falls = falls.select((F.col("loss") < F.lag("loss").over(Window.orderBy("round"))).alias("less")).agg(F.every("less").alias("falls_on_train"))  # a row a round
+    kept = fitted.losses[1:]
+    told = boosting.staged_losses(held, fitted.model, "click").orderBy("round").collect()
+    return falls.select(
+        "falls_on_train", F.lit(kept[fitted.best_round - 1] == min(kept)).alias("kept_the_best"),
+        F.lit(all(abs(row["loss"] - loss) < 1e-6 for row, loss in zip(told, fitted.losses))).alias("tells_the_losses"),
+        F.lit(len(kept) - fitted.best_round <= config.patience).alias("stops_in_time"))
+
+
 # Streams
 
 
