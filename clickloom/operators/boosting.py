@@ -24,6 +24,7 @@ from clickloom.session import materialize
 UNIT = float(1 << 24)
 REFRESH = 16  # trees after which the running scores are written again, so that a pass applies fewer trees than that
 LEAST_GAIN = 1e-9
+ROWS_PER_TASK = 25_000  # a pass over them takes about as long as starting a task does
 
 
 @dataclass(frozen=True)
@@ -301,6 +302,7 @@ def fit(
     if validation is not None:
         marked = marked.unionByName(validation.select(*columns, target, F.lit(True).alias("_held")))
     binned = materialize(bin_rows(marked, borders, target, base, "_held"))
+    binned = binned.coalesce(max(1, -(-counted["n"] // ROWS_PER_TASK)))
     trees: list[Tree] = []
     recent: list = []
     losses: list[float] = []

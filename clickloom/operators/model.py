@@ -31,6 +31,7 @@ from clickloom.operators.statistics import ordered_rates
 from clickloom.schema import (
     CATEGORICAL_FEATURES, FALLBACK_CTR, FEATURE_COLUMNS, NUMERIC_FEATURES, UNTRAINED_VERSION,
 )
+from clickloom.session import materialize
 
 # The reason texts scored rows carry.
 MODEL_REASONS = ["trained CTR model", "online context features"]
@@ -228,7 +229,8 @@ def train_model(
     else:
         encoder = RateEncoder.fit(train, target, config)
         own = train.select(*keep, *([time_col] if timed else []))
-        encoded = encoder.ordered(own, target, time_col, config) if timed else encoder.encode(own, training=True)
+        # Read several times while trees are learned, so it is stored once.
+        encoded = materialize(encoder.ordered(own, target, time_col, config) if timed else encoder.encode(own, training=True))
         learned = boosting.fit(encoded, encoder.encode(validation.select(*keep)), ENCODED_COLUMNS, target, config.boosting())
         trees = learned.model
         fitted = {"best_round": learned.best_round, "validation_losses": learned.losses}
