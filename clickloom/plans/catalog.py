@@ -13,7 +13,7 @@ from clickloom.functions import numeric, rules, temporal, text
 from clickloom.operators import (
     boosting, drift, features, metrics, model, ordering, prediction, quality, ranking, requestlog, split, statistics,
 )
-from clickloom.plans import training, views
+from clickloom.plans import jobs, training, views
 from clickloom.plans.view_sql import PARSED_HOUR, with_views
 from clickloom.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from clickloom.session import materialize, shared_dir, work_path
@@ -1123,3 +1123,77 @@ def stream_windowed_ctr(spark, sf_dir):
     series = live.windowed_ctr(events)
     live.run_once(series, f"{folder}/out", f"{folder}/state")
     return spark.read.schema(series.schema).parquet(f"{folder}/out").select("window_start", "impressions", r6("ctr"))
+
+
+# A model of one tree, so that its scores can be worked out in SQL; one of its questions needs the characters.
+_ONE_TREE = model.ClickModel(None, None, {"model_version": "set"}, boosting.BoostedTrees(
+    -1.0, [boosting.Tree(["num_interactions", "hour_of_day"], [4000.0, 9.0], [-0.5, 0.25, 0.125, 0.75], [1, 1, 1, 1])]))
+_ONE_TREE_SQL = """list_extract([-0.5::DOUBLE, 0.25, 0.125, 0.75], 1 + (interactions > 4000)::INT + 2 * (hour_of_day > 9)::INT)"""
+
+
+@register("stream_model_scores", with_views(["featured"], f"""
+SELECT id, round(1 / (1 + exp(1 - {_ONE_TREE_SQL})), 6) AS predicted_ctr, 'set' AS model_version FROM featured"""))
+def stream_model_scores(spark, sf_dir):
+    """A stream of all events, scored with a stored model and characters that are read anew for each micro-batch."""
+    folder = work_path(spark, "stream")
+    _ONE_TREE.save(spark, f"{folder}/model")
+    views.characters(spark, sf_dir).write.parquet(f"{folder}/characters")
+    work = live.score_and_store(
+        lambda: model.load_predictor(spark, f"{folder}/model"), lambda: spark.read.parquet(f"{folder}/characters"), f"{folder}/out", "version")
+    live.run_batches(views.impression_columns(_event_stream(spark, sf_dir)), work, f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out").select("id", "predicted_ctr", "model_version")
+
+
+@register("stream_accepted_and_rejected", """
+SELECT o_orderkey::VARCHAR AS request_id, CASE WHEN n IS NULL THEN 'empty_candidates' WHEN n > 6 THEN 'too_many_candidates' ELSE 'none' END AS rejection
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""")
+def stream_accepted_and_rejected(spark, sf_dir):
+    """Both outputs of a stream of requests, after its only batch was replayed: each request stands in one of them, once."""
+    folder = work_path(spark, "stream")
+    stored = requests(spark, sf_dir)
+    stored.write.parquet(f"{folder}/in")
+    work = live.rank_and_reject(folder, limit=6)
+    live.run_batches(live.read_stream(spark, f"{folder}/in", stored.schema), work, f"{folder}/state")
+    work(spark.read.parquet(f"{folder}/in"), 0)
+    accepted = spark.read.parquet(f"{folder}/ranked").select("request_id", F.lit("none").alias("rejection"))
+    return accepted.unionByName(spark.read.parquet(f"{folder}/rejected").select("request_id", "rejection"))
+
+
+@register("batch_scores", with_views(["impressions"], """
+SELECT id, round(0.05::DOUBLE * 1.05::DOUBLE * 1.03::DOUBLE * CASE WHEN session_msg_count > 0 AND conversation_turn / session_msg_count <= 0.25
+    THEN 1.02::DOUBLE WHEN session_msg_count > 0 THEN 0.98::DOUBLE ELSE 1 END, 6) AS predicted_ctr FROM impressions"""))
+def batch_scores(spark, sf_dir):
+    """The batch scoring job with a model that breaks inside tasks: every part is written with fallback scores."""
+    folder = work_path(spark, "scores")
+    failed = jobs.score_batch(views.impressions(spark, sf_dir), model.Predictor(_BreaksInTasks()), folder, batches=3)
+    if sorted(failed) != [0, 1, 2]:
+        raise RuntimeError(f"parts that failed: {failed}")
+    return spark.read.parquet(folder).where(F.get("reasons", F.lit(0)).startswith(model.UNAVAILABLE)).select("id", "predicted_ctr")
+
+
+class _BreaksInTasks:
+    version = "broken"
+
+    def transform(self, df):
+        return df.withColumn("probability", F.raise_error(F.lit("lost files")).cast("double"))
+
+
+_LATE = "event_id % 10 = 7"
+
+
+@register("stream_late_rows", f"""
+WITH first AS (SELECT * FROM events WHERE NOT {_LATE}), second AS (SELECT * FROM events WHERE {_LATE}),
+late AS (SELECT s.*, date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM first) AS is_late FROM second s)
+SELECT window_start, sum(timely)::BIGINT AS impressions, round(sum(timely_clicks) / nullif(sum(timely), 0), 6) AS ctr, sum(late)::BIGINT AS late_rows FROM (
+  SELECT date_trunc('hour', ts) AS window_start, 1 AS timely, (event_type = 'click')::INT::DOUBLE AS timely_clicks, 0 AS late FROM first
+  UNION ALL SELECT date_trunc('hour', ts), (NOT is_late)::INT, (NOT is_late AND event_type = 'click')::INT::DOUBLE, is_late::INT FROM late) GROUP BY 1""")
+def stream_late_rows(spark, sf_dir):
+    """Events that arrive in two batches, every tenth of them in the second: what is in time, and what is late."""
+    folder = work_path(spark, "stream")
+    events = views.table(spark, sf_dir, "events")
+    work = live.count_windows(f"{folder}/out")
+    for late in (f"NOT {_LATE}", _LATE):
+        events.where(late).write.mode("append").parquet(f"{folder}/in")
+        stream = live.read_stream(spark, f"{folder}/in", events.schema).withColumn("click", (F.col("event_type") == "click").cast("double"))
+        live.run_batches(stream, work, f"{folder}/state")
+    return live.windows(spark, f"{folder}/out").select("window_start", "impressions", r6("ctr"), "late_rows")

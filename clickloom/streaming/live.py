@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -40,6 +42,93 @@ def score_stream(
     return predictor.score(contexts, side)
 
 
+def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Hands everything available now to ``work`` in micro-batches and returns the finished query."""
+    query = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def score_and_store(
+    load: Callable[[], Predictor],
+    characters: Callable[[], DataFrame | None],
+    folder: str,
+    order_col: str | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """Work for ``run_batches``: scores a micro-batch with the model and the dimension as they are stored at its start.
+
+    Both are read anew for each batch, so a model saved or a character changed meanwhile counts from the next one on. A batch
+    owns the folder ``batch=<id>``: replayed after a failure it replaces its own rows and no others.
+    """
+
+    def work(batch: DataFrame, number: int) -> None:
+        side = characters()
+        scored = load().score(batch, None if side is None else deduplicate_characters(side, order_col))
+        scored.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return work
+
+
+def rank_and_reject(
+    folder: str, prior: float = FALLBACK_CTR, reason: str | None = None, limit: int = MAX_RANK_CANDIDATES
+) -> Callable[[DataFrame, int], None]:
+    """Work for ``run_batches``: accepted requests of a micro-batch are ranked under ``ranked``, the others go to ``rejected`` with
+    what is wrong with them. The source is read once for both; a replayed batch replaces its own rows in both."""
+
+    def work(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()  # read once; what a lost executor held is read again
+        try:
+            ranking.rank_arrays(kept, prior, reason, limit).write.mode("overwrite").parquet(f"{folder}/ranked/batch={number}")
+            rejected_requests(kept, limit).write.mode("overwrite").parquet(f"{folder}/rejected/batch={number}")
+        finally:
+            kept.unpersist()
+
+    return work
+
+
+def count_windows(
+    folder: str, time_col: str = "ts", click_col: str = "click", window: str = "1 hour", delay: str = "1 hour"
+) -> Callable[[DataFrame, int], None]:
+    """Work for ``run_batches``: rows and clicks of a micro-batch per time window, and how many of them came late.
+
+    Late is a row whose window had ended ``delay`` or more before the latest time seen in earlier batches. That time is taken
+    from what those batches stored, so a replayed batch judges its rows as it did before. ``windows`` sums the batches up.
+    """
+
+    def work(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        timed = batch.select(event_time(time_col, batch.schema[time_col].dataType).alias("time"), F.col(click_col).alias("click"))
+        grouped = timed.groupBy(F.window("time", window)).agg(
+            F.count("*").alias("rows"), F.sum(F.col("click").cast("double")).alias("clicks"), F.max("time").alias("latest"))
+        closed = None
+        if number:
+            earlier = _window_parts(spark, folder).where(F.col("batch") < number)
+            closed = earlier.agg((F.max("latest") - F.expr(f"INTERVAL {delay}")).alias("closed")).first()["closed"]
+        late = F.lit(False) if closed is None else F.col("window.end") <= F.lit(closed)
+        parts = grouped.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "rows", "clicks", "latest", late.alias("late"))
+        parts.coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return work
+
+
+_PARTS = "start timestamp, end timestamp, rows long, clicks double, latest timestamp, late boolean, batch int"
+
+
+def _window_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``count_windows`` stored: a row per window and batch."""
+    return spark.read.schema(_PARTS).parquet(folder)
+
+
+def windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Per window the rows in time with their click rate, and the late rows, which count nowhere else."""
+    timely = F.when(~F.col("late"), F.col("rows"))
+    table = _window_parts(spark, folder).groupBy("start").agg(
+        F.coalesce(F.sum(timely), F.lit(0)).alias("impressions"),
+        (F.sum(F.when(~F.col("late"), F.col("clicks"))) / F.sum(timely)).alias("ctr"),
+        F.coalesce(F.sum(F.when(F.col("late"), F.col("rows"))), F.lit(0)).alias("late_rows"))
+    return table.select(temporal.instant_to_utc(F.col("start")).alias("window_start"), "impressions", "ctr", "late_rows")
+
+
 def rank_stream(
     requests: DataFrame,
     prior: float = FALLBACK_CTR,
