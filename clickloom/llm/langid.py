@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from clickloom.llm.arrow_text import letter_words, slices
 
 WORD_START = "▁"
-CHUNK = 48
-"""A longer run of letters is scored in chunks of this many characters, which bounds the steps of one pass. Sums are kept as
-logarithms, so that no chunk underflows whatever its characters."""
+WINDOW = 48
+"""A longer run of letters is scored window by window, and the sums over segmentations are carried from one to the next, so that
+memory is bounded and every segmentation counts. Sums are logarithms: nothing underflows. Learning, which takes a bounded
+sample, cuts runs into pieces of this length."""
 MAX_WORDS = 400_000
 """Words whose scores are remembered per task."""
 FLOOR = 1e-9
@@ -120,20 +121,37 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
 
 def chunked(word: str) -> list[str]:
     marked = WORD_START + word
-    return [marked[i : i + CHUNK] for i in range(0, len(marked), CHUNK)]
+    return [marked[i : i + WINDOW] for i in range(0, len(marked), WINDOW)]
+
+
+def _rolling(word: str, lattice: Lattice, logs: np.ndarray) -> np.ndarray:
+    """Log sum over all segmentations of one long run. Pieces that start in a window may end in the next: the sums at as many
+    positions as the longest piece has characters go along."""
+    longest = max(lattice.hashes, default=1)
+    carried = np.full((longest, logs.shape[1]), -np.inf)
+    carried[0] = 0
+    for start in range(0, len(word), WINDOW):
+        text = word[start : start + WINDOW + longest - 1]
+        sums = np.full((WINDOW + longest, logs.shape[1]), -np.inf)
+        sums[:longest] = carried
+        for (a, b), number in sorted(_edges([text], lattice).items()):
+            if a < WINDOW:
+                sums[b] = np.logaddexp(sums[b], sums[a] + logs[number[0]])
+        carried = sums[WINDOW:]
+        if len(word) - start <= WINDOW:
+            return sums[len(word) - start]
+    return carried[0]
 
 
 def log_scores(words: list[str], lattice: Lattice, chances: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language."""
-    cut = [chunked(word) for word in words]
-    owner = np.repeat(np.arange(len(words)), [len(chunks) for chunks in cut])
-    flat = [chunk for chunks in cut for chunk in chunks]
-    scores, logs = np.zeros((len(flat), chances.shape[1])), _logs(chances)
-    for own, group in _by_length(flat):
-        width = len(group[0])
-        scores[own] = _forward(_edges(group, lattice), width, len(group), logs)[-1]
-    out = np.zeros((len(words), chances.shape[1]))
-    np.add.at(out, owner, scores)
+    logs, out = _logs(chances), np.zeros((len(words), chances.shape[1]))
+    marked = [WORD_START + word for word in words]
+    for own, group in _by_length(marked):
+        if len(group[0]) <= WINDOW:
+            out[own] = _forward(_edges(group, lattice), len(group[0]), len(group), logs)[-1]
+        else:
+            out[own] = [_rolling(word, lattice, logs) for word in group]
     return out
 
 
@@ -177,14 +195,15 @@ def fit(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str
         rows_per_language: int = 1500, words_per_language: int = 30_000, max_languages: int = 200) -> Model:
     """Learns from a bounded sample: about ``rows_per_language`` rows of each language, chosen by a hash of the id.
 
-    Rows without text or language are skipped. ``words_per_language`` bounds the distinct words of a language that reach
+    Rows without text or language are skipped; without any other the model knows no language. ``words_per_language`` bounds the distinct words of a language that reach
     the driver (the most frequent; ties by the word), ``max_languages`` the languages (those with most rows).
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     source = source.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = source.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(max_languages).collect()
     if not sizes:
-        raise ValueError("no row has both a text and a language")
+        lattice = build_lattice(read_pieces(pieces_path))
+        return Model([], lattice, np.zeros((lattice.size + 2, 0)))
     share = F.create_map(*[F.lit(x) for row in sizes for x in (row["lang"], min(1.0, rows_per_language / row["rows"]))])
     draw = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1_000_000)) / F.lit(1_000_000.0)
     sample = source.where(F.coalesce(draw, F.lit(0.0)) < share[F.col("lang")]).select("lang", "text")
@@ -239,7 +258,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """The most probable language of each whole text, and its share of the probability of all languages.
 
     Returns the id, the columns in ``keep``, ``lang_pred`` and ``score`` (0 to 1). A text that is null or has no letter
-    gets ``und`` and 0. Of equally probable languages the first by name wins. Equal texts get equal results; an empty table
+    gets ``und`` and 0, and so does every text if the model knows no language. Of equally probable languages the first by name wins. Equal texts get equal results; an empty table
     gives none. The model (vocabulary x languages) is broadcast; both are bounded.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -249,6 +268,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         scorer = _Scorer(shipped.value)
         for batch in batches:
             for part in slices(batch, text_col):
+                if not len(languages):
+                    rest, n = [part.column(name) for name in names], len(part)
+                    yield pa.RecordBatch.from_arrays([*rest, pa.array([UNDETERMINED] * n, pa.string()), pa.array(np.zeros(n))], [*names, "lang_pred", "score"])
+                    continue
                 words = letter_words(part.column(text_col))
                 total = np.zeros((len(part), len(languages)))
                 if len(words.code):

@@ -125,12 +125,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH lines AS (
-  SELECT doc_id, source, i, trim(line) AS line
+  SELECT doc_id, source, i, trim(line) AS line,
+         CASE WHEN len(list_filter(regexp_split_to_array(trim(line), '[\\x20\\x09-\\x0D]+'), lambda x : x <> '')) < 4 THEN 8 ELSE 4 END AS needed
   FROM (SELECT doc_id, coalesce(source, '') AS source, unnest(string_split(text, chr(10))) AS line,
                generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
-  WHERE len(list_filter(regexp_split_to_array(trim(line), '[\\x20\\x09-\\x0D]+'), lambda x : x <> '')) >= 4
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
 ), spread AS (
-  SELECT line, min(struct_pack(doc_id := doc_id, i := i)) AS first FROM lines GROUP BY line HAVING count(DISTINCT source) >= 4
+  SELECT line, min(struct_pack(doc_id := doc_id, i := i)) AS first FROM lines GROUP BY line HAVING count(DISTINCT source) >= min(needed)
 ), gone AS (
   SELECT l.doc_id, l.i FROM lines l JOIN spread s USING (line) WHERE NOT (l.doc_id = s.first.doc_id AND l.i = s.first.i)
 ), cut AS (

@@ -220,8 +220,9 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     return source.mapInArrow(work, f"`{id_col}` {kind}, " + ", ".join(f"`{name}` double" for name in names))
 
 
-def with_rejection(docs: DataFrame, chain: Chain, category: str, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``docs`` as it is, with a column ``rejected``: whether the category's probability reaches the threshold."""
+def with_rejection(docs: DataFrame, chain: Chain, category: str, threshold: float = THRESHOLD, text_col: str = "text",
+                   name: str = "rejected") -> DataFrame:
+    """``docs`` as it is, with a column ``name``: whether the category's probability reaches the threshold."""
     shipped = docs.sparkSession.sparkContext.broadcast(chain)
     place = chain.categories.index(category)
 
@@ -236,4 +237,4 @@ def with_rejection(docs: DataFrame, chain: Chain, category: str, threshold: floa
             out.append(chain_chances(text, word, len(part), shipped.value.weights)[:, place] >= threshold)
         return pd.Series(np.concatenate(out) if out else [], dtype=bool)
 
-    return docs.withColumn("rejected", rejected(F.col(text_col)))
+    return docs.withColumn(name, rejected(F.col(text_col)))

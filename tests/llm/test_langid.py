@@ -36,6 +36,30 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(langid.log_scores([long], lattice, chances)).all()
 
 
+def test_long_runs_are_summed_over_all_segmentations():
+    lattice = langid.build_lattice(langid.read_pieces(PATH))
+    rng = np.random.default_rng(1)
+    chances = rng.random((lattice.size + 2, 2))
+    chances /= chances.sum(axis=0)
+    chances[-2:] = 0, langid.FLOOR
+    logs = langid._logs(chances)
+    letters = list("etaoinshrdluü漢")
+    for length in (47, 48, 49, 50, 95, 96, 97, 150, 400):
+        word = "".join(rng.choice(letters, length))
+        marked = langid.WORD_START + word
+        whole = langid._forward(langid._edges([marked], lattice), len(marked), 1, logs)[-1]
+        assert langid.log_scores([word], lattice, chances) == pytest.approx(whole)
+
+
+def test_without_labelled_rows_nothing_is_determined(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, None, "en")], "doc_id long, text string, lang string")
+    for table in (docs, docs.limit(0)):
+        model = langid.fit(table, PATH)
+        assert model.languages == []
+        assert {tuple(row)[1:] for row in langid.predict(table, model).collect()} <= {("und", 0.0)}
+    assert langid.predict(docs, model).count() == 2
+
+
 def test_learning_raises_the_likelihood():
     lattice = langid.build_lattice(langid.read_pieces(PATH))
     words = {"the": 5, "then": 2, "there": 1, "lathe": 1}
@@ -60,8 +84,6 @@ def test_predicts_and_handles_odd_rows(spark, monkeypatch):
     assert [pair[:2] for pair in found] == [(1, "en"), (1, "en"), (2, "und"), (3, "und"), (4, "und"), (5, "de"), (6, found[6][1]), (None, "en")]
     assert all(0 <= score <= 1 for _, _, score in found) and found[6][1] in ("de", "en")
     assert langid.predict(odd.limit(0), model).count() == 0
-    with pytest.raises(ValueError):
-        langid.fit(docs.where("lang IS NULL"), PATH)
 
 
 def test_query_held_out_accuracy(spark, sf_dir):

@@ -61,3 +61,13 @@ def test_stages_on_empty_and_odd_documents(spark):
     near = corpus_pipeline.drop_near_duplicates(spark, odd, folder)
     assert sorted(row.doc_id or 0 for row in near.collect()) == [0, 10**9, 10**9 + 1]
     assert packing.pack_documents(near.withColumn("size", F.lit(1))).count() == 1
+
+
+def test_columns_of_clashing_names_survive(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({"rejected": F.lit("r"), "removed_lines": F.lit("l")})
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, folder)
+        assert now.columns == docs.columns
+    assert {tuple(row) for row in now.select("rejected", "removed_lines").distinct().collect()} == {("r", "l")}
