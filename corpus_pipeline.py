@@ -17,7 +17,8 @@ from clickloom.session import work_path
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents that the chain calls toxic go."""
     chain = toxicity_chain(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_rejection(docs, chain, "toxic").where("NOT rejected").select(*docs.columns)
+    name = lines.unused(docs, "rejected")
+    return toxicity.with_rejection(docs, chain, "toxic", name=name).where(~F.col(name)).select(*docs.columns)
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +28,9 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: lines on many sites stay only where they stand first; ``n_chars`` follows the text."""
-    out = lines.deduplicate_lines(docs)
-    return out.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    name = lines.unused(docs, "removed_lines")
+    out = lines.deduplicate_lines(docs, count_col=name)
+    return out.withColumn("n_chars", F.when(F.col(name) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
