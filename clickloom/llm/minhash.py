@@ -14,6 +14,9 @@ follow the steps.
   that share most; then only sets that no leader is linked to are compared with the rest. That is done in blocks of full
   sets, by one matrix product a block, and only links come out.
 * Components of the confirmed links; copies follow the set they stand for.
+
+Joins with tables that grow with the input are merge joins by hint: a broadcast chosen at run time would put them through the
+driver's memory just below the session's limit, several at once.
 """
 
 from __future__ import annotations
@@ -121,7 +124,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     kind = source.schema["id"].dataType.simpleString()
     made = source.withColumn("spot", _spot("id")).mapInArrow(work, f"id {kind}, copy binary, members array<long>")
-    return made.join(wanted, ["id", "copy"], "left_semi").dropDuplicates(["id", "copy"]).select("id", "members")
+    return made.join(wanted.hint("merge"), ["id", "copy"], "left_semi").dropDuplicates(["id", "copy"]).select("id", "members")
 
 
 def _size_fits(a: Column, b: Column, percent: int) -> Column:
@@ -145,14 +148,14 @@ def inverted_lists(sets: DataFrame, k: int, least: int, percent: int) -> DataFra
     rooms = sets.select("id", "n", held.alias("held"), (held - F.greatest(must, F.lit(1)) + 1).alias("room"))
     # Values of one set are the rarest: they fill the room first, the shared ones have what is left. At most k values a set.
     left = (F.col("room") - (F.col("held") - F.size("values"))).cast("int")
-    return shared.join(rooms, "id").withColumn("left", left).where("left > 0").select(
+    return shared.join(rooms.hint("merge"), "id").withColumn("left", left).where("left > 0").select(
         "id", "n", F.explode(F.slice("values", 1, F.col("left"))).alias("entry")).select("id", "n", "entry.value", "entry.length")
 
 
 def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
     for end in "ab":
-        pairs = pairs.join(full.select(F.col("id").alias(end), F.col("members").alias(f"m_{end}")), end)
+        pairs = pairs.join(full.select(F.col("id").alias(end), F.col("members").alias(f"m_{end}")).hint("merge"), end)
     both = F.size(F.array_intersect("m_a", "m_b"))
     return pairs.where(both * 100 >= (F.size("m_a") + F.size("m_b") - both) * percent).select("a", "b")
 
@@ -161,7 +164,7 @@ def _likely(pairs: DataFrame, sets: DataFrame, k: int, least: int) -> DataFrame:
     """The pairs (a, b) whose sketches share enough of their union's."""
     for end in "ab":
         own = sets.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}"))
-        pairs = pairs.join(own, end)
+        pairs = pairs.join(own.hint("merge"), end)
     bottom = F.slice(F.sort_array(F.array_distinct(F.concat("sketch_a", "sketch_b"))), 1, k)
     common = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), bottom))
     small = (F.col("n_a") <= k) | (F.col("n_b") <= k)  # the exact test follows; its bound isn't that of two sketches
@@ -172,7 +175,7 @@ def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of the short lists that may be alike by size, each once."""
     short = lists.where(F.col("length") <= LONG_LIST)
     other = short.select("value", F.col("id").alias("other"), F.col("n").alias("other_n"))
-    pairs = short.join(other, "value").where((F.col("id") < F.col("other")) & _size_fits(F.col("n"), F.col("other_n"), percent))
+    pairs = short.join(other.hint("merge"), "value").where((F.col("id") < F.col("other")) & _size_fits(F.col("n"), F.col("other_n"), percent))
     return pairs.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
 
 
@@ -256,7 +259,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     likely = compact(_likely(_short_pairs(lists, percent), sets, k, least))
     long_lists = lists.where(F.col("length") > LONG_LIST)
     listed = long_lists.select("id").unionByName(likely.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
-    wanted = compact(sets.select("id", "copy").join(listed, "id", "left_semi"))
+    wanted = compact(sets.select("id", "copy").join(listed.hint("merge"), "id", "left_semi"))
     full = reliable(full_sets(docs, wanted, width, id_col, text_col))
     links = compact(_linked(likely.unionByName(_led(long_lists, percent)), full, percent))
     links = compact(links.unionByName(_crowd_links(long_lists, components(links), full, percent)))
@@ -264,8 +267,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     heads = sets.select("copy", "id")
     copies = present.select("id", "copy").distinct()
     label = heads.join(roots.select(F.col("vertex").alias("id"), "root"), "id", "left").select("copy", F.coalesce("root", "id").alias("root"))
-    label = copies.join(label, "copy").select(F.col("id").alias("of"), "root")
-    out = known.join(label, (F.col("id") == F.col("of")) & (F.col("n") > 0), "left")
+    label = copies.join(label.hint("merge"), "copy").select(F.col("id").alias("of"), "root")
+    out = known.join(label.hint("merge"), (F.col("id") == F.col("of")) & (F.col("n") > 0), "left")
     component = F.coalesce("root", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
