@@ -7,6 +7,7 @@ than all its neighbours goes, so the links shrink fast. Each round's tables are
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -31,6 +32,13 @@ def compact(df: DataFrame) -> DataFrame:
     return stored.coalesce(max(1, -(-seen.get["n"] // ROWS_PER_PART)))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of what finished steps left behind. Spark deletes shuffle files and broadcasts once nothing on the driver refers to
+    them, which it notices at a garbage collection; left alone, that may be half an hour later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def prepare(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.llm.arrow_text import ascii_words, slices
-from clickloom.llm.components import compact, components, reliable
+from clickloom.llm.components import compact, components, release, reliable
 
 K = 48
 LEAST = 20
@@ -255,14 +255,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     present = present.join(other, "id", "left").where("first IS NULL OR copy = first").drop("first")
     sets = present.groupBy("copy").agg(F.min(F.struct("id", "n", "sketch")).alias("s")).select("copy", "s.id", "s.n", "s.sketch")
     sets = reliable(sets)
+    release(docs.sparkSession)
     lists = compact(inverted_lists(sets, k, least, percent))
+    release(docs.sparkSession)
     likely = compact(_likely(_short_pairs(lists, percent), sets, k, least))
     long_lists = lists.where(F.col("length") > LONG_LIST)
     listed = long_lists.select("id").unionByName(likely.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
     wanted = compact(sets.select("id", "copy").join(listed.hint("merge"), "id", "left_semi"))
+    release(docs.sparkSession)
     full = reliable(full_sets(docs, wanted, width, id_col, text_col))
+    release(docs.sparkSession)
     links = compact(_linked(likely.unionByName(_led(long_lists, percent)), full, percent))
     links = compact(links.unionByName(_crowd_links(long_lists, components(links), full, percent)))
+    release(docs.sparkSession)
     roots = components(links)
     heads = sets.select("copy", "id")
     copies = present.select("id", "copy").distinct()

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.llm.arrow_text import slices
-from clickloom.llm.components import compact, components, reliable
+from clickloom.llm.components import compact, components, release, reliable
 from clickloom.llm.minhash import FILTER_BITS, _bitmap, full_sets, shingle_sets, sketches
 
 CHUNK = 256
@@ -284,11 +284,14 @@ def join_by_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     distinct = reliable(present.groupBy("copy").agg(F.min(F.struct("id", "n", "sketch")).alias("s")).select("copy", "s.id", "s.n", "s.sketch"))
     headed = heads(docs, distinct, width, percent, id_col, text_col).where("n > 0")
     headed = reliable(headed.join(distinct.select("id", "copy"), ["id", "copy"], "left_semi").dropDuplicates(["id"]).select("id", "head"))
+    release(docs.sparkSession)
     listed = compact(entries(headed, distinct, percent))
+    release(docs.sparkSession)
     active = compact(distinct.join(listed.select("id").distinct(), "id", "left_semi"))
     sets = reliable(full_sets(docs, active.select("id", "copy"), width, id_col, text_col))
     links = gather(sets, active.select("id", "n", F.explode("sketch").alias("key")), percent)
     grouped = compact(form_groups(active, components(links)))
+    release(docs.sparkSession)
     pairs = compact(candidates(listed, grouped, percent))
     links = compact(links.unionByName(open_groups(pairs, grouped, sets, percent)))
     roots = components(links)
