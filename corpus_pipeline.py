@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm import lines, minhash, packing, rules, toxicity
+from clickloom.llm.components import release
 from clickloom.llm.queries import quality_rules, ship_package, table, toxicity_chain
 from clickloom.session import work_path
 
@@ -67,4 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = work_path(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
