@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm import lines, minhash, packing, rules, toxicity
-from clickloom.llm.components import release
+from clickloom.llm.components import compact, release
 from clickloom.llm.queries import quality_rules, ship_package, table, toxicity_chain
 from clickloom.session import work_path
 
@@ -37,7 +37,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4, five-word shingles: of each group the document with the smallest id stays, once if its row is repeated."""
     ship_package(spark)
-    found = minhash.near_duplicates(docs)
+    found = compact(minhash.near_duplicates(docs))  # used twice: stored, so that it is worked out once
     kept = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti")
     repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     once = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
