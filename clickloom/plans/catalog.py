@@ -982,18 +982,18 @@ def newton_stumps(spark, sf_dir):
 
 @register("newton_cells", with_views(["featured"], "") + _STUMP_ROWS + """
 SELECT feature, (SELECT count(*) FROM borders o WHERE o.feature = f.feature AND o.border < x) AS bin, round(sum(1 / (1 + exp(-raw)) - y), 3) AS g,
-  round(sum(1 / (1 + exp(-raw)) * (1 - 1 / (1 + exp(-raw)))), 3) AS h, count(*) AS n
+  round(avg(1 / (1 + exp(-raw)) * (1 - 1 / (1 + exp(-raw)))), 4) AS mean_h, count(*) AS n
 FROM (SELECT 'hour_of_day' AS feature, hour_of_day AS x, y, raw FROM raw0 UNION ALL SELECT 'conversation_turn', conversation_turn, y, raw FROM raw0) f
 GROUP BY ALL""")
 def newton_cells(spark, sf_dir):
-    """Gradient, curvature and rows by feature and bin at the root of the first tree."""
+    """Gradient, mean curvature and rows by feature and bin at the root of the first tree."""
     frame = _frame(spark, sf_dir)
     rate = frame.agg(F.avg("click")).first()[0]
     binned = boosting.bin_rows(frame, _BORDERS, "click", math.log(rate / (1 - rate)))
     sums = boosting.level_sums(binned, 2, 6, [], [], []).where("cell >= 0")
     return sums.select(
         F.element_at(F.array(*map(F.lit, _BORDERS)), (F.expr("cell div 6") + 1).cast("int")).alias("feature"), F.expr("cell % 6").alias("bin"),
-        F.round(F.col("g") / boosting.UNIT, 3).alias("g"), F.round(F.col("h") / boosting.UNIT, 3).alias("h"), "n")
+        F.round(F.col("g") / boosting.UNIT, 3).alias("g"), F.round(F.col("h") / boosting.UNIT / F.col("n"), 4).alias("mean_h"), "n")
 
 
 # Trees of a set form; their losses fall at first and rise later.
