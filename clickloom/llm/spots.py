@@ -1,9 +1,9 @@
 """Document fingerprints by spot signatures, in SQL expressions.
 
 A signature is a common word (the anchor) with the chain of content words that follow it; a text's fingerprint is the set of
-its signatures. Sets are compared by Jaccard similarity, and by their lengths first: lengths fall into partitions so wide
-that sets more than one partition apart can't be as alike as asked, and within that the bound from the lengths themselves
-prunes. What is pruned has likeness 0.
+its signatures. Sets are compared by Jaccard similarity, which is returned as it is. Whether two sets are near duplicates is
+decided by their lengths first: lengths fall into partitions so wide that sets more than one partition apart can't be as
+alike as asked, and within that the bound from the lengths themselves prunes.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ ANCHORS = (
 ).split()
 CHAIN = 3
 DISTANCE = 1
-FLOOR = 0.05
-"""Likeness below this is not told apart from none."""
+LEAST = 0.8
+"""Likeness from which texts count as near duplicates."""
 BUCKET = 1000
 """Ids whose documents are put in order together; a bucket holds no more documents than that, as ids are keys."""
 
@@ -55,20 +55,23 @@ def fingerprint(signatures: Column) -> Column:
     return F.sha2(F.concat_ws(",", F.transform(signatures, lambda s: s.cast("string"))), 256)
 
 
-def length_partition(size: Column, floor: float) -> Column:
-    """Sets with a likeness of ``floor`` or more are in the same partition or in neighbouring ones."""
-    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.lit(math.log(1 / floor)))
+def length_partition(size: Column, least: float) -> Column:
+    """Sets with a likeness of ``least`` or more are in the same partition or in neighbouring ones."""
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.lit(math.log(1 / least)))
 
 
-def likeness(a: Column, b: Column, floor: float = FLOOR) -> Column:
-    """Jaccard similarity of two signature sets; 0 if that is below ``floor``. Two empty sets are alike."""
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two signature sets, however small. Two empty sets are alike."""
     n, m = F.size(a), F.size(b)
-    apart = F.abs(length_partition(n, floor) - length_partition(m, floor)) > 1
-    bound = F.least(n, m) / F.greatest(n, m, F.lit(1))
     common = F.size(F.array_intersect(a, b))
-    value = common / (n + m - common)
-    return (F.when((n == 0) & (m == 0), F.lit(1.0)).when((n == 0) | (m == 0) | apart | (bound < floor), F.lit(0.0))
-            .otherwise(F.when(value < floor, F.lit(0.0)).otherwise(value)))
+    return F.when((n == 0) & (m == 0), F.lit(1.0)).when((n == 0) | (m == 0), F.lit(0.0)).otherwise(common / (n + m - common))
+
+
+def near(a: Column, b: Column, value: Column, least: float = LEAST) -> Column:
+    """Whether the likeness ``value`` of two sets is ``least`` or more; lengths too far apart settle it without the value."""
+    n, m = F.size(a), F.size(b)
+    apart = F.abs(length_partition(n, least) - length_partition(m, least)) > 1
+    return F.when(apart | (F.least(n, m) / F.greatest(n, m, F.lit(1)) < least), F.lit(False)).otherwise(value >= least)
 
 
 def next_keys(keys: DataFrame) -> DataFrame:
@@ -103,12 +106,13 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     return both, Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("id"), "text")
 
 
-def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor: float = FLOOR) -> DataFrame:
+def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and how alike they and the next document's are.
 
     The edited text has its last half, rounded down, replaced by as many first characters of the next document (descending
     id; after the last the first), or by all it has. Returns the id, ``n_chars``, ``edited_sha256``, ``fingerprint``,
-    ``edited_fingerprint``, ``near_edited``, ``near_next`` and the sizes of the two sets. A null text counts as empty; null
+    ``edited_fingerprint``, ``near_edited``, ``near_next``, the sizes of the two sets, and ``same_next``, whether the next
+    document is a near duplicate by ``least``. A null text counts as empty; null
     ids come last; rows of one id follow each other by their text; a single document is its own next; equal texts have equal
     fingerprints; an empty table gives none.
     """
@@ -121,8 +125,9 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ahead = ahead.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own")
     ahead = ahead.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "next_own",
                          F.expr(signatures_sql("edited")).alias("changed"))
+    ahead = ahead.withColumn("near_next", likeness(F.col("own"), F.col("next_own")))
     return ahead.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"),
-        fingerprint(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed"), floor).alias("near_edited"),
-        likeness(F.col("own"), F.col("next_own"), floor).alias("near_next"), F.size("own").alias("n_signatures"),
-        F.size("changed").alias("n_edited_signatures"))
+        fingerprint(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        "near_next", F.size("own").alias("n_signatures"), F.size("changed").alias("n_edited_signatures"),
+        near(F.col("own"), F.col("next_own"), F.col("near_next"), least).alias("same_next"))

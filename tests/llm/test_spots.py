@@ -24,8 +24,7 @@ def signatures(text, chain=3):
 def alike(a, b):
     if not a and not b:
         return 1.0
-    value = len(a & b) / len(a | b)
-    return value if value >= spots.FLOOR else 0.0
+    return len(a & b) / len(a | b)
 
 
 def check(docs, rows):
@@ -40,6 +39,7 @@ def check(docs, rows):
         own, changed = signatures(text), signatures(edited)
         assert (row.n_signatures, row.n_edited_signatures) == (len(own), len(changed))
         assert row.near_edited == pytest.approx(alike(own, changed)) and row.near_next == pytest.approx(alike(own, signatures(after)))
+        assert row.same_next == (alike(own, signatures(after)) >= spots.LEAST)
         for key, value in ((text, row.fingerprint), (edited, row.edited_fingerprint)):
             assert prints.setdefault(key, value) == value
 
@@ -74,3 +74,14 @@ def test_query_equals_the_plain_version_on_the_given_table(spark, sf_dir):
 
     docs = {row.doc_id: row.text for row in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     check(docs, QUERIES["op9_spot_signatures"].build(spark, sf_dir).collect())
+
+
+def test_small_likeness_is_returned_and_lengths_settle_near_duplicates(spark):
+    rows = [(1, list(range(100)), list(range(99, 140))), (2, list(range(100)), list(range(80))), (3, list(range(100)), list(range(79))),
+            (4, [], []), (5, [], [1]), (6, [1], [1]), (7, list(range(4)), list(range(1, 5)))]
+    frame = spark.createDataFrame(rows, "i int, a array<long>, b array<long>")
+    value = spots.likeness(F.col("a"), F.col("b"))
+    found = {row.i: (row.v, row.n) for row in frame.select("i", value.alias("v"), spots.near(F.col("a"), F.col("b"), value, 0.8).alias("n")).collect()}
+    assert found[1] == (pytest.approx(1 / 140), False)
+    assert found[2] == (0.8, True) and found[3] == (0.79, False)
+    assert found[4] == (1.0, True) and found[5] == (0.0, False) and found[6] == (1.0, True) and found[7] == (0.6, False)
