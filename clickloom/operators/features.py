@@ -50,12 +50,17 @@ def deduplicate_characters(characters: DataFrame, order_col: str | None = None)
     if "character_id" not in characters.columns:
         characters = characters.withColumn("character_id", F.lit(UNKNOWN))
     keyed = characters.withColumn("character_id", text.known_id(F.col("character_id")))
-    rest = [name for name in keyed.columns if name not in ("character_id", order_col)]
-    ordered = [order_col, *rest] if order_col else rest
+    ordered, last = last_copy(keyed, order_col)
     if not ordered:
         return keyed.distinct()
-    last = F.max(F.struct(*ordered)).alias("_last")
-    return keyed.groupBy("character_id").agg(last).select("character_id", *[f"_last.{name}" for name in ordered])
+    return keyed.groupBy("character_id").agg(last.alias("_last")).select("character_id", *[f"_last.{name}" for name in ordered])
+
+
+def last_copy(characters: DataFrame, order_col: str | None) -> tuple[list[str], Column]:
+    """The columns in which copies of a character are compared, and the aggregate that keeps the last of them."""
+    rest = [name for name in characters.columns if name not in ("character_id", order_col)]
+    ordered = [order_col, *rest] if order_col else rest
+    return ordered, F.max(F.struct(*ordered))
 
 
 def _age_reference(df: DataFrame, as_of: str | None) -> Column:
@@ -82,8 +87,13 @@ def join_character_features(
         "character_id", text.known_id(text.column_or_default(impressions, "character_id"))
     )
     attributes = [name for name in CHARACTER_COLUMNS if name != "character_id"]
-    side = _dimension_values(deduplicate_characters(characters, order_col), attributes)
-    joined = join_dimension(facts, side, "character_id")
+    side = dimension_values(deduplicate_characters(characters, order_col), attributes)
+    return merge_dimension(facts, join_dimension(facts, side, "character_id"), as_of)
+
+
+def merge_dimension(facts: DataFrame, joined: DataFrame, as_of: str | None = None) -> DataFrame:
+    """``joined``, which is ``facts`` with ``dimension_values``, with one column for each attribute, and the age."""
+    attributes = [name for name in CHARACTER_COLUMNS if name != "character_id"]
     values = {}
     for name in attributes:
         own, kind = text.quoted(name), text.type_of(facts, name)
@@ -101,8 +111,8 @@ def join_character_features(
     return out.withColumn("character_age_days", F.greatest(age, F.lit(0.0)))  # greatest skips null
 
 
-def _dimension_values(side: DataFrame, attributes: list[str]) -> DataFrame:
-    """Dimension columns parsed once per character, before they meet the impressions."""
+def dimension_values(side: DataFrame, attributes: list[str], keep: Iterable[str] = ("character_id",)) -> DataFrame:
+    """Dimension columns parsed once per character, before they meet the impressions, beside the columns to ``keep``."""
     parsed = []
     for name in attributes:
         value, kind = text.column_sql(side, name), text.type_of(side, name)
@@ -114,7 +124,7 @@ def _dimension_values(side: DataFrame, attributes: list[str]) -> DataFrame:
             column = F.expr(f"CAST({value} AS STRING)")
         parsed.append(column.alias(name + _SIDE))
     created = F.expr(f"{text.column_sql(side, 'created_at')} IS NOT NULL").alias("_created")
-    return side.select("character_id", *parsed, created)
+    return side.select(*keep, *parsed, created)
 
 
 def fill_missing_values(df: DataFrame, categorical_columns: Iterable[str] = CATEGORICAL_FEATURES) -> DataFrame:

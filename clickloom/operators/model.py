@@ -31,7 +31,7 @@ from clickloom.operators.statistics import ordered_rates
 from clickloom.schema import (
     CATEGORICAL_FEATURES, FALLBACK_CTR, FEATURE_COLUMNS, NUMERIC_FEATURES, UNTRAINED_VERSION,
 )
-from clickloom.session import materialize
+from clickloom.session import materialize, work_path
 
 # The reason texts scored rows carry.
 MODEL_REASONS = ["trained CTR model", "online context features"]
@@ -225,7 +225,11 @@ def train_model(
                 predictionCol="_prediction", maxIter=config.iterations, regParam=config.regularization / 1000,
             ),
         ]
-        pipeline = Pipeline(stages=stages).fit(train.select(*keep))
+        # Stored and read back: a classifier just fitted holds the summary of its training and with it the session, which
+        # tasks that score cannot be sent once something was observed in it.
+        path = work_path(train.sparkSession, "classifier")
+        Pipeline(stages=stages).fit(train.select(*keep)).write().save(path)
+        pipeline = PipelineModel.load(path)
     else:
         encoder = RateEncoder.fit(train, target, config)
         own = train.select(*keep, *([time_col] if timed else []))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from clickloom.functions import numeric, temporal, text
 from clickloom.operators.features import deduplicate_characters
@@ -17,7 +17,7 @@ NULL_CHECKS = {"impressions": ["hour", "character_id"], "characters": ["safety_t
 NEGATIVE_CHECKS = {"impressions": ["conversation_turn", "session_msg_count"], "characters": ["num_interactions"]}
 
 
-def _hour(df: DataFrame) -> Column:
+def event_hour(df: DataFrame) -> Column:
     return temporal.parse_hour(text.canonical_text("hour", text.type_of(df, "hour")))
 
 
@@ -25,39 +25,63 @@ def _number(df: DataFrame, name: str) -> Column:
     return F.expr(numeric.to_number(text.quoted(name), text.type_of(df, name)))
 
 
-def _check(table: str, code: str, column: str | None, severity: str, count: Column) -> Column:
+def check_row(table: str, code: str, column: str | None, severity: str, count: Column) -> Column:
     return F.struct(
         F.lit(table).alias("table"), F.lit(code).alias("code"), F.lit(column).cast("string").alias("column"),
         F.lit(severity).alias("severity"), count.cast("bigint").alias("count"),
     )
 
 
-def _rows(df: DataFrame, checks: list[Column]) -> DataFrame:
+def check_rows(df: DataFrame, checks: list[Column]) -> DataFrame:
     """One aggregate over the table, one output row per check."""
     return df.agg(F.array(*checks).alias("checks")).select(F.inline("checks"))
 
 
-def table_counts(df: DataFrame, table: str) -> DataFrame:
-    """Row count, empty table, bad clicks and hours, negative numbers and nulls in one aggregate."""
+def _counts(df: DataFrame, table: str) -> list[tuple[str, str | None, str, Column]]:
+    """Code, column, severity and count of the checks that read a table by itself."""
     empty = "error" if table == "impressions" else "warning"
-    checks = [
-        _check(table, "row_count", None, "info", F.count("*")),
-        _check(table, "empty_table", None, empty, (F.count("*") == 0).cast("int")),
+    checks: list[tuple[str, str | None, str, Column]] = [
+        ("row_count", None, "info", F.count("*")),
+        ("empty_table", None, empty, (F.count("*") == 0).cast("int")),
     ]
     if table == "impressions" and "click" in df.columns:
         click = _number(df, "click")
         bad = F.count_if(click.isNull() | ~click.isin(0.0, 1.0))
-        checks.append(_check(table, "invalid_binary_target", "click", "error", bad))
+        checks.append(("invalid_binary_target", "click", "error", bad))
     if table == "impressions" and "hour" in df.columns:
-        checks.append(_check(table, "invalid_hour", "hour", "warning", F.count_if(_hour(df).isNull())))
+        checks.append(("invalid_hour", "hour", "warning", F.count_if(event_hour(df).isNull())))
     for name in NEGATIVE_CHECKS[table]:
         if name in df.columns:
             negative = F.count_if(_number(df, name) < 0)
-            checks.append(_check(table, "negative_numeric_values", name, "warning", negative))
+            checks.append(("negative_numeric_values", name, "warning", negative))
     for name in NULL_CHECKS[table]:
         if name in df.columns:
-            checks.append(_check(table, "null_values", name, "info", F.count_if(F.col(name).isNull())))
-    return _rows(df, checks)
+            checks.append(("null_values", name, "info", F.count_if(F.col(name).isNull())))
+    return checks
+
+
+def table_counts(df: DataFrame, table: str) -> DataFrame:
+    """Row count, empty table, bad clicks and hours, negative numbers and nulls in one aggregate."""
+    return check_rows(df, [check_row(table, *check) for check in _counts(df, table)])
+
+
+def observe_counts(df: DataFrame, table: str) -> tuple[DataFrame, Observation]:
+    """The table, and what counts it while the next action reads it, so that the checks need no scan of their own."""
+    seen = Observation()
+    return df.observe(seen, *[count.cast("bigint").alias(f"c{i}") for i, (*_, count) in enumerate(_counts(df, table))]), seen
+
+
+def observed_counts(df: DataFrame, table: str, seen: Observation, rows: int) -> DataFrame:
+    """The rows of ``table_counts`` from what was observed while ``rows`` rows were written, one for each of the table.
+
+    Spark counts rows twice if tasks are repeated after executors are lost. Then the observed number of rows differs from
+    those written, and the table is scanned after all.
+    """
+    values = seen.get
+    if values.get("c0") != rows:
+        return table_counts(df, table)
+    found = [(table, code, column, severity, values[f"c{i}"]) for i, (code, column, severity, _) in enumerate(_counts(df, table))]
+    return df.sparkSession.createDataFrame(found, CHECK_SCHEMA)
 
 
 def unjoined_ids(impressions: DataFrame, characters: DataFrame) -> DataFrame:
@@ -66,14 +90,14 @@ def unjoined_ids(impressions: DataFrame, characters: DataFrame) -> DataFrame:
     known = characters.select(text.known_id(F.col("character_id")).alias("character_id")).distinct()
     missing = ids.join(known, "character_id", "left_anti")
     count = F.coalesce(F.sum("n"), F.lit(0))
-    return _rows(missing, [_check("impressions", "unjoined_character_ids", "character_id", "warning", count)])
+    return check_rows(missing, [check_row("impressions", "unjoined_character_ids", "character_id", "warning", count)])
 
 
 def duplicate_ids(df: DataFrame, table: str, column: str) -> DataFrame:
     """Rows beyond the first of each id; nulls count as one id."""
     groups = df.groupBy(column).agg(F.count("*").alias("n"))
     count = F.coalesce(F.sum(F.col("n") - 1), F.lit(0))
-    return _rows(groups, [_check(table, "duplicate_ids", column, "warning", count)])
+    return check_rows(groups, [check_row(table, "duplicate_ids", column, "warning", count)])
 
 
 def future_created(impressions: DataFrame, characters: DataFrame, order_col: str | None = None) -> DataFrame:
@@ -88,12 +112,12 @@ def future_created(impressions: DataFrame, characters: DataFrame, order_col: str
         temporal.to_utc_naive(F.col("created_at"), text.type_of(characters, "created_at")).alias("created_at"),
     )
     seen = (
-        side(impressions).groupBy("character_id", _hour(impressions).alias("event_timestamp"))
+        side(impressions).groupBy("character_id", event_hour(impressions).alias("event_timestamp"))
         .agg(F.count("*").alias("n"))
     )
     joined = join_dimension(seen, created, "character_id").where(F.col("created_at") > F.col("event_timestamp"))
     count = F.coalesce(F.sum("n"), F.lit(0))
-    return _rows(joined, [_check("characters", "future_created_at", "created_at", "warning", count)])
+    return check_rows(joined, [check_row("characters", "future_created_at", "created_at", "warning", count)])
 
 
 def _missing(df: DataFrame, table: str, required: list[str]) -> DataFrame:
@@ -101,12 +125,21 @@ def _missing(df: DataFrame, table: str, required: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, CHECK_SCHEMA)
 
 
-def input_checks(impressions: DataFrame, characters: DataFrame, order_col: str | None = None) -> DataFrame:
-    """All checks as rows ``(table, code, column, severity, count)``, also those that found nothing."""
+def lacking_columns(impressions: DataFrame, characters: DataFrame) -> DataFrame:
+    """Required columns that are absent; reads no rows."""
+    return _missing(impressions, "impressions", IMPRESSION_COLUMNS).unionByName(_missing(characters, "characters", CHARACTER_COLUMNS))
+
+
+def input_checks(
+    impressions: DataFrame, characters: DataFrame, order_col: str | None = None, counted: DataFrame | None = None
+) -> DataFrame:
+    """All checks as rows ``(table, code, column, severity, count)``, also those that found nothing.
+
+    ``counted`` are the impressions' own counts if they are known already.
+    """
     parts = [
-        _missing(impressions, "impressions", IMPRESSION_COLUMNS),
-        _missing(characters, "characters", CHARACTER_COLUMNS),
-        table_counts(impressions, "impressions"),
+        lacking_columns(impressions, characters),
+        table_counts(impressions, "impressions") if counted is None else counted,
         table_counts(characters, "characters"),
     ]
     both_ids = "character_id" in impressions.columns and "character_id" in characters.columns

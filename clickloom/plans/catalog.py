@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from clickloom.functions import numeric, rules, temporal, text
 from clickloom.operators import (
-    boosting, drift, features, metrics, model, ordering, prediction, quality, ranking, requestlog, split, statistics,
+    boosting, drift, features, layout, metrics, model, ordering, prediction, quality, ranking, requestlog, split, statistics,
 )
 from clickloom.plans import jobs, training, views
 from clickloom.plans.view_sql import PARSED_HOUR, with_views
@@ -294,6 +296,102 @@ def quality_issues(spark, sf_dir):
     return quality.issues(quality.input_checks(*dirty(spark, sf_dir), "version"))
 
 
+@register("quality_while_writing", with_views(["dirty", "characters"], f"""SELECT * FROM ({_COUNT_SQL}) WHERE "table" = 'impressions'"""))
+def quality_while_writing(spark, sf_dir):
+    """The impressions' counts, taken by the job that writes their features."""
+    impressions, characters = dirty(spark, sf_dir)
+    watched, seen = quality.observe_counts(impressions, "impressions")
+    folder = work_path(spark, "features")
+    frame = features.build_features(watched, characters, "version")
+    sinks.write_by_day(frame.withColumn("event_day", temporal.day_label(F.col("event_timestamp"))), folder)
+    return quality.observed_counts(impressions, "impressions", seen, spark.read.parquet(folder).count())
+
+
+@contextmanager
+def _layout(spark, impressions, characters):
+    """The tables stored by character under a name of their own, dropped in the end."""
+    stored = layout.store(impressions, characters, f"by_character_{uuid.uuid4().hex}", 8, "version")
+    try:
+        yield stored
+    finally:
+        layout.drop(spark, stored)
+
+
+def _stored(df, label):
+    folder = work_path(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+@register("layout_checks", with_views(["dirty", "characters", "dedup"], f"{_UNJOINED_SQL} UNION ALL {_FUTURE_SQL}"))
+def layout_checks(spark, sf_dir):
+    """Both checks that join, from one join without a shuffle of impressions."""
+    with _layout(spark, *dirty(spark, sf_dir)) as stored:
+        return _stored(layout.join_checks(spark, stored), "checks")
+
+
+@register("layout_features", with_views(["featured"], _FEATURE_SQL.format(
+    tier="tier", creator="creator", interactions="interactions", age="age_days")))
+def layout_features(spark, sf_dir):
+    """The feature frame from tables stored by character."""
+    with _layout(spark, *clean(spark, sf_dir)) as stored:
+        frame = _stored(layout.build_features(spark, stored), "features")
+    return frame.select(
+        "id", *CATEGORICAL_FEATURES,
+        *[r6(name) if name in ("turn_ratio", "num_interactions_log1p") else F.col(name) for name in NUMERIC_FEATURES],
+    )
+
+
+_GATE_SCHEMA = "tables string, passed boolean, error_count long, row_count long"
+
+
+@register("training_gate", with_views(["dirty", "characters", "dedup"], """
+SELECT 'clean' AS tables, true AS passed, 0::BIGINT AS error_count, count(*) AS row_count FROM events
+UNION ALL SELECT 'dirty', count(*) FILTER (click NOT IN (0, 1)) = 0, (count(*) FILTER (click NOT IN (0, 1)) > 0)::BIGINT, count(*) FROM dirty
+UNION ALL SELECT 'without click', false, 1, count(*) FROM events"""))
+def training_gate(spark, sf_dir):
+    """What the training job's first step lets through: sound tables, tables with bad clicks, and tables without the target."""
+    impressions, characters = clean(spark, sf_dir)
+    rows = []
+    for name, facts in (("clean", impressions), ("dirty", dirty(spark, sf_dir)[0]), ("without click", impressions.drop("click"))):
+        folder = work_path(spark, "gate")
+        try:
+            training.checked_features(facts, characters, folder, "version")
+            passed = True
+        except ValueError:
+            passed = False
+        checks = spark.read.parquet(f"{folder}/quality/stored")
+        total = checks.where("table = 'impressions' AND code = 'row_count'").first()["count"]
+        rows.append((name, passed, spark.read.json(f"{folder}/quality/verdict").first()["error_count"], total))
+    return spark.createDataFrame(rows, _GATE_SCHEMA)
+
+
+@register("target_check", """
+SELECT 'as given' AS target, true AS accepted, count(*) AS rows, count(*) FILTER (event_type = 'click') AS clicks FROM events
+UNION ALL SELECT 'as text', true, count(*), count(*) FILTER (event_type = 'click') FROM events
+UNION ALL SELECT 'null', count(*) FILTER (event_id % 97 = 0) = 0, NULL, NULL FROM events
+UNION ALL SELECT 'no number', count(*) FILTER (event_type <> 'click') = 0, NULL, NULL FROM events
+UNION ALL SELECT 'absent', false, NULL, NULL""")
+def target_check(spark, sf_dir):
+    """Targets the training job takes, as whole numbers, and those it refuses."""
+    rows = views.impressions(spark, sf_dir).select("id", "click")
+    cases = {
+        "as given": rows,
+        "as text": rows.withColumn("click", F.concat(F.lit(" "), F.col("click").cast("int").cast("string"))),
+        "null": rows.withColumn("click", F.expr("if(bigint(id) % 97 = 0, NULL, click)")),
+        "no number": rows.withColumn("click", F.expr("if(click = 1, '1', 'none')")),
+        "absent": rows.drop("click"),
+    }
+    out = []
+    for name, frame in cases.items():
+        try:
+            counted = quality.check_target(frame).agg(F.count("*").alias("rows"), F.sum("click").alias("clicks")).first()
+            out.append((name, True, counted["rows"], counted["clicks"]))
+        except ValueError:
+            out.append((name, False, None, None))
+    return spark.createDataFrame(out, "target string, accepted boolean, rows long, clicks long")
+
+
 @register("quality_missing_columns", """
 SELECT 'impressions' AS "table", 'missing_required_columns' AS code, c AS "column", 'error' AS severity, 1::BIGINT AS count
 FROM (VALUES ('hour'), ('C21'), ('device_ip')) AS v(c)
@@ -437,6 +535,33 @@ def latest_rows_ties(spark, sf_dir):
     return df.groupBy("event_timestamp", "hour", "id").agg(F.count("*").alias("rows"))
 
 
+_PARTS = {"all": "event_id % 10 < 7", "no test": "event_id >= 0", "no rows in two": "event_id < 0"}
+_PART_LABEL = "CASE WHEN event_id % 3 = 0 THEN 'train' WHEN event_id % 3 = 1 AND ({0}) THEN 'validation' WHEN event_id % 3 = 2 AND NOT ({0}) THEN 'test' ELSE 'train' END"
+
+
+@register("split_guards", """
+SELECT 'shares 0.7 and 0.15' AS guard, true AS accepted UNION ALL SELECT 'shares 0.9 and 0.2', false UNION ALL SELECT 'shares 0 and 0.5', false
+UNION ALL SELECT 'the latest 2', false UNION ALL SELECT 'the latest 3', true UNION ALL """ + " UNION ALL ".join(f"""
+SELECT 'parts: {name}', count(*) FILTER (part = 'train') > 0 AND count(*) FILTER (part = 'validation') > 0 AND count(*) FILTER (part = 'test') > 0
+FROM (SELECT {_PART_LABEL.format(rule)} AS part FROM events)""" for name, rule in _PARTS.items()))
+def split_guards(spark, sf_dir):
+    """Shares, row numbers and parts that a split takes or refuses."""
+    events = views.table(spark, sf_dir, "events").withColumn("event_timestamp", F.col("ts"))
+    frame = _frame(spark, sf_dir)
+    guards = {f"shares {a:g} and {b:g}": (split.check_fractions, a, b) for a, b in ((0.7, 0.15), (0.9, 0.2), (0.0, 0.5))}
+    guards |= {f"the latest {n}": (split.latest_rows, frame, n) for n in (2, 3)}
+    guards |= {f"parts: {name}": (split.check_parts, split.split_summary(events.withColumn("split", F.expr(_PART_LABEL.format(rule)))))
+               for name, rule in _PARTS.items()}
+    out = []
+    for name, (check, *given) in guards.items():
+        try:
+            check(*given)
+            out.append((name, True))
+        except ValueError:
+            out.append((name, False))
+    return spark.createDataFrame(out, "guard string, accepted boolean")
+
+
 # Metrics
 
 
@@ -496,6 +621,20 @@ def ece(spark, sf_dir):
     return metrics.calibration_error(table, ["split"]).select("split", r6("calibration_error"))
 
 
+@register("evaluated_split", with_views(["scored"], "") + _METRIC_SQL.format(source="scored", keys="split") + _BIN_SQL + """, errors AS (
+  SELECT split, round(sum(count * abs(mean_predicted_ctr - observed_ctr)) / sum(count), 6) AS calibration_error FROM calibrated GROUP BY split),
+tops AS (SELECT split, round(avg(y) FILTER (rank <= 100), 6) AS ctr_at_100 FROM (
+  SELECT split, y, row_number() OVER (PARTITION BY split ORDER BY p DESC, id) AS rank FROM scored) GROUP BY split)
+SELECT measured.*, calibration_error, ctr_at_100 FROM measured JOIN errors USING (split) JOIN tops USING (split)""")
+def evaluated_split(spark, sf_dir):
+    """All tables of an evaluation, joined by split: metrics, calibration error and click rate of the top 100."""
+    scored = _stored(views.scored(spark, sf_dir), "scored")
+    tables = metrics.evaluate(scored, metrics.character_counts(scored), ["split"])
+    top = tables["ranking"].where("k = 100").select("split", r6("ctr_at_k", "ctr_at_100"))
+    errors = tables["calibration_error"].select("split", r6("calibration_error"))
+    return rounded_metrics(tables["metrics"], ["split"]).join(errors, "split").join(top, "split")
+
+
 @register("topk_lift", with_views(["scored"], """
 , placed AS (SELECT split, y, row_number() OVER (PARTITION BY split ORDER BY p DESC, id) AS rank,
   avg(y) OVER (PARTITION BY split) AS overall FROM scored)

@@ -28,6 +28,33 @@ def scored_table(model: ClickModel, frame: DataFrame, train: DataFrame, target:
     return own.unionByName(constant.select(*keep, F.col("probability").alias("p"), F.lit("global_ctr").alias("model")))
 
 
+def checked_features(
+    impressions: DataFrame, characters: DataFrame, folder: str, order_col: str | None = None, as_of: str | None = None
+) -> DataFrame:
+    """The feature frame, stored by day in ``folder/features``; raises if the tables do not pass the checks.
+
+    The impressions' own counts are taken by the job that writes the features. Where columns are absent, nothing but the
+    checks is written.
+    """
+    spark = impressions.sparkSession
+    frame, counted = None, None
+    if quality.lacking_columns(impressions, characters).isEmpty():
+        watched, seen = quality.observe_counts(impressions, "impressions")
+        frame = build_features(watched, characters, order_col, as_of)
+        frame = frame.withColumn("event_day", temporal.day_label(F.col("event_timestamp")))
+        write_by_day(frame, f"{folder}/features")
+        frame = spark.read.schema(frame.schema).parquet(f"{folder}/features")
+        counted = quality.observed_counts(impressions, "impressions", seen, frame.count())
+    checks = quality.input_checks(impressions, characters, order_col, counted)
+    # The checks read the tables; issues and verdict read the stored checks.
+    checks.write.mode("overwrite").parquet(f"{folder}/quality/stored")
+    checks = spark.read.parquet(f"{folder}/quality/stored")
+    write_metric_tables({"checks": checks, "issues": quality.issues(checks), "verdict": quality.verdict(checks)}, f"{folder}/quality")
+    if frame is None or spark.read.json(f"{folder}/quality/verdict").first()["status"] != "pass":
+        raise ValueError(f"the input tables did not pass the checks stored in {folder}/quality")
+    return frame
+
+
 def train_and_evaluate(
     impressions: DataFrame,
     characters: DataFrame,
@@ -41,18 +68,7 @@ def train_and_evaluate(
     config.check()
     split.check_fractions(config.train_fraction, config.validation_fraction)
     spark = impressions.sparkSession
-    checks = quality.input_checks(impressions, characters, order_col)
-    # The checks read the tables; issues and verdict read the stored checks.
-    checks.write.mode("overwrite").parquet(f"{folder}/quality/stored")
-    checks = spark.read.parquet(f"{folder}/quality/stored")
-    write_metric_tables({"checks": checks, "issues": quality.issues(checks), "verdict": quality.verdict(checks)}, f"{folder}/quality")
-    if spark.read.json(f"{folder}/quality/verdict").first()["status"] != "pass":
-        raise ValueError(f"the input tables did not pass the checks stored in {folder}/quality")
-
-    frame = build_features(impressions, characters, order_col, as_of)
-    frame = frame.withColumn("event_day", temporal.day_label(F.col("event_timestamp")))
-    write_by_day(frame, f"{folder}/features")
-    frame = spark.read.schema(frame.schema).parquet(f"{folder}/features")
+    frame = checked_features(impressions, characters, folder, order_col, as_of)
     frame = quality.check_target(frame)
     parts = split.time_based_split(frame, config.train_fraction, config.validation_fraction)
     frame = parts.assign(frame)
