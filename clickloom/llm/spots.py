@@ -71,7 +71,7 @@ def near(a: Column, b: Column, value: Column, least: float = LEAST) -> Column:
     """Whether the likeness ``value`` of two sets is ``least`` or more; lengths too far apart settle it without the value."""
     n, m = F.size(a), F.size(b)
     apart = F.abs(length_partition(n, least) - length_partition(m, least)) > 1
-    return F.when(apart | (F.least(n, m) / F.greatest(n, m, F.lit(1)) < least), F.lit(False)).otherwise(value >= least)
+    return F.when(apart | ((F.greatest(n, m) > 0) & (F.least(n, m) / F.greatest(n, m, F.lit(1)) < least)), F.lit(False)).otherwise(value >= least)
 
 
 def next_keys(keys: DataFrame) -> DataFrame:
