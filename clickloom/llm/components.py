@@ -2,7 +2,8 @@
 
 Each round every vertex hooks to its smallest neighbour if that is smaller than itself, chains of hooks are shortened by
 joining the table of hooks with itself, and the links are rewritten between what is left. Every vertex that is not smaller
-than all its neighbours goes, so the links shrink fast. Each round's tables are checkpointed: lost executors cost one round.
+than all its neighbours goes, so the links shrink fast. Each round's tables are written in the shared folder: lost executors
+cost one round. What a round asks about a table (is anything left, has anything moved) is counted while the table is written.
 """
 
 from __future__ import annotations
@@ -13,8 +14,7 @@ import tempfile
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-ROWS_PER_PART = 100_000
-"""Rows of a compact table that one task reads."""
+from clickloom.session import work_path
 
 
 def reliable(df: DataFrame) -> DataFrame:
@@ -23,13 +23,37 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def compact(df: DataFrame) -> DataFrame:
-    """``reliable`` for tables much smaller than the input, read back in as many partitions as their rows call for. The rows are
-    counted while they are written. Later steps then have as many tasks as the table needs, not as many as the shuffle had."""
-    prepare(df.sparkSession)
+class Written:
+    """A large intermediate table, written as Parquet in the shared folder. ``drop`` deletes it once nothing needs it any more."""
+
+    def __init__(self, df: DataFrame, label: str):
+        self.spark, self.path = df.sparkSession, work_path(df.sparkSession, label)
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def counted(df: DataFrame, *sums: str) -> tuple[DataFrame, dict[str, int]]:
+    """An intermediate table that is used more than once, written as Parquet in the shared folder and read again in as many
+    partitions as its files call for. Its size in the plans to come is that of the files: a checkpoint would keep the estimate of
+    the plan it came from, which rounds of joins multiply until its digits alone slow down the driver.
+
+    The number of rows (``n``) and the sums of the named flags are counted while the table is written; a repeated task may count
+    rows twice, so they tell nothing but whether there are any.
+    """
     seen = Observation()
-    stored = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint()
-    return stored.coalesce(max(1, -(-seen.get["n"] // ROWS_PER_PART)))
+    observed = df.observe(seen, F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("long")).alias(c) for c in sums])
+    stored = Written(observed, "step").df
+    return stored, {name: value or 0 for name, value in seen.get.items()}
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """The table of ``counted``."""
+    return counted(df)[0]
 
 
 def release(spark: SparkSession) -> None:
@@ -55,22 +79,24 @@ def components(links: DataFrame) -> DataFrame:
     vertex appear, a link with a null end is ignored). Without links the result is empty.
     """
     whole = links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
-    left = compact(whole.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left, seen = counted(whole.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = compact(whole.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().select("vertex", F.col("vertex").alias("root")))
-    while left.take(1):
+    while seen["n"]:
         # b is the larger end of each link: it hooks to the smallest vertex it is linked to.
-        hooks = compact(left.groupBy("b").agg(F.min("a").alias("a")))
-        while True:
-            above = hooks.select(F.col("b").alias("a"), F.col("a").alias("next"))
-            longer = hooks.join(above, "a", "left").select("b", F.coalesce("next", "a").alias("a"), F.col("next").isNotNull().alias("moved"))
-            longer = compact(longer)
-            moved = longer.where("moved").take(1)
-            hooks = longer.select("b", "a")
-            if not moved:
-                break
+        hooks, moved = compact(left.groupBy("b").agg(F.min("a").alias("a"))), True
+        while moved:
+            # Twice as far, and twice that; most chains end before, and need no second turn.
+            farther, told = counted(_shortened(_shortened(hooks).select("b", "a")), "moved")
+            hooks, moved = farther.select("b", "a"), told["moved"] > 0
         at = hooks.select(F.col("b").alias("was"), F.col("a").alias("now"))
         roots = compact(roots.join(at, roots["root"] == at["was"], "left").select("vertex", F.coalesce("now", "root").alias("root")))
         left = left.join(at, left["a"] == at["was"], "left").select(F.coalesce("now", "a").alias("a"), "b")
         left = left.join(at, left["b"] == at["was"], "left").select("a", F.coalesce("now", "b").alias("b"))
-        left = compact(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        left, seen = counted(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return roots
+
+
+def _shortened(hooks: DataFrame) -> DataFrame:
+    """Each hook (b, a) put to where a hooks, and whether it ``moved``."""
+    above = hooks.select(F.col("b").alias("a"), F.col("a").alias("next"))
+    return hooks.join(above, "a", "left").select("b", F.coalesce("next", "a").alias("a"), F.col("next").isNotNull().alias("moved"))

@@ -9,7 +9,8 @@ follow the steps.
 * Copies (equal sets) are grouped by a digest of the set; from here on only one of each group takes part.
 * Inverted lists: each sketch enters the lists of its rarest values, so many that two sketches which share ``least`` values
   meet in one of them. Frequent values of a corpus thus make no long lists, and values of one set make none at all.
-* The pairs of short lists are filtered by set size and by the share of the union sketch, then confirmed on the full sets.
+* The pairs of short lists are filtered by set size and by the share of the union sketch, then confirmed on the full sets:
+  first each set's nearest, then those whose ends are not connected by then.
 * A long list (many near copies of one text) is not turned into its pairs. Its sets are compared with a few leaders, those
   that share most; then only sets that no leader is linked to are compared with the rest. That is done in blocks of full
   sets, by one matrix product a block, and only links come out.
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.llm.arrow_text import ascii_words, slices
-from clickloom.llm.components import compact, components, release, reliable
+from clickloom.llm.components import Written, compact, components, release
 
 K = 48
 LEAST = 20
@@ -161,14 +162,27 @@ def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, sets: DataFrame, k: int, least: int) -> DataFrame:
-    """The pairs (a, b) whose sketches share enough of their union's."""
+    """The pairs (a, b) whose sketches share enough of their union's, and how many values those are (``common``)."""
     for end in "ab":
         own = sets.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}"))
         pairs = pairs.join(own.hint("merge"), end)
     bottom = F.slice(F.sort_array(F.array_distinct(F.concat("sketch_a", "sketch_b"))), 1, k)
     common = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), bottom))
     small = (F.col("n_a") <= k) | (F.col("n_b") <= k)  # the exact test follows; its bound isn't that of two sketches
-    return pairs.where(small | (common >= least)).select("a", "b")
+    return pairs.withColumn("common", common).where(small | (F.col("common") >= least)).select("a", "b", "common")
+
+
+def _nearest(likely: DataFrame) -> DataFrame:
+    """Of each set's likely pairs (a, b) with smaller ids the one that shares most: a pair a set at most, enough to connect most
+    groups."""
+    return likely.groupBy("b").agg(F.min(F.struct((-F.col("common")).alias("apart"), "a")).alias("m")).select("m.a", "b")
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are not in one component yet."""
+    for end in "ab":
+        pairs = pairs.join(roots.select(F.col("vertex").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
 def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -249,30 +263,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     if percent < 80 and (k, least) == (K, LEAST):
         raise ValueError("below 80 percent choose k and least anew")
-    known = reliable(sketches(docs, width, id_col, text_col, k))
-    present = known.where("n > 0 AND id IS NOT NULL")
+    read = Written(sketches(docs, width, id_col, text_col, k), "sketches")
+    present = read.df.where("n > 0 AND id IS NOT NULL")
     other = present.groupBy("id").agg(F.min("copy").alias("copy"), F.max("copy").alias("high")).where("copy <> high").select("id", F.col("copy").alias("first"))
     present = present.join(other, "id", "left").where("first IS NULL OR copy = first").drop("first")
-    sets = present.groupBy("copy").agg(F.min(F.struct("id", "n", "sketch")).alias("s")).select("copy", "s.id", "s.n", "s.sketch")
-    sets = reliable(sets)
+    first = present.groupBy("copy").agg(F.min(F.struct("id", "n", "sketch")).alias("s")).select("copy", "s.id", "s.n", "s.sketch")
+    sketched = Written(first, "sets")
+    known = Written(read.df.select("id", "n", "copy"), "known").df
+    present = Written(present.select("id", "copy").distinct(), "copies").df
+    read.drop()
     release(docs.sparkSession)
-    lists = compact(inverted_lists(sets, k, least, percent))
+    lists = compact(inverted_lists(sketched.df, k, least, percent))
     release(docs.sparkSession)
-    likely = compact(_likely(_short_pairs(lists, percent), sets, k, least))
+    likely = compact(_likely(_short_pairs(lists, percent), sketched.df, k, least))
+    sets = Written(sketched.df.select("id", "copy"), "heads").df
+    sketched.drop()
     long_lists = lists.where(F.col("length") > LONG_LIST)
     listed = long_lists.select("id").unionByName(likely.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
-    wanted = compact(sets.select("id", "copy").join(listed.hint("merge"), "id", "left_semi"))
+    wanted = compact(sets.join(listed.hint("merge"), "id", "left_semi"))
+    release(docs.sparkSession)
+    compared = Written(full_sets(docs, wanted, width, id_col, text_col), "full-sets")
+    full = compared.df
     release(docs.sparkSession)
-    full = reliable(full_sets(docs, wanted, width, id_col, text_col))
+    # Pairs whose ends the first links connect would change no component: only the others are compared as well.
+    links = compact(_linked(_nearest(likely).unionByName(_led(long_lists, percent)).distinct(), full, percent))
     release(docs.sparkSession)
-    links = compact(_linked(likely.unionByName(_led(long_lists, percent)), full, percent))
-    links = compact(links.unionByName(_crowd_links(long_lists, components(links), full, percent)))
+    roots = components(links)
+    more = compact(_linked(_between(likely, roots), full, percent))
+    links = compact(links.unionByName(more).unionByName(_crowd_links(long_lists, roots, full, percent)))
+    compared.drop()
     release(docs.sparkSession)
     roots = components(links)
-    heads = sets.select("copy", "id")
-    copies = present.select("id", "copy").distinct()
-    label = heads.join(roots.select(F.col("vertex").alias("id"), "root"), "id", "left").select("copy", F.coalesce("root", "id").alias("root"))
-    label = copies.join(label.hint("merge"), "copy").select(F.col("id").alias("of"), "root")
+    label = sets.join(roots.select(F.col("vertex").alias("id"), "root"), "id", "left").select("copy", F.coalesce("root", "id").alias("root"))
+    label = present.join(label.hint("merge"), "copy").select(F.col("id").alias("of"), "root")
     out = known.join(label.hint("merge"), (F.col("id") == F.col("of")) & (F.col("n") > 0), "left")
     component = F.coalesce("root", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
