@@ -6,20 +6,31 @@ import pytest
 from clickloom.llm import packing
 
 
+def expected(room, ahead, longest):
+    """What the sizes ahead fill of the room, class by class, each piece as large as its class's mean."""
+    width, left = -(-longest // packing.CLASSES), room
+    for at in sorted({size // width for size in ahead if size // width <= room // width}, reverse=True):
+        own = [size for size in ahead if size // width == at]
+        mean = sum(own) // len(own)
+        for _ in own:
+            left -= mean if mean <= left else 0
+    return room - left
+
+
 def slow_pack(sizes, lengths, overhead):
     """The same rule with plain scans."""
-    bins, ahead = [], sum(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+    bins, order = [], sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    for done, i in enumerate(order):
+        ahead = [sizes[j] for j in order[done + 1 :]]
         fitting = [b for b in bins if b[0] >= sizes[i]]
         if fitting:
             best = min(fitting, key=lambda b: (b[0], b[2]))
         else:
-            capacity = min((c for c in lengths if c >= sizes[i]), key=lambda c: ((c + overhead) / min(c, max(sizes[i], ahead)), c))
+            capacity = min((c for c in lengths if c >= sizes[i]), key=lambda c: ((c + overhead) / (sizes[i] + expected(c - sizes[i], ahead, max(lengths))), c))
             best = [capacity, [], len(bins)]
             bins.append(best)
         best[0] -= sizes[i]
         best[1].append(i)
-        ahead -= sizes[i]
     return [(min(c for c in lengths if c >= sum(sizes[i] for i in content)), content) for _, content, _ in bins]
 
 
@@ -66,6 +77,23 @@ def test_every_byte_has_one_place(spark, monkeypatch):
     assert sorted((row.doc_id or 0, row.size) for row in packing.pack_documents(twice).collect()) == [(0, 1), (1, 2), (1, 2)]
 
 
+def test_opens_what_pieces_to_come_will_fill():
+    # Two of 6 would leave 3 of 15 empty, and nothing that comes fits there; 6 and 4 fill 10.
+    assert [b.capacity for b in packing.pack([6, 6, 4, 4], (10, 15), 1.0)] == [10, 10]
+    assert [b.capacity for b in packing.pack([6, 6, 4, 3], (10, 15), 1.0)] == [15, 10]
+
+
+def test_groups_stay_small_where_all_rows_have_one_id_or_none(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_PER_GROUP", 50)
+    docs = spark.createDataFrame([(None if i % 2 else 7, "x" * 10) for i in range(1000)], "doc_id long, text string")
+    rows = packing.pack_documents(docs).collect()
+    assert len(rows) == 1000 and sum(row.doc_id is None for row in rows) == 500
+    per_group = defaultdict(int)
+    for row in rows:
+        per_group[row.bin % 20] += 1
+    assert len(per_group) == 20 and max(per_group.values()) < 100
+
+
 def test_query_places_the_given_table(spark, sf_dir):
     from clickloom.llm.queries import QUERIES
 
