@@ -94,10 +94,12 @@ class RateEncoder:
 
     @staticmethod
     def ordered(train: DataFrame, target: str, time_col: str, config: TrainingConfig) -> DataFrame:
-        """The training rows with one ``<column>_rate`` per category, of what was known before each row's hour."""
+        """Numeric features and target of the training rows with one ``<column>_rate`` per category, of what was known before each
+        row's hour."""
         keys = {name: RateEncoder._bucket(name, config.hash_buckets) for name in CATEGORICAL_FEATURES}
         prior = train.agg(F.avg(F.col(target).cast("double"))).first()[0] or 0.0
-        return ordered_rates(train, keys, target, time_col, prior, config.smoothing)
+        keep = [*[name for name in FEATURE_COLUMNS if name not in CATEGORICAL_FEATURES], target]
+        return ordered_rates(train, keys, target, time_col, prior, config.smoothing, keep=keep)
 
     @classmethod
     def fit(cls, train: DataFrame, target: str, config: TrainingConfig) -> RateEncoder:
@@ -234,7 +236,8 @@ def train_model(
         encoder = RateEncoder.fit(train, target, config)
         own = train.select(*keep, *([time_col] if timed else []))
         # Read several times while trees are learned, so it is stored once.
-        encoded = materialize(encoder.ordered(own, target, time_col, config) if timed else encoder.encode(own, training=True))
+        encoded = encoder.ordered(own, target, time_col, config) if timed else encoder.encode(own, training=True)
+        encoded = materialize(encoded.select(*ENCODED_COLUMNS, target))
         learned = boosting.fit(encoded, encoder.encode(validation.select(*keep)), ENCODED_COLUMNS, target, config.boosting())
         trees = learned.model
         fitted = {"best_round": learned.best_round, "validation_losses": learned.losses}

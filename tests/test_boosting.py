@@ -160,3 +160,39 @@ def test_a_broken_save_leaves_the_earlier_version(spark, folder, monkeypatch):
         assert loaded.version == "one" and loaded.trees == trees
     ClickModel(None, encoder, {"model_version": "two"}, trees).save(spark, folder)
     assert ClickModel.load(spark, folder).version == "two"
+
+
+def test_passes_sum_the_smaller_side_in_few_tasks(spark, monkeypatch):
+    """Below the root one side of the last question is read, the other follows; tasks don't grow in number with the rows."""
+    monkeypatch.setattr(boosting, "ROWS_PER_TASK", 1)
+    monkeypatch.setattr(boosting, "TASKS_PER_CORE", 1)
+    seen, real = [], boosting.level_sums
+
+    def watched(binned, width, bins, trees, columns, places, side=None):
+        table = real(binned, width, bins, trees, columns, places, side)
+        n = table.where("cell >= 0").agg(F.sum("n")).first()[0] // width
+        seen.append((len(columns), n, binned.rdd.getNumPartitions()))
+        return table
+
+    monkeypatch.setattr(boosting, "level_sums", watched)
+    data = frame(spark, rows()).repartition(3 * spark.sparkContext.defaultParallelism)
+    model = boosting.fit(data, None, list(BORDERS), "y", boosting.BoostConfig(rounds=2, depth=3), BORDERS).model
+    assert [level for level, _, _ in seen] == [0, 1, 2] * 2 + [0]
+    assert all(n == 600 if level == 0 else 0 < n <= 300 for level, n, _ in seen)
+    assert all(tasks <= spark.sparkContext.defaultParallelism for _, _, tasks in seen)
+    assert [sum(tree.weights) for tree in model.trees] == [600, 600]
+
+
+def test_ordered_rates_of_split_and_shared_hours(spark, monkeypatch):
+    """Chunks of a few rows: crowded hours are dealt over several of them, others share one. No key is joined row by row."""
+    monkeypatch.setattr(statistics, "CHUNK", 7)
+    data = [(i, i % 3 if i % 5 else None, float(i % 2), f"2024-01-01 {'00' if i < 60 else f'{i % 20:02d}'}:05:00" if i % 11 else None) for i in range(200)]
+    df = spark.createDataFrame(data, "id int, k int, y double, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    rated = statistics.ordered_rates(df, {"k": F.col("k")}, "y", "t", 0.3, 5.0, keep=["id"])
+    assert rated.columns == ["id", "k_rate"]
+    found = {row["id"]: row["k_rate"] for row in rated.collect()}
+    hour = lambda row: "9" if row[3] is None else row[3][:13]
+    assert len(found) == 200
+    for row in data:
+        seen = [other[2] for other in data if other[1] == row[1] and hour(other) < hour(row)]
+        assert found[row[0]] == pytest.approx((sum(seen) + 0.3 * 5.0) / (len(seen) + 5.0))
