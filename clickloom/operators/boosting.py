@@ -2,8 +2,8 @@
 
 A tree asks the same question at all nodes of a level, so a leaf is a number made of one bit a level. Training is one
 aggregate a level: tasks sum gradient, curvature and rows by (node, feature, bin) of the binned table, those sums meet in a
-shuffle, and the driver sees one row per cell, whose number is bounded by depth, features and bins whatever the input. The
-split with the largest gain over all nodes is taken, ``-G / (H + l2)`` becomes the value of a leaf.
+shuffle, and the driver sees one row per cell, whose number is bounded by depth, features and bins whatever the input. Below
+the root only the rows on the smaller side of the last question are summed; the other side is the difference. The split with the largest gain over all nodes is taken, ``-G / (H + l2)`` becomes the value of a leaf.
 
 Sums are whole numbers (gradients in units of 2**-24), so they don't depend on the order of tasks: a repeated run, or one
 that lost executors, learns the same trees.
@@ -24,7 +24,8 @@ from clickloom.session import materialize
 UNIT = float(1 << 24)
 REFRESH = 16  # trees after which the running scores are written again, so that a pass applies fewer trees than that
 LEAST_GAIN = 1e-9
-ROWS_PER_TASK = 25_000  # a pass over them takes about as long as starting a task does
+ROWS_PER_TASK = 100_000  # a pass over them takes about as long as starting a task does
+TASKS_PER_CORE = 3
 
 
 @dataclass(frozen=True)
@@ -179,9 +180,10 @@ def _block(bins: np.ndarray, y: np.ndarray, held: np.ndarray, raw: np.ndarray) -
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bins with a row for each feature, so that a question reads consecutive bytes."""
     for batch in batches:
         for row in batch.to_pylist():
-            yield (np.frombuffer(row["bins"], dtype=np.uint8).reshape(-1, width), np.frombuffer(row["y"]),
+            yield (np.frombuffer(row["bins"], dtype=np.uint8).reshape(width, -1), np.frombuffer(row["y"]),
                    np.frombuffer(row["held"], dtype=bool), np.frombuffer(row["raw"]))
 
 
@@ -195,11 +197,11 @@ def bin_rows(df: DataFrame, borders: dict[str, list[float]], target: str, base:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bins = np.zeros((batch.num_rows, len(names)), dtype=np.uint8)
+            bins = np.zeros((len(names), batch.num_rows), dtype=np.uint8)
             for i, limit in enumerate(limits):
                 x = np.nan_to_num(batch.column(i).to_numpy(zero_copy_only=False), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
-                bins[:, i] = np.searchsorted(limit, x, side="left")
-            yield _block(bins, batch.column("y").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False), np.full(len(bins), base))
+                bins[i] = np.searchsorted(limit, x, side="left")
+            yield _block(bins, batch.column("y").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False), np.full(batch.num_rows, base))
 
     held = F.col(held_col) if held_col else F.lit(False)
     plain = df.where(F.col(target).isNotNull()).select(
@@ -214,33 +216,49 @@ def _add_trees(raw: np.ndarray, bins: np.ndarray, trees: Sequence[tuple[list[int
 
 
 def _leaves(bins: np.ndarray, columns: Sequence[int], places: Sequence[int]) -> np.ndarray:
-    out = np.zeros(len(bins), dtype=np.int64)
+    """Leaf numbers; a byte is enough for the greatest depth."""
+    out = np.zeros(bins.shape[1], dtype=np.uint8)
     for k, (column, place) in enumerate(zip(columns, places)):
-        out |= (bins[:, column] > place).astype(np.int64) << k
+        out |= (bins[column] > place).view(np.uint8) << np.uint8(k)
     return out
 
 
-def level_sums(binned: DataFrame, width: int, bins: int, trees: list, columns: list[int], places: list[int]) -> DataFrame:
+def level_sums(
+    binned: DataFrame, width: int, bins: int, trees: list, columns: list[int], places: list[int], side: int | None = None
+) -> DataFrame:
     """(cell, g, h, n) of a level: sums over the training rows per ``(node * width + feature) * bins + bin``, and in cell -1 the sum
-    of the log loss and the number of the rows held out, before this tree."""
-    nodes = 1 << len(columns)
+    of the log loss and the number of the rows held out, before this tree.
+
+    With a ``side``, 0 or 1, only the training rows with that answer to the last question are summed, by the node they were in
+    before it, and the rows held out are not looked at.
+    """
+    nodes = 1 << (len(columns) - (side is not None))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, loss, held_rows = np.zeros((3, nodes, width, bins)), 0.0, 0
+        sums, loss, held_rows = np.zeros((width, 3, nodes * bins)), 0.0, 0
         for own, y, held, raw in _unpacked(batches, width):
-            raw = _add_trees(raw, own, trees)
-            if held.any():
-                r, t = raw[held], y[held]
+            inside = ~held
+            if side is not None:
+                inside &= (own[columns[-1]] > places[-1]) == bool(side)
+            elif held.any():
+                t = y[held]
+                r = _add_trees(raw[held], own[:, held], trees)
                 loss += float(np.rint((np.maximum(r, 0) - r * t + np.log1p(np.exp(-np.abs(r)))) * UNIT).sum())
                 held_rows += len(r)
-            own, raw, y = own[~held], raw[~held], y[~held]
-            p = 1 / (1 + np.exp(-raw))
-            g, h, node = np.rint((p - y) * UNIT), np.rint(p * (1 - p) * UNIT), _leaves(own, columns, places) * bins
+            if not inside.all():
+                inside = np.flatnonzero(inside)
+                if not len(inside):
+                    continue
+                own, y, raw = own.take(inside, axis=1), y[inside], raw[inside]
+            p = 1 / (1 + np.exp(-_add_trees(raw, own, trees)))
+            asked = len(columns) if side is None else -1
+            node = _leaves(own, columns[:asked], places[:asked]).astype(np.intp) * bins
+            weights = np.rint((p - y) * UNIT), np.rint(p * (1 - p) * UNIT), None
             for column in range(width):
-                cell = node + own[:, column]
-                for i, weight in enumerate((g, h, None)):
-                    sums[i, :, column] += np.bincount(cell, weights=weight, minlength=nodes * bins).reshape(nodes, bins)
-        sums = sums.reshape(3, -1)
+                cell = node + own[column]
+                for i, weight in enumerate(weights):
+                    sums[column, i] += np.bincount(cell, weights=weight, minlength=nodes * bins)
+        sums = sums.reshape(width, 3, nodes, bins).transpose(1, 2, 0, 3).reshape(3, -1)
         filled = np.flatnonzero(sums[2])
         g, h, n = (np.append(sums[i, filled], extra).astype(np.int64) for i, extra in enumerate((loss, 0, held_rows)))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(filled, -1)), pa.array(g), pa.array(h), pa.array(n)], ["cell", "g", "h", "n"])
@@ -302,17 +320,19 @@ def fit(
     if validation is not None:
         marked = marked.unionByName(validation.select(*columns, target, F.lit(True).alias("_held")))
     binned = materialize(bin_rows(marked, borders, target, base, "_held"))
-    binned = binned.coalesce(max(1, -(-counted["n"] // ROWS_PER_TASK)))
+    # A pass ends with one row per task and filled cell, so more tasks than keep the cores busy only add to what is summed.
+    tasks = max(1, min(-(-counted["n"] // ROWS_PER_TASK), TASKS_PER_CORE * train.sparkSession.sparkContext.defaultParallelism))
+    binned = binned.coalesce(tasks)
     trees: list[Tree] = []
     recent: list = []
     losses: list[float] = []
     best = 0
     for number in range(config.rounds + 1):
         columns_of, places_of = [], []
-        values = weights = None
+        values = weights = parent = side = None
         for level in range(config.depth):
-            table = level_sums(binned, width, bins, recent, columns_of, places_of).toArrow()
-            cell, g, h, n = (table.column(i).to_numpy().astype(float if 0 < i < 3 else np.int64) for i in range(4))
+            table = level_sums(binned, width, bins, recent, columns_of, places_of, side).toArrow()
+            cell, g, h, n = (table.column(i).to_numpy() for i in range(4))
             if level == 0:
                 held = np.flatnonzero(cell == -1)
                 if len(held) and n[held].sum():
@@ -322,9 +342,12 @@ def fit(
                 if number == config.rounds or (losses and number - best >= config.patience):
                     break
             inside = cell >= 0
-            sums = np.zeros((3, (1 << level) * width * bins))
-            sums[:, cell[inside]] = g[inside] / UNIT, h[inside] / UNIT, n[inside]
-            sums = sums.reshape(3, 1 << level, width, bins)
+            whole = np.zeros((3, (1 << max(0, level - 1)) * width * bins), dtype=np.int64)
+            whole[:, cell[inside]] = g[inside], h[inside], n[inside]
+            whole = whole.reshape(3, -1, width, bins)
+            if level:  # the other side is what is left of the level before, to the unit
+                whole = np.concatenate([whole, parent - whole] if side == 0 else [parent - whole, whole], axis=1)
+            parent, sums = whole, whole / np.array([UNIT, UNIT, 1.0]).reshape(3, 1, 1, 1)
             gain, column, place = _best_split(sums[0], sums[1], config.l2, limits)
             if not gain > LEAST_GAIN:
                 break
@@ -335,6 +358,7 @@ def fit(
             down = both[1] + config.l2
             values = -config.learning_rate * np.divide(both[0], down, out=np.zeros_like(down), where=down > 0)
             weights = np.rint(both[2]).astype(np.int64)
+            side = int(weights[1 << level:].sum() < weights[: 1 << level].sum())  # the next pass reads the smaller side only
         if values is None:
             break
         trees.append(Tree([names[c] for c in columns_of], [float(borders[names[c]][p]) for c, p in zip(columns_of, places_of)],
