@@ -2,7 +2,7 @@
 
 ``keys_at`` finds the rows at given positions of a global order. It counts rows per coarse time cell
 (a small aggregate), keeps the cells that hold a wanted position, and sorts only the keys of those
-cells: a cell of proven small size in one task, a larger one by range. Callers then compare every row
+cells: a cell of proven small size in one task, a larger one by range, equal keys as one row with their number. Callers then compare every row
 with the found keys, which needs no shuffle.
 
 ``running_totals`` adds prefix sums over a sorted numeric key. Bucket limits come from a histogram that is
@@ -24,6 +24,7 @@ from clickloom.functions import temporal
 from clickloom.session import materialize
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
+_RANGE_BITS = (_ROW_BITS, 21, 10)
 SMALL_CELL = 200_000  # rows one task may sort
 
 
@@ -109,24 +110,32 @@ def keys_at(
 
 
 def _keys_in_cell(keys: DataFrame, order: TimeOrder, wanted: list[Row]) -> dict[str, Row]:
-    """The rows at the given positions of one cell, by a range sort of its keys."""
+    """The rows at the given positions of one cell, by a range sort of its distinct keys with the number of rows each has."""
     sort = order.sort_columns()
+    distinct = keys.groupBy(*keys.columns).agg(F.count("*").alias("_n"))
     placed = materialize(
-        keys.repartitionByRange(*sort).sortWithinPartitions(*sort)
+        distinct.repartitionByRange(*sort).sortWithinPartitions(*sort)
         .withColumn("_row", F.monotonically_increasing_id())
     )
-    part = F.shiftright("_row", _ROW_BITS)
-    # One row per sort partition; their number is a session setting.
-    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
-    found = {}
-    for want in wanted:
-        local = want["place"] - want["before"]
-        for size in sizes:
-            if local < size["n"]:
-                found[want["name"]] = placed.where(F.col("_row") == (size["part"] << _ROW_BITS) + local).first()
+    return {want["name"]: _row_at(placed, "_row", F.col("_n"), want["place"] - want["before"]) for want in wanted}
+
+
+def _row_at(placed: DataFrame, number: str, weight: Column, position: int) -> Row:
+    """The row of a stored table that covers a 0-based position, where each row stands for ``weight`` positions and ``number`` is its
+    ``monotonically_increasing_id``. Sums by ever smaller ranges of numbers lead to it: the driver sees a row per partition, then
+    at most some thousand a step, and nothing is sorted but the last range."""
+    for bits in _RANGE_BITS:
+        block = F.shiftright(number, bits)
+        for size in placed.groupBy(block.alias("block")).agg(F.sum(weight).alias("n")).orderBy("block").collect():
+            if position < size["n"]:
+                placed = placed.where(block == size["block"])
                 break
-            local -= size["n"]
-    return found
+            position -= size["n"]
+    for row in placed.withColumn("_weight", weight).orderBy(number).collect():  # a last range of 2**10 numbers
+        if position < row["_weight"]:
+            return row
+        position -= row["_weight"]
+    raise ValueError("no such position")
 
 
 @dataclass(frozen=True)
@@ -149,7 +158,7 @@ def cut_at(df: DataFrame, order: TimeOrder, positions: Callable[[Column], dict[s
     """Cuts the rows at exact positions, also among rows that are equal in every order column.
 
     Usually a comparison with the boundary keys is enough and no row moves. If rows equal to a boundary key lie on both
-    sides of it, the table is written once with fixed row numbers; those of the equal rows are counted per partition, and
+    sides of it, the table is written once with fixed row numbers; those of the equal rows are counted by ranges of numbers, and
     one row number becomes the boundary among them.
     """
     found = keys_at(df, order, positions)
@@ -168,17 +177,8 @@ def cut_at(df: DataFrame, order: TimeOrder, positions: Callable[[Column], dict[s
         if name not in tied:
             upto[name] = order.key() <= limit
             continue
-        equal = frame.where(order.key() == limit)
-        part = F.shiftright(_TIE, _ROW_BITS)
-        left = lower[name]
-        # One row per partition of the written table.
-        for size in equal.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
-            if left <= size["n"]:
-                inside = equal.where(part == size["part"]).select(_TIE).orderBy(_TIE)
-                last = inside.offset(left - 1).first()[0]
-                upto[name] = (order.key() < limit) | ((order.key() == limit) & (F.col(_TIE) <= last))
-                break
-            left -= size["n"]
+        last = _row_at(frame.where(order.key() == limit).select(_TIE), _TIE, F.lit(1), lower[name] - 1)[_TIE]
+        upto[name] = (order.key() < limit) | ((order.key() == limit) & (F.col(_TIE) <= last))
     return Cuts(found.total, frame, upto)
 
 
