@@ -73,15 +73,18 @@ def rank_and_reject(
     folder: str, prior: float = FALLBACK_CTR, reason: str | None = None, limit: int = MAX_RANK_CANDIDATES
 ) -> Callable[[DataFrame, int], None]:
     """Work for ``run_batches``: accepted requests of a micro-batch are ranked under ``ranked``, the others go to ``rejected`` with
-    what is wrong with them. The source is read once for both; a replayed batch replaces its own rows in both."""
+    what is wrong with them. The source is read once: the batch is written under ``received`` and both outputs read that, in tasks
+    of a bounded part of its files whatever its size. It is deleted when both are there; a replayed batch replaces its own rows in
+    all of them."""
 
     def work(batch: DataFrame, number: int) -> None:
-        kept = batch.persist()  # read once; what a lost executor held is read again
-        try:
-            ranking.rank_arrays(kept, prior, reason, limit).write.mode("overwrite").parquet(f"{folder}/ranked/batch={number}")
-            rejected_requests(kept, limit).write.mode("overwrite").parquet(f"{folder}/rejected/batch={number}")
-        finally:
-            kept.unpersist()
+        spark, received = batch.sparkSession, f"{folder}/received/batch={number}"
+        batch.write.mode("overwrite").parquet(received)
+        kept = spark.read.schema(batch.schema).parquet(received)
+        ranking.rank_arrays(kept, prior, reason, limit).write.mode("overwrite").parquet(f"{folder}/ranked/batch={number}")
+        rejected_requests(kept, limit).write.mode("overwrite").parquet(f"{folder}/rejected/batch={number}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(received)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     return work
 

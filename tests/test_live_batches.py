@@ -1,4 +1,5 @@
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +88,26 @@ def test_a_model_that_throws_in_a_task_yields_a_full_table(spark, folder):
     assert "17" in fallen and 0 < len(fallen) < 60
     assert all((row["predicted_ctr"], row["model_version"]) == ((0.105, "v1") if row["id"] in fallen else (0.25, "m")) for row in rows)
     assert jobs.score_batch(contexts.where("id <> '17'"), model.Predictor(Breaks(), 0.1, "v1"), f"{folder}/again") == {}
+
+
+def test_a_batch_is_not_held_in_memory(spark, folder, monkeypatch):
+    """The source is read once and no decoded row is kept: both outputs read what was written of the batch, which is then deleted."""
+    def held(self, *args):
+        raise AssertionError("rows of a batch are kept by the executors")
+
+    monkeypatch.setattr(type(spark.range(1)), "persist", held)
+    monkeypatch.setattr(type(spark.range(1)), "cache", held)
+    reads = spark.sparkContext.accumulator(0)
+    kind = "request_id string, safety_tier string, candidates array<struct<candidate_id: string, safety_tier: string>>"
+    rows = spark.createDataFrame([(f"r{i}", "sfw", [("ad", "sfw")] * i) for i in range(5)], kind)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    live.rank_and_reject(folder, limit=3)(rows.mapInArrow(counted, rows.schema), 0)
+    assert reads.value == 5
+    assert spark.read.parquet(stored(folder, "ranked")).count() == 3 and spark.read.parquet(stored(folder, "rejected")).count() == 2
+    assert sorted(path.name for path in Path(folder).iterdir()) == ["ranked", "received", "rejected"]
+    assert list(Path(folder, "received").iterdir()) == []
