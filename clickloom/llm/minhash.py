@@ -96,16 +96,33 @@ def _spot(col: str) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(FILTER_BITS))
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A bit for each hash of an id, ``FILTER_BITS`` in all; built by the tasks, 4 KB a row."""
+def _bit_rows(ids: DataFrame) -> DataFrame:
+    """(row, bits): a bit for each hash of an id, ``FILTER_BITS`` in all; built by the tasks, 4 KB a row."""
     spots = ids.select(_spot("id").alias("spot"))
-    rows = spots.groupBy(F.floor(F.col("spot") / 32768).alias("row")).agg(F.bitmap_construct_agg(F.col("spot") % 32768).alias("bits"))
+    return spots.groupBy(F.floor(F.col("spot") / 32768).alias("row")).agg(F.bitmap_construct_agg(F.col("spot") % 32768).alias("bits"))
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """The table of ``_bit_rows`` as one array."""
     out = np.zeros((FILTER_BITS // 32768, 4096), dtype=np.uint8)
-    for row in rows.toLocalIterator():
+    for row in _bit_rows(ids).toLocalIterator():
         out[row["row"]] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out.reshape(-1)
 
 
+def split_by_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` whose id is surely none of ``ids`` (column id), nulls among them, and the others: those of ``ids`` and a few by chance.
+    A bitmap decides, broadcast as a table, so no text is shuffled for it."""
+    spot, row, bits = F.col("spot_of_id"), F.col("bit_row"), F.col("bits_of_row")
+    told = F.broadcast(_bit_rows(ids).select(F.col("row").alias("bit_row"), F.col("bits").alias("bits_of_row")))
+    # All columns travel as one, so that theirs and these can't be of one name.
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), _spot(id_col).alias("spot_of_id"))
+    held = packed.join(told, F.floor(spot / 32768) == row, "left")
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(spot / 8) % 4096 + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    caught = F.coalesce(F.floor(byte / F.pow(F.lit(2), spot % 8)) % 2 == 1, F.lit(False)) & F.col(f"doc.{id_col}").isNotNull()
+    return held.where(~caught).select("doc.*"), held.where(caught).select("doc.*")
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """(id, members) for the wanted (id, copy): the full set of each. Only sets that may be wanted are made and shuffled."""
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
