@@ -1,11 +1,16 @@
-"""Byte-level BPE as a lazily determinised transducer, and its streaming decoder.
+"""Byte-level BPE as a transducer determinised while texts are read, and its streaming decoder.
 
 A rank file defines which neighbouring tokens a merge procedure would leave apart: two tokens can be neighbours exactly
 if merging the bytes of both gives back these two, and a sequence of tokens is the encoding of its bytes exactly if all
 its neighbours can be. So the encoding is the one path through a non-deterministic transducer whose states are
-(last token, place in the trie of token bytes). It is determinised while texts are read: a state of the result is the
-set of hypotheses still alive, each with the tokens it has not yet emitted, and tokens are emitted as soon as all
-hypotheses agree on them. No hypothesis reaches back further than the longest token, so the lookahead is bounded.
+(last token, place in the trie of token bytes). A state of the determinised one is the set of hypotheses still alive. No
+hypothesis reaches back further than the longest token, so the lookahead is bounded.
+
+* Pieces of text not seen before are read side by side, a byte of each at a time: the hypotheses of all of them are rows of
+  numpy arrays. Exactly one ends with a whole token after each byte, as every beginning has one encoding; where it began is
+  kept, and the tokens are read off from the end.
+* A long piece is read by itself, with a table of states: each is a set of hypotheses with the tokens not yet emitted, and
+  tokens are emitted as soon as all hypotheses agree on them. A full table is begun anew.
 """
 
 from __future__ import annotations
@@ -17,7 +22,9 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +32,13 @@ from pyspark.sql import functions as F
 from clickloom.llm.arrow_text import slices
 
 MAX_STATES = 40_000
-"""States that are determinised per task; where the table ends, the path is searched in the transducer itself."""
+"""States of the table by which long pieces are read, per task."""
 MAX_PIECES = 300_000
-"""Pieces of text whose encoding is remembered per task."""
+"""Pieces of text whose encoding is remembered per task, besides those of the texts at hand."""
 MAX_PAIRS = 1_000_000
 """Pairs of tokens whose verdict is remembered per task."""
+LONG = 256
+"""Bytes from which on a piece is read by itself."""
 
 NONE = -1
 START: tuple = ((NONE, (), 0),)
@@ -40,8 +49,40 @@ def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+class _Table:
+    """Map of non-negative integers, given at once, to integers, for lookups by the array; -1 where there is none."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        slots = self._slots(keys)
+        while len(keys):
+            free = self.keys[slots] == -1
+            self.keys[slots[free]] = keys[free]
+            placed = self.keys[slots] == keys
+            self.values[slots[placed]] = values[placed]
+            keys, values, slots = keys[~placed], values[~placed], (slots[~placed] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slots = self._slots(keys)
+        held = self.keys[slots]
+        out = np.where(held == keys, self.values[slots], -1)
+        left = np.flatnonzero((held != keys) & (held != -1))
+        while len(left):
+            slots[left] = (slots[left] + 1) & self.mask
+            held = self.keys[slots[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.values[slots[left[hit]]]
+            left = left[~hit & (held != -1)]
+        return out
+
+
 class Encoder:
-    """Encodes one piece of text at a time. Every single byte must be a token."""
+    """Encodes pieces of text. Every single byte must be a token, and every token must rank after the two it is merged from."""
 
     def __init__(self, ranks: dict[bytes, int]):
         missing = [byte for byte in range(256) if bytes([byte]) not in ranks]
@@ -49,30 +90,52 @@ class Encoder:
             raise ValueError(f"{len(missing)} of the 256 single bytes have no rank")
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.child: list[dict[int, int]] = [{}]
+        # The trie: node and byte (node << 8 | byte) to the next node.
+        self.child: dict[int, int] = {}
         self.token_at: list[int] = [NONE]
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.edges: dict[tuple[int, int], list[tuple[bytes, float]]] = {}
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                step = self.child[node]
-                if byte not in step:
-                    step[byte] = len(self.child)
-                    self.child.append({})
+                node = self.child.setdefault(node << 8 | byte, len(self.token_at))
+                if node == len(self.token_at):
                     self.token_at.append(NONE)
-                node = step[byte]
             self.token_at[node] = rank
+        self._begin()
+        self._tables()
+        self._known: dict[str, _Known] = {}
+
+    def _begin(self) -> None:
         self.states: dict[tuple, int] = {START: 0}
         self.hypotheses: list[tuple] = [START]
         self.step: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.pieces = _Pieces(self)
-        self._stretches: dict[str, _Stretches] = {}
 
-    def stretches(self, pattern: regex.Pattern) -> _Stretches:
-        if pattern.pattern not in self._stretches:
-            self._stretches[pattern.pattern] = _Stretches(self, pattern)
-        return self._stretches[pattern.pattern]
+    def _tables(self) -> None:
+        """What ``encode_all`` looks up: edges of the trie, pairs of tokens that make a token, and the pair a token is merged from."""
+        edges = np.array(list(self.child), np.int64)
+        self.edges = _Table(edges, np.array(list(self.child.values()), np.int64))
+        self.tokens, self.inner = np.array(self.token_at, np.int32), np.zeros(len(self.token_at), bool)
+        self.inner[edges >> 8] = True
+        size = max(self.bytes_of) + 1
+        self.made, self.first, self.second = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        pairs, merged, ranks = [], [], self.ranks
+        for token, rank in ranks.items():
+            if len(token) > 1:
+                cuts = [at for at in range(1, len(token)) if token[:at] in ranks and token[at:] in ranks]
+                pairs += [ranks[token[:at]] << 32 | ranks[token[at:]] for at in cuts]
+                merged += [rank] * len(cuts)
+                one, two = (token[: cuts[0]], token[cuts[0] :]) if len(cuts) == 1 else self._split(token)
+                self.made[rank], self.first[rank], self.second[rank] = rank, ranks[one], ranks[two]
+        if (np.maximum(self.made[self.first], self.made[self.second]) > self.made).any():
+            raise ValueError("a token ranks before one that it is merged from")
+        self.merges = _Table(np.array(pairs, np.int64), np.array(merged, np.int64))
+        # The last pair whose verdict fell on a slot: twice its number, and one more if the two can be neighbours.
+        self.verdicts = np.full(MAX_PAIRS, -1, np.int64)
+
+    def known(self, pattern: regex.Pattern) -> _Known:
+        if pattern.pattern not in self._known:
+            self._known[pattern.pattern] = _Known(self, pattern)
+        return self._known[pattern.pattern]
 
     def _split(self, token: bytes) -> tuple[bytes, bytes]:
         """The two parts whose merge is the last one that makes the token."""
@@ -82,57 +145,57 @@ class Encoder:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts[0], parts[1]
 
-    def _edge(self, token: int, side: int) -> list[tuple[bytes, float]]:
-        """What stands at an end of the token while it is merged, first the single byte: part and rank of the merge that
-        takes the part up (none for the token itself). ``side``: 0 the first part, 1 the last."""
-        found = self.edges.get((token, side))
-        if found is None:
-            part = self.bytes_of[token]
-            found = [(part, float("inf"))]
-            while len(part) > 1:
-                rank = self.ranks[part]
-                part = self._split(part)[side]
-                found.append((part, rank))
-            found.reverse()
-            self.edges[token, side] = found
-        return found
+    def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether an encoding can hold the tokens of each pair side by side.
 
-    def adjacent(self, left: int, right: int) -> bool:
-        """Whether an encoding can hold the two tokens side by side (``NONE``: ``right`` begins it).
-
-        Both ends grow in the order of the ranks; the tokens stay apart unless, at some time, merging the two parts that
-        touch ranks before the next merge at either end. Of equal ranks the one further left goes first.
+        The merges at the two ends that touch are undone, the last one first. The tokens stay apart unless, at some time,
+        merging the two parts that touch ranked before the next merge at either end. Of equal ranks the one further left goes
+        first.
         """
-        if left == NONE:
-            return True
+        verdict, at = np.ones(len(left), bool), np.arange(len(left))
+        grows = joins = np.full(len(left), np.iinfo(np.int64).max)
+        while len(at):
+            rank = self.merges.get(left << 32 | right)
+            wrong = (rank >= 0) & (rank < grows) & (rank <= joins)
+            verdict[at[wrong]] = False
+            made, other = self.made[left], self.made[right]
+            on = np.flatnonzero(~wrong & ((made >= 0) | (other >= 0)))
+            at, left, right, made, other = at[on], left[on], right[on], made[on], other[on]
+            undo = made > other
+            grows, joins = np.where(undo, made, grows[on]), np.where(undo, joins[on], other)
+            left, right = np.where(undo, self.second[left], left), np.where(undo, right, self.first[right])
+        return verdict
+
+    def _fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``_apart`` from memory where the pair is known; true where ``left`` is ``NONE``."""
+        pair = (left + 1) << 32 | right
+        slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(len(self.verdicts))).view(np.int64)
+        held = self.verdicts[slot]
+        new = np.flatnonzero(held >> 1 != pair)
+        if len(new):
+            seen = np.ones(len(new), bool)
+            inside = np.flatnonzero(left[new] != NONE)
+            seen[inside] = self._apart(left[new[inside]], right[new[inside]])
+            held[new] = self.verdicts[slot[new]] = pair[new] << 1 | seen
+        return (held & 1).astype(bool)
+
+    def adjacent(self, left: int, right: int) -> bool:
+        """``_fits`` of one pair."""
         known = self.pairs.get((left, right))
         if known is None:
-            ends, starts, i, j, known = self._edge(left, 1), self._edge(right, 0), 0, 0, True
-            while True:
-                (end, grows), (start, joins) = ends[i], starts[j]
-                rank = self.ranks.get(end + start)
-                if rank is not None and rank < grows and rank <= joins:
-                    known = False
-                    break
-                if grows == joins == float("inf"):
-                    break
-                if grows <= joins:
-                    i += 1
-                else:
-                    j += 1
             if len(self.pairs) > MAX_PAIRS:
                 self.pairs.clear()
-            self.pairs[left, right] = known
+            known = self.pairs[left, right] = bool(self._fits(np.array([left]), np.array([right]))[0])
         return known
 
     def _advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Next state and emitted tokens; new ones are entered into the table."""
         moved = []
         for last, pending, node in self.hypotheses[state]:
-            node = self.child[node].get(byte)
+            node = self.child.get(node << 8 | byte)
             if node is None:
                 continue
-            if self.child[node]:
+            if self.inner[node]:
                 moved.append((last, pending, node))
             token = self.token_at[node]
             if token != NONE and self.adjacent(pending[-1] if pending else last, token):
@@ -148,22 +211,22 @@ class Encoder:
         target = tuple(sorted((last, pending[shared:], node) for _, pending, node in moved))
         number = self.states.get(target)
         if number is None:
+            if len(self.hypotheses) >= MAX_STATES:
+                self._begin()
+                state = None
             number = self.states[target] = len(self.hypotheses)
             self.hypotheses.append(target)
             self.step.append({})
-        self.step[state][byte] = result = (number, emitted)
+        result = (number, emitted)
+        if state is not None:
+            self.step[state][byte] = result
         return result
 
-    def encode(self, piece: str) -> tuple[int, ...]:
-        """Tokens of one piece."""
-        step, state, tokens, data = self.step, 0, [], piece.encode()
-        for byte in data:
-            found = step[state].get(byte)
-            if found is None:
-                if len(self.hypotheses) >= MAX_STATES:
-                    return tuple(self._search(data, tokens))
-                found = self._advance(state, byte)
-            state, emitted = found
+    def encode(self, piece: bytes) -> tuple[int, ...]:
+        """Tokens of one piece, by the table of states."""
+        state, tokens = 0, []
+        for byte in piece:
+            state, emitted = self.step[state].get(byte) or self._advance(state, byte)
             if emitted:
                 tokens += emitted
         for _, pending, node in self.hypotheses[state]:
@@ -171,73 +234,96 @@ class Encoder:
                 tokens += pending
         return tuple(tokens)
 
-    def _search(self, data: bytes, tokens: list[int]) -> list[int]:
-        """Goes on from emitted tokens along the transducer as it is, not determinised: longest token first, and back where
-        no neighbour fits. Only one sequence of tokens ends at a place, so a place left once need not be tried again."""
-        child, token_at, bytes_of, adjacent, pairs = self.child, self.token_at, self.bytes_of, self.adjacent, self.pairs
-        at, end = sum(len(bytes_of[token]) for token in tokens), len(data)
-        last, choices, dead = tokens[-1] if tokens else NONE, None, set()
-        trail: list[list[tuple[int, int]]] = []
-        while at < end:
-            if choices is None:
-                choices, node = [], 0
-                for place in range(at, end):
-                    node = child[node].get(data[place])
-                    if node is None:
-                        break
-                    if token_at[node] != NONE:
-                        choices.append((token_at[node], place + 1))
-            while choices:
-                token, after = choices.pop()
-                if after in dead:
-                    continue
-                fits = pairs.get((last, token))
-                if fits is None:
-                    fits = adjacent(last, token)
-                if fits:
-                    trail.append(choices)
-                    tokens.append(token)
-                    last, at, choices = token, after, None
-                    break
-            else:
-                dead.add(at)
-                choices = trail.pop()
-                at -= len(bytes_of[tokens.pop()])
-                last = tokens[-1] if tokens else NONE
-        return tokens
+    def encode_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all pieces, one after the other, and how many each has: short ones read side by side, long ones by ``encode``."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        long = [(place, np.array(self.encode(pieces[place]), np.int64)) for place in np.flatnonzero(sizes >= LONG)]
+        found = [(np.full(len(tokens), place), tokens) for place, tokens in long]
+        # The longest first: those that go on at a byte are the first so many.
+        order = np.argsort(-sizes, kind="stable")
+        order = order[(sizes[order] > 0) & (sizes[order] < LONG)]
+        sizes = sizes[order]
+        data = np.frombuffer(b"".join([pieces[place] for place in order.tolist()]), np.uint8)
+        begins = np.cumsum(sizes) - sizes
+        # For each place after a byte, the token that ends there and the place where it begins. A piece has a place before it, too.
+        places = begins + np.arange(len(order))
+        ends_with, began = np.full(len(data) + len(order), NONE, np.int64), np.zeros(len(data) + len(order), np.int64)
+        going_on = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), side="left")
+        piece = start = node = np.zeros(0, np.int64)
+        for at, count in enumerate(going_on.tolist()):
+            held = piece < count
+            fresh = np.arange(count)
+            piece, start, node = (np.concatenate([piece[held], fresh]), np.concatenate([start[held], places[:count] + at]),
+                                  np.concatenate([node[held], np.zeros(count, np.int64)]))
+            node = self.edges.get(node << 8 | data[begins[piece] + at]).astype(np.int64)
+            alive = np.flatnonzero(node >= 0)
+            piece, start, node = piece[alive], start[alive], node[alive]
+            token = self.tokens[node].astype(np.int64)
+            whole = np.flatnonzero(token != NONE)
+            whole = whole[self._fits(ends_with[start[whole]], token[whole])]
+            here = places[piece[whole]] + at + 1
+            ends_with[here], began[here] = token[whole], start[whole]
+            inner = np.flatnonzero(self.inner[node])
+            piece, start, node = piece[inner], start[inner], node[inner]
+        now, left = places + sizes, np.arange(len(order))
+        while len(left):
+            found.append((order[left], ends_with[now]))
+            now = began[now]
+            on = now > places[left]
+            left, now = left[on], now[on]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(len(pieces), np.int64)
+        owner, token = (np.concatenate(column) for column in zip(*found[::-1]))
+        return token[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(pieces))
 
 
 SPACES = re.compile(r"\s | \s")
 """A space beside other white space."""
 
 
-class _Stretches(dict):
-    """What stands between two spaces to the tokens of it and the space before; begun anew when full."""
+class _Known:
+    """Tokens of pieces, and of stretches of several pieces, that came up before: a row of ``tokens`` each."""
 
     def __init__(self, encoder: Encoder, pattern: regex.Pattern):
-        super().__init__()
         self.encoder, self.pattern = encoder, pattern
-
-    def __missing__(self, stretch: str) -> tuple[int, ...]:
-        if len(self) >= MAX_PIECES:
-            self.clear()
-        pieces = map(self.encoder.pieces.__getitem__, self.pattern.findall(f" {stretch}"))
-        found = self[stretch] = tuple(chain.from_iterable(pieces))
-        return found
-
-
-class _Pieces(dict):
-    """Piece to tokens, filled when first needed; begun anew when full."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= MAX_PIECES:
-            self.clear()
-        found = self[piece] = self.encoder.encode(piece)
-        return found
+        self.clear()
+
+    def clear(self) -> None:
+        self.pieces: dict[str, int] = {}
+        self.stretches: dict[str, int] = {}  # what stands between two spaces, to the row of the first space and it
+        self.tokens, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def add(self, tokens: np.ndarray, counts: np.ndarray) -> range:
+        """Numbers of the new rows."""
+        first = len(self)
+        self.tokens = np.concatenate([self.tokens, tokens])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+        return range(first, len(self))
+
+    def joined(self, rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the rows one after the other, and how many each run of so many rows has."""
+        begins, counts = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
+        ends = np.cumsum(counts)
+        tokens = self.tokens[np.repeat(begins - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+        return tokens, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])])
+
+    def learn(self, stretches: set[str], pieces: set[str]) -> None:
+        """Enters what stands between two spaces, and pieces."""
+        new = list(stretches.difference(self.stretches))
+        split = self.pattern.findall(f" {' '.join(new)}") if new else []
+        begins = np.flatnonzero(np.fromiter((piece[0] == " " for piece in split), bool, len(split)))
+        if len(begins) != len(new):
+            raise ValueError("a space between two other characters must begin a match of the pattern")
+        pieces = list(pieces.union(split).difference(self.pieces))
+        self.pieces.update(zip(pieces, self.add(*self.encoder.encode_all([piece.encode() for piece in pieces]))))
+        rows = np.fromiter(map(self.pieces.__getitem__, split), np.int64, len(split))
+        sizes = np.diff(begins, append=len(split))
+        entered, several = rows[begins], sizes > 1
+        entered[several] = self.add(*self.joined(rows[np.repeat(several, sizes)], sizes[several]))
+        self.stretches.update(zip(new, entered.tolist()))
 
 
 def _utf8_step(pending: bytes, token: bytes) -> tuple[str, bytes]:
@@ -335,17 +421,26 @@ def coder(ranks: tuple[bytes, ...], pattern: str) -> tuple[Encoder, Decoder, reg
     return encoder, Decoder(encoder.bytes_of), regex.compile(pattern)
 
 
-def encode_text(text: str, encoder: Encoder, pattern: regex.Pattern) -> list[int]:
-    """Tokens of a text, each match of the pattern by itself. Every character must be in a match."""
-    if SPACES.search(text):
-        return list(chain.from_iterable(map(encoder.pieces.__getitem__, pattern.findall(text))))
+def encode_texts(texts: list[str], encoder: Encoder, pattern: regex.Pattern) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all texts, one after the other, and how many each has. Each match of the pattern is encoded by itself; every
+    character must be in a match."""
+    known = encoder.known(pattern)
+    if len(known) > MAX_PIECES:
+        known.clear()
     # A space between two other characters belongs to what follows it, whatever is around: so each stretch from one such
     # space to the next splits by itself, and common stretches are looked up whole.
-    first, *rest = text.split(" ")
-    stretches = encoder.stretches(pattern)
-    tokens = [token for piece in pattern.findall(first) for token in encoder.pieces[piece]]
-    tokens.extend(chain.from_iterable(map(stretches.__getitem__, rest)))
-    return tokens
+    cut = [[text] if SPACES.search(text) else text.split(" ") for text in texts]
+    firsts, rests = [pattern.findall(parts[0]) for parts in cut], [parts[1:] for parts in cut]
+    known.learn(set(chain.from_iterable(rests)), set(chain.from_iterable(firsts)))
+    piece, stretch = known.pieces.__getitem__, known.stretches.__getitem__
+    rows = chain.from_iterable(chain(map(piece, first), map(stretch, rest)) for first, rest in zip(firsts, rests))
+    sizes = np.array([len(first) + len(rest) for first, rest in zip(firsts, rests)], np.int64)
+    return known.joined(np.fromiter(rows, np.int64, sizes.sum()), sizes)
+
+
+def encode_text(text: str, encoder: Encoder, pattern: regex.Pattern) -> list[int]:
+    """Tokens of one text."""
+    return encode_texts([text], encoder, pattern)[0].tolist()
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
@@ -363,18 +458,23 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder, compiled = coder(shipped.value, pattern)
-        decimal = [str(token) for token in range(max(encoder.bytes_of) + 1)]
+        decimal = pa.array([f" {token}" for token in range(max(encoder.bytes_of) + 1)])
         for batch in batches:
             for part in slices(batch, "text"):
-                counts, ids, decoded, kept = [], [], [], []
-                for text in part.column("text"):
-                    tokens = encode_text(text.as_py() or "", encoder, compiled)
-                    counts.append(len(tokens))
-                    ids.append(hashlib.sha256(" ".join(map(decimal.__getitem__, tokens)).encode()).hexdigest())
-                    out = decoder.feed(tokens) + decoder.finish()
+                tokens, counts = encode_texts([text or "" for text in part.column("text").to_pylist()], encoder, compiled)
+                written = decimal.take(pa.array(tokens))
+                places = np.concatenate([[0], np.cumsum(pc.binary_length(written).to_numpy(zero_copy_only=False))])
+                letters = memoryview(written.buffers()[2] or b"")
+                ids, decoded, kept, begin = [], [], [], 0
+                for end in np.cumsum(counts).tolist():
+                    # Without the space before the first id.
+                    ids.append(hashlib.sha256(letters[places[begin] + 1 : places[end]]).hexdigest())
+                    own = tokens[begin:end].tolist()
+                    out = decoder.feed(own) + decoder.finish()
                     decoded.append(hashlib.sha256(out.encode()).hexdigest())
                     if with_tokens:
-                        kept.append(tokens)
+                        kept.append(own)
+                    begin = end
                 columns = [part.column("id"), pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)]
                 names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_tokens:

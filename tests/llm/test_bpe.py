@@ -55,6 +55,37 @@ def test_full_tables_begin_anew_with_the_same_result(library, monkeypatch):
         assert bpe.encode_text(text, encoder, pattern) == library.encode_ordinary(text)
 
 
+def test_new_pieces_are_read_side_by_side(library, monkeypatch):
+    """Only long pieces go byte by byte through the table of states."""
+    with open(PATH, "rb") as file:
+        encoder = bpe.Encoder(bpe.read_ranks(file))
+    import regex
+
+    read = []
+    advance = encoder._advance
+    monkeypatch.setattr(encoder, "_advance", lambda state, byte: read.append(byte) or advance(state, byte))
+    pattern, rng = regex.compile(public_tokenizers.PATTERN), random.Random(2)
+    words = ["".join(rng.choice("aeinorstüй") for _ in range(rng.randrange(1, 40))) for _ in range(5000)]
+    texts = [" ".join(words[at : at + 100]) for at in range(0, 5000, 100)] + ["", "  a\n b "]
+    tokens, counts = bpe.encode_texts(texts, encoder, pattern)
+    assert not read
+    assert tokens.tolist() == [token for text in texts for token in library.encode_ordinary(text)]
+    assert counts.tolist() == [len(library.encode_ordinary(text)) for text in texts]
+    monkeypatch.setattr(bpe, "MAX_STATES", 100)
+    long = ["".join(rng.choice("aeinorst") for _ in range(size)) for size in [bpe.LONG - 2, bpe.LONG - 1, bpe.LONG, 3000] for _ in range(3)]
+    assert bpe.encode_text(" ".join(long), encoder, pattern) == library.encode_ordinary(" ".join(long))
+    assert read and len(encoder.hypotheses) <= 100
+
+
+def test_a_pattern_that_leaves_spaces_out_and_ranks_out_of_order_are_refused(parts):
+    import regex
+
+    with pytest.raises(ValueError):
+        bpe.encode_text("a b", parts[0], regex.compile(r"\S+"))
+    with pytest.raises(ValueError):
+        bpe.Encoder({bytes([byte]): byte for byte in range(256)} | {b"abcd": 256, b"ab": 257, b"cd": 258})
+
+
 def test_decoder_takes_tokens_one_by_one_and_replaces_wrong_bytes(parts):
     encoder, decoder, _ = parts
     for data in [b"", "é中😀!".encode(), b"\xff\xc3(", b"\xe4\xb8", b"\xf0\x9f\x98", b"\xed\xa0\x80a", b"\xc0\xaf", b"a\xe2\x28\xa1"]:
