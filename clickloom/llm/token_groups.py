@@ -16,6 +16,9 @@ to chance but for equal 64-bit hashes of different shingles.
   smallest hash, so that texts which resemble each other without being linked are in few groups too.
 * Lookup: where an entered token is held by several groups, those outside the component that holds most of them are paired with
   the others. Pairs within one component need no comparison, as only components are asked for.
+* A token held by more than ``OFTEN`` groups pairs nothing. The sets that entered such a one, say as half of their tokens are a
+  common passage, are looked at once more with all their tokens: of these the rarest are entered, so many that two similar sets
+  share one, and no frequent one unless ``percent`` of a set's tokens are frequent.
 * Each set of the smaller group of a pair is a query: its overlap with the union of the other group bounds its similarity to all
   its members. Groups that qualify are opened and their members compared in full.
 """
@@ -41,6 +44,8 @@ TOKENS = 2_000_000
 """Tokens of a group's members together; a single set may have more."""
 KEYS = 2
 """Smallest hashes of a set by which it meets others when groups are formed."""
+OFTEN = 32
+"""Groups that a token is held by at most to pair them at the first look."""
 QUERIES = 1000
 """Queries that meet a copy of a group in one task."""
 HOT_SHARE = 1e-4
@@ -71,6 +76,11 @@ def _entered(n: Column, percent: int) -> Column:
     return (n - need + common(n) - common(need) + 1).cast("int")
 
 
+def _entered_whole(n: Column, percent: int) -> Column:
+    """The same where the head is the whole set: a similar set has ``required`` of its tokens."""
+    return (n - F.ceil(n * percent / F.lit(100)) + 1).cast("int")
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)])
     flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
@@ -105,8 +115,9 @@ def _with_sizes(rows: DataFrame, sizes: DataFrame, key: str, size: str, total: i
     return rows.join(sizes.where(~hot), key).unionByName(rows.join(F.broadcast(sizes.where(hot)), key))
 
 
-def entries(headed: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
-    """(value, id, n) of the rare tokens each set enters, those of a single set left out."""
+def entries(headed: DataFrame, distinct: DataFrame, entered: Column) -> DataFrame:
+    """(value, id, n) of the rare tokens each set enters, those of a single set left out. ``entered`` of its head's tokens are the
+    rarest, by how many of the given heads have them."""
     every = headed.select("id", F.explode("head").alias("value"))
     counts = reliable(every.groupBy("value").agg(F.count("*").alias("length")).where("length > 1"))
     total = headed.agg(F.sum(F.size("head"))).first()[0] or 0
@@ -114,7 +125,7 @@ def entries(headed: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
     ranked = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("length", "value"))).alias("values"))  # one head's
     sizes = distinct.select("id", "n").join(headed.select("id", F.size("head").alias("held")).dropDuplicates(["id"]), "id")
     # Tokens of one set are the rarest of all: they take places first.
-    room = _entered(F.col("n"), percent) - (F.col("held") - F.size("values"))
+    room = entered - (F.col("held") - F.size("values"))
     left = ranked.join(sizes, "id").withColumn("room", room.cast("int")).where("room > 0")
     return left.select("id", "n", F.explode(F.slice("values", 1, F.col("room"))).alias("e")).select("e.value", "id", "n")
 
@@ -211,19 +222,41 @@ def form_groups(active: DataFrame, roots: DataFrame) -> DataFrame:
     return dealt.select("id", "n", "root", group.alias("grp"), F.when(F.col("whole"), F.col("cluster")).otherwise(group).alias("side"))
 
 
-def candidates(listed: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
-    """(query, grp): sets and the groups they are to be compared with. ``listed`` has (value, id, n), ``grouped`` is that of
-    ``form_groups``. Two groups meet if they hold an entered token in common and their sizes allow for similarity, a group
-    meets itself if it holds sets of several components; the sets of the smaller one become the queries."""
-    about = compact(grouped.groupBy("grp", "side").agg(
-        F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), (F.min("root") != F.max("root")).alias("mixed")))
+def _matrix(listed: DataFrame, grouped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(value, grp, side) of the groups that hold a token, and (value, main, groups) of tokens held on several sides: the one with
+    most groups, and how many there are."""
     matrix = compact(listed.select("value", "id").join(grouped.select("id", "grp", "side"), "id").select("value", "grp", "side").distinct())
     by_side = matrix.groupBy("value", "side").agg(F.count("*").alias("groups"))
-    main = by_side.groupBy("value").agg(F.max(F.struct("groups", "side")).alias("m"), F.count("*").alias("sides")).where("sides > 1")
-    outside = matrix.join(main.select("value", F.col("m.side").alias("main")), "value").where("side <> main")
+    main = by_side.groupBy("value").agg(F.max(F.struct("groups", "side")).alias("m"), F.count("*").alias("sides"), F.sum("groups").alias("groups"))
+    return matrix, compact(main.where("sides > 1").select("value", F.col("m.side").alias("main"), "groups"))
+
+
+def _met(matrix: DataFrame, main: DataFrame) -> DataFrame:
+    """(a, b), a before b: groups of different sides that hold one of the tokens in ``main``."""
+    outside = matrix.join(main.select("value", "main"), "value").where("side <> main")
     other = matrix.select("value", F.col("grp").alias("grp_b"), F.col("side").alias("side_b"))
     met = outside.join(other, "value").where("side <> side_b AND (side_b = main OR grp < grp_b)")
-    met = met.select(F.least("grp", "grp_b").alias("a"), F.greatest("grp", "grp_b").alias("b")).distinct()
+    return met.select(F.least("grp", "grp_b").alias("a"), F.greatest("grp", "grp_b").alias("b")).distinct()
+
+
+def candidates(listed: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(query, grp): sets and the groups they are to be compared with. ``listed`` has (value, id, n), ``grouped`` is that of
+    ``form_groups``. Two groups meet if they hold an entered token in common and their sizes allow for similarity, a group
+    meets itself if it holds sets of several components; the sets of the smaller one become the queries.
+
+    Of two similar sets the rarest token common to their heads is entered by both. If many groups hold it, both sets are among
+    those that entered a frequent token, and meet at the second look.
+    """
+    about = compact(grouped.groupBy("grp", "side").agg(
+        F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), (F.min("root") != F.max("root")).alias("mixed")))
+    matrix, main = _matrix(listed, grouped)
+    met = _met(matrix, main.where(F.col("groups") <= OFTEN))
+    often = main.where(F.col("groups") > OFTEN).select("value", "groups")
+    again = compact(_with_sizes(listed.select("value", "id"), often, "value", "groups", listed.count()).select("id").distinct())
+    if not again.isEmpty():
+        whole = sets.join(again, "id", "left_semi").select("id", F.col("members").alias("head"))
+        second = compact(entries(whole, grouped.select("id", "n"), _entered_whole(F.col("n"), percent)))
+        met = met.unionByName(_met(*_matrix(second, grouped))).distinct()
     for end in "ab":
         met = met.join(about.select(F.col("grp").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("size", "least", "most")]), end)
     near = (F.col("most_a") * 100 >= F.col("least_b") * percent) & (F.col("most_b") * 100 >= F.col("least_a") * percent)
@@ -285,14 +318,14 @@ def join_by_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     headed = heads(docs, distinct, width, percent, id_col, text_col).where("n > 0")
     headed = reliable(headed.join(distinct.select("id", "copy"), ["id", "copy"], "left_semi").dropDuplicates(["id"]).select("id", "head"))
     release(docs.sparkSession)
-    listed = compact(entries(headed, distinct, percent))
+    listed = compact(entries(headed, distinct, _entered(F.col("n"), percent)))
     release(docs.sparkSession)
     active = compact(distinct.join(listed.select("id").distinct(), "id", "left_semi"))
     sets = reliable(full_sets(docs, active.select("id", "copy"), width, id_col, text_col))
     links = gather(sets, active.select("id", "n", F.explode("sketch").alias("key")), percent)
     grouped = compact(form_groups(active, components(links)))
     release(docs.sparkSession)
-    pairs = compact(candidates(listed, grouped, percent))
+    pairs = compact(candidates(listed, grouped, sets, percent))
     links = compact(links.unionByName(open_groups(pairs, grouped, sets, percent)))
     roots = components(links)
     label = distinct.join(roots.withColumnRenamed("vertex", "id"), "id", "left").select("copy", F.coalesce("root", "id").alias("root"))

@@ -53,6 +53,40 @@ def test_equals_brute_force_on_groups_of_all_kinds(spark, monkeypatch, width, pe
     assert found(docs, width=width, percent=percent) == near_groups(texts, width, percent)
 
 
+def test_a_passage_that_is_half_of_many_texts_pairs_few_of_them(spark, monkeypatch):
+    rng, pairs, candidates = random.Random(6), [], token_groups.candidates
+
+    def counting(*args):
+        rows = candidates(*args)
+        pairs.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(token_groups, "candidates", counting)
+    passage = [f"p{i}" for i in range(40)]
+    texts = {i: " ".join([*passage, *[f"u{rng.randrange(10**6)}" for _ in range(40)]]) for i in range(120)}
+    for i in range(0, 120, 10):  # similar ones among them, and some that are nothing but the passage
+        texts[200 + i] = texts[i] + " end"
+        texts[400 + i] = " ".join(passage[: 40 - i // 30])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert found(docs, width=4, percent=85) == near_groups(texts, 4, 85)
+    assert pairs[0] < 5 * len(texts)  # 1,218 where all groups that share an entered token are paired
+
+
+@pytest.mark.parametrize("often", [1, 3])
+def test_equals_brute_force_where_most_tokens_are_frequent(spark, monkeypatch, often):
+    monkeypatch.setattr(token_groups, "CHUNK", 5)
+    monkeypatch.setattr(token_groups, "OFTEN", often)
+    rng = random.Random(often)
+    passages = [[f"p{k}_{i}" for i in range(30)] for k in range(6)]
+    texts = {}
+    for i in range(150):
+        base = sum(rng.sample(passages, rng.choice([1, 1, 2])), []) + [f"u{rng.randrange(10**6)}" for _ in range(rng.choice([0, 1, 3, 8, 30]))]
+        for _ in range(rng.choice([1, 1, 3])):
+            texts[len(texts)] = " ".join(variant(rng, base, rng.choice([0, 0.01, 0.03])))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert found(docs, width=2, percent=80) == near_groups(texts, 2, 80)
+
+
 def test_sets_at_the_very_threshold(spark):
     """17 of 20 tokens in common is 85 percent, 16 of 19 is not."""
     base = [f"t{i}" for i in range(20)]
