@@ -121,6 +121,7 @@ def entries(headed: DataFrame, distinct: DataFrame, entered: Column) -> DataFram
     every = headed.select("id", F.explode("head").alias("value"))
     counts = reliable(every.groupBy("value").agg(F.count("*").alias("length")).where("length > 1"))
     total = headed.agg(F.sum(F.size("head"))).first()[0] or 0
+    release(headed.sparkSession)  # the shuffle of the counts is as large as the next one
     shared = _with_sizes(every, counts, "value", "length", total)
     ranked = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("length", "value"))).alias("values"))  # one head's
     sizes = distinct.select("id", "n").join(headed.select("id", F.size("head").alias("held")).dropDuplicates(["id"]), "id")
