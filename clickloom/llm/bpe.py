@@ -128,6 +128,7 @@ class Encoder:
                 self.made[rank], self.first[rank], self.second[rank] = rank, ranks[one], ranks[two]
         if (np.maximum(self.made[self.first], self.made[self.second]) > self.made).any():
             raise ValueError("a token ranks before one that it is merged from")
+        self.lists = self.made.tolist(), self.first.tolist(), self.second.tolist()
         self.merges = _Table(np.array(pairs, np.int64), np.array(merged, np.int64))
         # The last pair whose verdict fell on a slot: twice its number, and one more if the two can be neighbours.
         self.verdicts = np.full(MAX_PAIRS, -1, np.int64)
@@ -180,12 +181,27 @@ class Encoder:
         return (held & 1).astype(bool)
 
     def adjacent(self, left: int, right: int) -> bool:
-        """``_fits`` of one pair."""
+        """``_fits`` of one pair, without arrays."""
+        if left == NONE:
+            return True
         known = self.pairs.get((left, right))
         if known is None:
+            made, first, second = self.lists
+            grows = joins = float("inf")
+            a, b = left, right
+            while known is None:
+                rank = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+                if rank is not None and rank < grows and rank <= joins:
+                    known = False
+                elif made[a] > made[b]:
+                    grows, a = made[a], second[a]
+                elif made[b] >= 0:
+                    joins, b = made[b], first[b]
+                else:
+                    known = True
             if len(self.pairs) > MAX_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = bool(self._fits(np.array([left]), np.array([right]))[0])
+            self.pairs[left, right] = known
         return known
 
     def _advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
