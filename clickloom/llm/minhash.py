@@ -8,12 +8,16 @@ follow the steps.
 
 * Copies (equal sets) are grouped by a digest of the set; from here on only one of each group takes part.
 * Inverted lists: each sketch enters the lists of its rarest values, so many that two sketches which share ``least`` values
-  meet in one of them. Frequent values of a corpus thus make no long lists, and values of one set make none at all.
-* The pairs of short lists are filtered by set size and by the share of the union sketch, then confirmed on the full sets:
+  meet in one of them. Values of one set make no lists. An entry carries 256 bits, one set for each value that its sketch
+  shares with any other, and how many of them a similar set may lack. Two sets that meet are a pair only if neither lacks
+  more of the other's bits, which is told while lists are joined: the more sets there are, the more of them meet by chance in
+  values that many texts have, and those never leave the join.
+* The pairs of short lists are filtered by set size, bits and the share of the union sketch, then confirmed on the full sets:
   first each set's nearest, then those whose ends are not connected by then.
-* A long list (many near copies of one text) is not turned into its pairs. Its sets are compared with a few leaders, those
-  that share most; then only sets that no leader is linked to are compared with the rest. That is done in blocks of full
-  sets, by one matrix product a block, and only links come out.
+* A long list may hold many near copies of one text, and is not turned into all its pairs. Its sets are compared with a few
+  leaders, those that share most; then only sets that no leader is linked to meet the rest, in blocks, by size and bits. No
+  pairs are made there, as texts of one template, alike but not enough, might make a great many: the sets that still may have
+  a partner are taken whole and compared in blocks, by one matrix product a block, and only links come out.
 * Components of the confirmed links; copies follow the set they stand for.
 
 Joins with tables that grow with the input are merge joins by hint: a broadcast chosen at run time would put them through the
@@ -32,15 +36,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.llm.arrow_text import ascii_words, slices
-from clickloom.llm.components import Written, compact, components, release
+from clickloom.llm.components import Written, compact, components, counted, release
 
 K = 48
 LEAST = 20
 LONG_LIST = 40
-"""Lists beyond this length meet leaders first."""
+"""Lists of more sets meet leaders first."""
 LEADERS = 4
-BLOCK = 250
-"""Sets of a crowd that are compared with as many others at once."""
+BLOCK = 1000
+"""Entries of a long list that meet as many others in one group."""
+MATRIX = 250
+"""Full sets of a crowd that are compared with as many others at once."""
+BITS = ("bits_0", "bits_1", "bits_2", "bits_3")
+ENTRY = ("id", "n", "left", *BITS)
+"""What is known of a set where it meets others: ``left`` is more than it may lack of a similar set's bits."""
 FILTER_BITS = 1 << 25
 """Size of the bitmap that keeps most unwanted documents out of a shuffle: 4 MB, whatever the input."""
 
@@ -150,10 +159,10 @@ def _size_fits(a: Column, b: Column, percent: int) -> Column:
 
 
 def inverted_lists(sets: DataFrame, k: int, least: int, percent: int) -> DataFrame:
-    """(value, id, n, length) of the lists each sketch enters; values of one set only are left out.
+    """(value and ``ENTRY``) of the lists each sketch enters; values of one set only are left out.
 
-    A sketch with s values that must share m of them enters the lists of its s - m + 1 rarest values. ``length`` counts the
-    sets that have the value in their sketch.
+    A sketch with s values that must share m of them enters the lists of its s - m + 1 rarest values. A value is as rare as the
+    number of sets that have it in their sketch.
     """
     entries = sets.select("id", F.explode("sketch").alias("value"))
     lengths = entries.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
@@ -166,8 +175,33 @@ def inverted_lists(sets: DataFrame, k: int, least: int, percent: int) -> DataFra
     rooms = sets.select("id", "n", held.alias("held"), (held - F.greatest(must, F.lit(1)) + 1).alias("room"))
     # Values of one set are the rarest: they fill the room first, the shared ones have what is left. At most k values a set.
     left = (F.col("room") - (F.col("held") - F.size("values"))).cast("int")
-    return shared.join(rooms.hint("merge"), "id").withColumn("left", left).where("left > 0").select(
-        "id", "n", F.explode(F.slice("values", 1, F.col("left"))).alias("entry")).select("id", "n", "entry.value", "entry.length")
+    word = "aggregate(values, 0L, (b, v) -> IF(shiftright(v.value, 6) & 3 = {}, b | shiftleft(1L, CAST(v.value & 63 AS INT)), b))"
+    return shared.join(rooms.hint("merge"), "id").withColumn("left", left).where("left > 0").withColumns(
+        {name: F.expr(word.format(i)) for i, name in enumerate(BITS)}).select(*ENTRY, F.explode(F.slice("values", 1, F.col("left"))).alias("entry")).select(F.col("entry.value").alias("value"), *ENTRY)
+
+
+def _other(sets: DataFrame) -> DataFrame:
+    """The sets of a list as those that others meet: the columns of ``ENTRY`` by other names."""
+    return sets.withColumnsRenamed({name: f"other_{name}" for name in ENTRY})
+
+
+def _lacks(one: str, other: str) -> Column:
+    """How many bits of one set the other has not."""
+    return F.expr(" + ".join(f"bit_count({one}{name} & ~{other}{name})" for name in BITS))
+
+
+def _may_be_alike(k: int, percent: int) -> Column:
+    """Whether sizes and bits allow a set and its ``_other`` to be alike.
+
+    If both are beyond k their sketches share ``least`` values or they are no pair, so each lacks less than ``left`` of the
+    other's. A set within k lacks less of any similar set's; what a larger one lacks of it, nothing is known of.
+    """
+    sides = [(F.col(f"{a}n") > k) & (F.col(f"{b}n") <= k) | (_lacks(a, b) < F.col(f"{a}left")) for a, b in (("", "other_"), ("other_", ""))]
+    return _size_fits(F.col("n"), F.col("other_n"), percent) & sides[0] & sides[1]
+
+
+def _pair() -> list[Column]:
+    return [F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")]
 
 
 def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -202,30 +236,55 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the short lists that may be alike by size, each once."""
-    short = lists.where(F.col("length") <= LONG_LIST)
-    other = short.select("value", F.col("id").alias("other"), F.col("n").alias("other_n"))
-    pairs = short.join(other.hint("merge"), "value").where((F.col("id") < F.col("other")) & _size_fits(F.col("n"), F.col("other_n"), percent))
-    return pairs.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+def _short_pairs(lists: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of the short lists that may be alike, each once."""
+    short = lists.join(sizes.where(F.col("size") <= LONG_LIST).select("value").hint("merge"), "value")
+    return short.join(_other(short).hint("merge"), "value").where((F.col("id") < F.col("other_id")) & _may_be_alike(k, percent)).select(*_pair()).distinct()
 
 
-def _led(long_lists: DataFrame, percent: int) -> DataFrame:
+def _led(long_lists: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs of each set in long lists with a few leaders of the longest of them: sets that are in most long lists."""
-    spread = long_lists.groupBy("id", "n").agg(F.count("*").alias("lists"), F.max(F.struct("length", "value")).alias("longest"))
-    spread = compact(spread.select("id", "n", "lists", F.col("longest.value").alias("value")))
+    known = F.first(F.struct(*ENTRY[1:])).alias("known")
+    spread = long_lists.groupBy("id").agg(known, F.count("*").alias("lists"), F.max(F.struct("size", "value")).alias("longest"))
+    spread = compact(spread.select("id", "known.*", "lists", F.col("longest.value").alias("value")))
     by_list = spread.groupBy("value", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("part"))
-    leaders = by_list.agg(F.max(F.struct("lists", F.xxhash64("id").alias("h"), "id", "n")).alias("l"))
-    leaders = leaders.select("value", F.col("l.id").alias("leader"), F.col("l.n").alias("leader_n"))
-    pairs = spread.join(leaders, "value").where((F.col("id") != F.col("leader")) & _size_fits(F.col("n"), F.col("leader_n"), percent))
-    return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    leaders = by_list.agg(F.max(F.struct("lists", F.xxhash64("id").alias("h"), *ENTRY)).alias("l"))
+    leaders = _other(leaders.select("value", *[f"l.{name}" for name in ENTRY]))
+    return spread.join(leaders, "value").where((F.col("id") != F.col("other_id")) & _may_be_alike(k, percent)).select(*_pair()).distinct()
+
+
+def _open_sets(long_lists: DataFrame, roots: DataFrame, k: int, percent: int) -> DataFrame:
+    """The ids of the sets that meet, in a long list, one they may be alike to and that is in another component.
+
+    Of each list the sets outside its largest component meet all, in blocks of ``BLOCK`` by ``BLOCK``; each block is a group of
+    its own, so that a list spreads over tasks however large it is. A set is looked for one partner, so no pairs come out.
+    """
+    rooted = long_lists.join(roots.hint("merge"), long_lists["id"] == roots["vertex"], "left").select("value", *ENTRY, F.coalesce("root", "id").alias("root"))
+    main = rooted.groupBy("value", "root").agg(F.count("*").alias("size")).groupBy("value").agg(
+        F.max(F.struct("size", "root")).alias("m"), F.sum("size").alias("size")).where("m.size < size")
+    blocks = lambda count: F.ceil(count / BLOCK).cast("int")
+    main = main.select("value", F.col("m.root").alias("main"), blocks(F.col("size")).alias("rows"), blocks(F.col("size") - F.col("m.size")).alias("columns"))
+    dealt = compact(rooted.join(main.hint("merge"), "value").withColumn("outside", F.col("root") != F.col("main")).drop("main"))
+    place = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    asking = dealt.where("outside").select("value", *ENTRY, "root", place("columns").alias("column"), every("rows").alias("row"))
+    asked = dealt.select("value", *ENTRY, F.col("root").alias("other_root"), "outside", every("columns").alias("column"), place("rows").alias("row"))
+    asked = _other(asked)
+
+    def meeting(one: DataFrame, two: DataFrame) -> DataFrame:
+        same = [F.col(f"one.{name}") == F.col(f"two.{name}") for name in ("value", "row", "column")]
+        alike = (F.col("root") != F.col("other_root")) & _may_be_alike(k, percent)
+        return one.alias("one").join(two.alias("two").hint("merge"), [*same, alike], "left_semi")
+
+    inside = meeting(asked.where("NOT outside"), asking).select(F.col("other_id").alias("id"))
+    return meeting(asking, asked).select("id").unionByName(inside).distinct()
 
 
 def _crowd_links(long_lists: DataFrame, roots: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links between sets of a long list that the leaders have not put into one component.
 
     Long lists with the same largest component are one crowd. Its sets outside that component meet all its sets, in blocks
-    of ``BLOCK`` by ``BLOCK``; each block is a group of its own, so that a crowd spreads over tasks however large it is.
+    of ``MATRIX`` by ``MATRIX``; each block is a group of its own, so that a crowd spreads over tasks however large it is.
     """
     rooted = long_lists.join(roots, long_lists["id"] == roots["vertex"], "left").select("value", "id", F.coalesce("root", "id").alias("root"))
     main = rooted.groupBy("value", "root").agg(F.count("*").alias("size")).groupBy("value").agg(
@@ -233,7 +292,7 @@ def _crowd_links(long_lists: DataFrame, roots: DataFrame, full: DataFrame, perce
     members = rooted.join(main, "value").select("crowd", "id", (F.col("root") != F.col("crowd")).alias("outside")).distinct()
     members = compact(members)
     sizes = members.groupBy("crowd").agg(F.count("*").alias("size"), F.sum(F.col("outside").cast("int")).alias("out")).where("out > 0")
-    blocks = lambda count: F.ceil(F.col(count) / BLOCK).cast("int")
+    blocks = lambda count: F.ceil(F.col(count) / MATRIX).cast("int")
     dealt = members.join(sizes, "crowd").select(
         "crowd", "id", "outside", F.pmod(F.xxhash64("id"), blocks("size")).cast("int").alias("row"),
         F.pmod(F.xxhash64("id"), blocks("out")).cast("int").alias("column"), blocks("size").alias("rows"), blocks("out").alias("columns"))
@@ -292,23 +351,46 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     release(docs.sparkSession)
     lists = compact(inverted_lists(sketched.df, k, least, percent))
     release(docs.sparkSession)
-    likely = compact(_likely(_short_pairs(lists, percent), sketched.df, k, least))
+    sizes = compact(lists.groupBy("value").agg(F.count("*").alias("size")).where("size > 1"))
+    release(docs.sparkSession)
+    likely = compact(_likely(_short_pairs(lists, sizes, k, percent), sketched.df, k, least))
     sets = Written(sketched.df.select("id", "copy"), "heads").df
     sketched.drop()
-    long_lists = lists.where(F.col("length") > LONG_LIST)
-    listed = long_lists.select("id").unionByName(likely.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
-    wanted = compact(sets.join(listed.hint("merge"), "id", "left_semi"))
     release(docs.sparkSession)
-    compared = Written(full_sets(docs, wanted, width, id_col, text_col), "full-sets")
-    full = compared.df
+    long_lists, told = counted(lists.join(sizes.where(F.col("size") > LONG_LIST).hint("merge"), "value"))
+    some_long = told["n"] > 0
+    first = _nearest(likely)
+    if some_long:
+        first = first.unionByName(_led(long_lists, k, percent)).distinct()
+
+    def whole(ids: DataFrame) -> Written:
+        """The full sets of the ids."""
+        wanted = compact(sets.join(ids.distinct().hint("merge"), "id", "left_semi"))
+        made = Written(full_sets(docs, wanted, width, id_col, text_col), "full-sets")
+        release(docs.sparkSession)
+        return made
+
+    ends = F.explode(F.array("a", "b")).alias("id")
+    first = compact(first)
+    compared = whole(first.select(ends))
+    links = compact(_linked(first, compared.df, percent))
+    compared.drop()
     release(docs.sparkSession)
     # Pairs whose ends the first links connect would change no component: only the others are compared as well.
-    links = compact(_linked(_nearest(likely).unionByName(_led(long_lists, percent)).distinct(), full, percent))
-    release(docs.sparkSession)
     roots = components(links)
-    more = compact(_linked(_between(likely, roots), full, percent))
+    more = compact(_between(likely, roots))
+    wanted = more.select(ends)
+    if some_long:
+        still = compact(_open_sets(long_lists, roots, k, percent))
+        wanted = wanted.unionByName(still)
+    release(docs.sparkSession)
+    compared = whole(wanted)
+    links = links.unionByName(compact(_linked(more, compared.df, percent)))
     release(docs.sparkSession)
-    links = compact(links.unionByName(more).unionByName(_crowd_links(long_lists, roots, full, percent)))
+    if some_long:
+        crowded = long_lists.select("value", "id").join(still.hint("merge"), "id", "left_semi")
+        links = links.unionByName(_crowd_links(crowded, roots, compared.df, percent))
+    links = compact(links)
     compared.drop()
     release(docs.sparkSession)
     roots = components(links)

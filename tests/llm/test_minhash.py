@@ -70,3 +70,15 @@ def test_sets_within_the_sketch_meet_larger_ones(spark):
     groups = near_groups(texts, 2)
     assert sum(group != doc for doc, (_, group) in groups.items()) > 100
     assert found(docs, width=2) == groups
+
+
+def test_sets_that_meet_by_chance_are_not_read_whole(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LONG_LIST", 3)
+    rng, read = random.Random(4), []
+    texts = {i: " ".join(f"v{rng.randrange(40)}" for _ in range(60)) for i in range(120)}
+    texts |= {200: texts[5] + " end", 201: texts[6] + " end"}
+    real = minhash.full_sets
+    monkeypatch.setattr(minhash, "full_sets", lambda docs, wanted, *rest: read.append(wanted.count()) or real(docs, wanted, *rest))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert found(docs, width=2) == near_groups(texts, 2)
+    assert 4 <= sum(read) < 40  # nearly all 122 are in long lists
